@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from causalrisk.catalog import intake
+from causalrisk.catalog import explore, intake, risk
 from causalrisk.catalog.common import Query
 
-MODULES = (intake,)
+MODULES = (intake, explore, risk)
 
 
 def all_queries() -> dict[str, Query]:

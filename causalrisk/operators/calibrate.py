@@ -50,19 +50,19 @@ def inversions(df: DataFrame, raw: str, calibrated: str) -> DataFrame:
     Equal pairs cannot be an inversion, so they are merged before the sort. The
     first row of a segment is compared with the last row before that segment.
     """
-    pairs = df.select(raw, calibrated).distinct()
-    order = [F.col(raw), F.col(calibrated)]
+    pairs = df.select(F.col(raw).alias("_score"), F.col(calibrated).alias("_mapped")).distinct()
+    order = [F.col("_score"), F.col("_mapped")]
     segments = in_segments(pairs, order).withColumn(ALL, F.lit(0))
     ends = segments.groupBy(ALL, SEGMENT).agg(
-        F.max_by(calibrated, F.struct(raw, calibrated)).alias("end")
+        F.max_by("_mapped", F.struct("_score", "_mapped")).alias("end")
     )
     # One row per segment.
     previous = ends.withColumn("end", F.lag("end").over(Window.partitionBy(ALL).orderBy(SEGMENT))).drop(ALL)
     inside = Window.partitionBy(SEGMENT).orderBy(*order)
-    before = F.coalesce(F.lag(calibrated).over(inside), F.col("end"))
+    before = F.coalesce(F.lag("_mapped").over(inside), F.col("end"))
     return (
         segments.join(F.broadcast(previous), SEGMENT)
-        .withColumn("step", F.col(calibrated) - before)
+        .withColumn("step", F.col("_mapped") - before)
         .agg(F.count_if(F.col("step") < -1e-12).alias("inversions"))
     )
 

@@ -162,14 +162,15 @@ def cost_grid(df: DataFrame, score: str, points: int = COST_GRID) -> list[float]
 def cost_sweep(df: DataFrame, target: str, score: str, amount: str, points: int = COST_GRID, **costs: float) -> DataFrame:
     """Net cost at every point of the grid, thresholds shown to six digits."""
     swept = expected_cost(at_thresholds(df, target, score, cost_grid(df, score, points), amount), **costs)
-    return swept.withColumn("threshold", F.bround("threshold", 6)).withColumn("net_cost", F.bround("net_cost", 2))
+    return swept.withColumn("threshold", F.bround("threshold", 6))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
-    """The cheapest threshold; the lowest one when several cost the same."""
+    """The cheapest threshold; the lowest one when several cost the same to the cent."""
+    cheapest = F.struct(F.bround("net_cost", 2), "threshold")
     return sweep.agg(
-        F.min_by("threshold", F.struct("net_cost", "threshold")).alias("threshold"),
-        F.min("net_cost").alias("net_cost"),
+        F.min_by("threshold", cheapest).alias("threshold"),
+        F.min_by("net_cost", cheapest).alias("net_cost"),
     )
 
 
@@ -182,6 +183,29 @@ def evaluate_at(
     return names.join(expected_cost(confusion_rates(counts), **costs), "threshold")
 
 
+def apply_once(
+    validation: DataFrame, test: DataFrame, target: str, score: str, amount: str, **costs: float
+) -> DataFrame:
+    """The cost-optimal validation threshold on the test rows, and the loss of ranking quality."""
+    chosen = best_threshold(cost_sweep(validation, target, score, amount, **costs)).first().threshold
+    before = ranking_metrics(score_curve(validation, target, score), score).first().pr_auc
+    after = ranking_metrics(score_curve(test, target, score), score)
+    result = evaluate_at(test, target, score, amount, {"test": chosen}, **costs)
+    return result.withColumns({
+        "validation_pr_auc": F.lit(before),
+        "test_pr_auc": after.select("pr_auc").scalar(),
+    }).withColumn("gap", F.col("test_pr_auc") - F.col("validation_pr_auc"))
+
+
+def compare_variants(variants: dict[str, DataFrame], target: str, score: str) -> DataFrame:
+    """Ranking metrics of several scored sets under one protocol, one row per variant."""
+    stacked = None
+    for name, df in variants.items():
+        rows = df.select(F.lit(name).alias("variant"), target, score)
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    return ranking_metrics(score_curve(stacked, target, score, by=("variant",)), score, by=("variant",))
+
+
 def full_evaluation(df: DataFrame, target: str, score: str, amount: str, **costs: float) -> DataFrame:
     """(section, metric, value): ranking, operating points, cost optimum, value added."""
     from causalrisk.session import materialise

@@ -44,6 +44,12 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return transactions(spark, folder).withColumn("score", F.floor(p * 1000000 + 0.5) / 1000000)
 
 
+def planted(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored transactions whose label really follows the score, drawn by a fixed rule of the id."""
+    draw = (F.col("txn_id") * 7919 + 13) % 10007 / F.lit(10007.0)
+    return scored(spark, folder).withColumn("label", (draw < F.col("score")).cast("int"))
+
+
 def lineitems(spark: SparkSession, folder: str) -> DataFrame:
     """`lineitem` as a second fact table; `label` marks a returned line."""
     return read_table(spark, folder, "lineitem").select(
