@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from causalrisk.catalog import explore, intake, models, risk
+from causalrisk.catalog import explore, intake, models, risk, streams, text
 from causalrisk.catalog.common import Query
 
-MODULES = (intake, explore, risk, models)
+MODULES = (intake, explore, risk, models, text, streams)
 
 
 def all_queries() -> dict[str, Query]:

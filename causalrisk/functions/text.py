@@ -12,20 +12,72 @@ from causalrisk.functions.fixed_values import CHUNK_OVERLAP, CHUNK_WORDS, GLOSSA
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def rounded_whole(down: Column, beyond_half: Column) -> Column:
+    """`down`, or the next number when past the half; a true tie goes to the even one."""
+    return down + ((beyond_half > 0) | ((beyond_half == 0) & (down % 2 != 0))).cast("double")
+
+
+def nearest(value: Column, places: Column | int) -> Column:
+    """`value` times ten to the `places` (0 to 22) as the nearest whole number.
+
+    Decided on the exact binary value; Spark's own rounding looks at the
+    shortest decimal form instead. The value is split in two short parts whose
+    products are exact.
+    """
+    scale = F.pow(F.lit(10.0), places if isinstance(places, Column) else F.lit(places))
+    high = value.cast("float").cast("double")
+    parts = F.struct(
+        F.floor(value * scale).cast("double").alias("down"),
+        (high * scale).alias("high"), ((value - high) * scale).alias("low"),
+    )
+    return once(parts, lambda p: rounded_whole(p["down"], (p["high"] - (p["down"] + 0.5)) + p["low"]))
+
+
+def fixed_point(value: Column, places: int, grouped: bool = False) -> Column:
+    """The value with a fixed number of decimals, with thousands separators if `grouped`."""
+    return F.format_string(f"%{',' if grouped else ''}.{places}f", nearest(value, places) / 10.0**places)
+
+
 def three_digits(value: Column) -> Column:
     """A number with three significant digits, in exponent form outside 1e-4 to 1e3."""
-    shown = F.format_string("%.2e", value)
-    exponent = F.regexp_extract(shown, r"e([+-]\d+)$", 1).cast("int")
-    scientific = F.concat(
-        F.regexp_replace(F.regexp_extract(shown, r"^(-?[\d.]+)e", 1), r"\.?0+$", ""),
-        F.regexp_extract(shown, r"(e[+-]\d+)$", 1),
+    exponent = F.regexp_extract(F.format_string("%.17e", F.abs(value)), r"e([+-]\d+)$", 1).cast("int")
+    known = F.struct(F.abs(value).alias("size"), exponent.alias("exponent"), (value < 0).alias("minus"))
+    return F.when(value == 0, "0").otherwise(once(known, _three_digits_of))
+
+
+def _three_digits_of(v: Column) -> Column:
+    size, exponent = v["size"], v["exponent"]
+    large = F.pow(F.lit(10.0), exponent - 2)
+    long_number = once(
+        F.struct(F.floor(size / large).cast("double").alias("down"), large.alias("unit"), size.alias("size")),
+        lambda p: rounded_whole(p["down"], p["size"] - (p["down"] + 0.5) * p["unit"]),
+    )
+    digits = F.when(exponent > 2, long_number).otherwise(nearest(size, 2 - exponent))
+    shown = F.struct(digits.alias("digits"), exponent.alias("exponent"), v["minus"].alias("minus"))
+    carried = once(shown, lambda s: F.struct(
+        F.when(s["digits"] >= 1000, 100.0).otherwise(s["digits"]).alias("digits"),
+        (s["exponent"] + (s["digits"] >= 1000).cast("int")).alias("exponent"), s["minus"].alias("minus"),
+    ))
+    return once(carried, _digits_as_text)
+
+
+def _digits_as_text(s: Column) -> Column:
+    digits, exponent = s["digits"], s["exponent"]
+    exponential = (exponent < -4) | (exponent >= 3)
+    number = reduce(
+        lambda chain, d: chain.when(exponent == 2 - d, F.format_string(f"%.{d}f", digits / 10.0**d)),
+        range(7), F.when(exponential, F.format_string("%.2f", digits / 100)),
     )
-    fixed = reduce(
-        lambda chain, d: chain.when(exponent == 2 - d, F.format_string(f"%.{d}f", value)),
-        range(1, 7), F.when(exponent == 2, F.format_string("%.0f", value)),
+    trimmed = once(number, lambda n: F.when(n.contains("."), F.regexp_replace(n, r"\.?0+$", "")).otherwise(n))
+    return F.concat(
+        F.when(s["minus"], "-").otherwise(""), trimmed,
+        F.when(exponential, F.format_string("e%+03d", exponent)).otherwise(""),
     )
-    trimmed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-    return F.when(value == 0, "0").when((exponent < -4) | (exponent >= 3), scientific).otherwise(trimmed)
 
 
 def shown_value(value: Column, kind: str = "double") -> Column:

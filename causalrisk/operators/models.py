@@ -98,9 +98,8 @@ def fit_baseline(train: DataFrame, numeric: list[str], categorical: list[str], t
     inputs = ["_scaled"]
     if levels:
         indexed = [f"{c}__index" for c in levels]
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [[*kept, INFREQUENT] for kept in levels.values()],
-            inputCols=[f"{c}__level" for c in levels], outputCols=indexed, handleInvalid="error",
+        indexer = StringIndexer(
+            inputCols=[f"{c}__level" for c in levels], outputCols=indexed, handleInvalid="keep"
         )
         hot = [f"{c}__hot" for c in levels]
         stages += [pooling_stage(levels), indexer, OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=False)]
@@ -121,7 +120,7 @@ def baseline_terms(model: PipelineModel, numeric: list[str], categorical: list[s
     """Names of the baseline's vector slots, in order."""
     indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
     hot = [
-        f"{c}={level}" for c, labels in zip(categorical, indexers[0].labelsArray) for level in labels
+        f"{c}={level}" for c, labels in zip(categorical, indexers[0].labelsArray) for level in [*labels, "__unseen__"]
     ] if indexers else []
     return [*numeric, *hot]
 

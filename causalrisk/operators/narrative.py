@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from causalrisk.functions.fixed_values import (
     ACTION_PHRASE, BAND_ACTIONS, DISCLAIMER, DRIVER_PHRASE, MITIGATOR_PHRASE, SIMILAR_FALLBACK, SIMILAR_PHRASE,
 )
-from causalrisk.functions.text import joined_list, plain_name, three_digits
+from causalrisk.functions.text import fixed_point, joined_list, plain_name, three_digits
 from causalrisk.operators.explain import top_reasons
 from causalrisk.operators.models import risk_band
 
@@ -50,7 +50,7 @@ def narrate(
     mitigators = reason_texts(F.col(reasons), 2, increasing=False)
     head = F.concat(
         F.lit("ALERT "), F.col(id).cast("string"), F.lit(" | risk "), F.col("risk_band"),
-        F.format_string(" (%.1f%%)", p * 100), F.lit(" | amount "), F.format_string("%,.2f", a),
+        F.lit(" ("), fixed_point(p * 100, 1), F.lit("%) | amount "), fixed_point(a, 2, grouped=True),
     )
     bits = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in context])
 
