@@ -111,7 +111,7 @@ def aligned_request_rows(spark, folder):
 # ------------------------------------------------------------------ reasons ---
 def with_reasons(spark, folder):
     """The closed-form score with the reasons of its linear margin."""
-    rows = scored(spark, folder).withColumn("hour", F.floor(F.col("t") / 3600) % 24)
+    rows = scored(spark, folder, spread=True).withColumn("hour", F.floor(F.col("t") / 3600) % 24)
     return rows.withColumn("reasons", ex.scorecard_reasons(WEIGHTS))
 
 

@@ -13,7 +13,7 @@ from causalrisk.operators.explain import top_reasons
 from causalrisk.plans.investigate import build_cases, investigate
 from causalrisk.session import materialise
 from causalrisk.sources.corpus import title_of
-from causalrisk.sources.tables import lineitems, read_table
+from causalrisk.sources.tables import lineitems, read_table, spread_table
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -134,7 +134,7 @@ def similarity_queries(spark, folder):
     FROM c WHERE trim(text, E' \\t\\n\\r') <> ''
 """)
 def document_chunks(spark, folder):
-    made = chunk_rows(read_table(spark, folder, "documents"), "text", ["doc_id"])
+    made = chunk_rows(spread_table(spark, folder, "documents", "doc_id"), "text", ["doc_id"])
     return made.withColumn("chunk", F.col("chunk").cast("long"))
 
 
@@ -186,7 +186,7 @@ def nearest_to_centroids(spark, folder):
 
 
 def _passages(spark, folder):
-    docs = read_table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = spread_table(spark, folder, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("source"), "text")
     return chunk_rows(docs, "text", ["source"]).withColumn(
         "passage_id", F.concat_ws("#", "source", F.format_string("%05d", "chunk")))
 
@@ -256,7 +256,7 @@ def _verdict_sql(ratio: str) -> str:
 """)
 def groundedness(spark, folder):
     """Every assistant turn against all earlier turns of its conversation."""
-    turns = read_table(spark, folder, "conversations").withColumn(
+    turns = spread_table(spark, folder, "conversations", "conv_id").withColumn(
         "turn_id", F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     answers = turns.filter(F.col("role") == "assistant")
     made = rt.groundedness(answers, turns, "turn_id", "text", "conv_id", "text", "turn", "turn")
@@ -270,7 +270,7 @@ def groundedness(spark, folder):
 def case_files(spark, folder):
     """Facts, score, drivers, precedents, action and passages for the top alerts."""
     rows = with_reasons(spark, folder)
-    docs = read_table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = spread_table(spark, folder, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("source"), "text")
     base = build_cases(rows, "txn_id", "score", "amount", "label", "reasons", docs, ("channel", "band"))
     made = investigate(rows, base, ("amount", "channel", "hour"), "txn_id", "score", "reasons")
     return made.select(

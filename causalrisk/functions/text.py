@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from causalrisk.functions.fixed_values import CHUNK_OVERLAP, CHUNK_WORDS, GLOSSARY, STOP_WORDS
 
-# Unicode white space, and the four separator controls.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+# The white space characters of Unicode, and the four separator controls.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def once(value: Column, use) -> Column:
@@ -94,18 +94,19 @@ def shown_value(value: Column, kind: str = "double") -> Column:
 def plain_name(feature: Column) -> Column:
     """What a feature column means, by the glossary and the naming rules."""
     glossary = F.create_map(*[F.lit(x) for pair in GLOSSARY.items() for x in pair])
-
-    def known(c: Column) -> Column:
-        return F.coalesce(F.try_element_at(glossary, c), c)
-
     base = F.regexp_replace(feature, "_(isna|freq)$", "")
-    return (
-        F.when(F.try_element_at(glossary, feature).isNotNull(), F.try_element_at(glossary, feature))
-        .when(feature.endswith("_isna"), F.concat(F.lit("missing "), known(base)))
-        .when(feature.endswith("_freq"), F.concat(F.lit("how common "), known(base), F.lit(" is")))
-        .when(feature.startswith("V"), F.concat(F.lit("anonymised behavioural signal "), feature))
-        .otherwise(feature)
-    )
+    found = F.struct(feature.alias("name"), base.alias("base"))
+    names = once(found, lambda f: F.struct(
+        f["name"].alias("name"), F.try_element_at(glossary, f["name"]).alias("exact"),
+        F.coalesce(F.try_element_at(glossary, f["base"]), f["base"]).alias("root"),
+    ))
+    return once(names, lambda n: (
+        F.when(n["exact"].isNotNull(), n["exact"])
+        .when(n["name"].endswith("_isna"), F.concat(F.lit("missing "), n["root"]))
+        .when(n["name"].endswith("_freq"), F.concat(F.lit("how common "), n["root"], F.lit(" is")))
+        .when(n["name"].startswith("V"), F.concat(F.lit("anonymised behavioural signal "), n["name"]))
+        .otherwise(n["name"])
+    ))
 
 
 def joined_list(items: Column) -> Column:
@@ -118,22 +119,23 @@ def joined_list(items: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}\\z", "")
 
 
 def chunks(text: Column, words: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Overlapping windows of `words` words; a short text stays as it is, a blank one gives none."""
+    return once(stripped(text), lambda clean: F.when(
+        clean == "", F.array().cast("array<string>")
+    ).otherwise(once(F.split(clean, SPACE), lambda tokens: _windows(clean, tokens, words, overlap))))
+
+
+def _windows(clean: Column, tokens: Column, words: int, overlap: int) -> Column:
     step = max(1, words - overlap)
-    clean = stripped(text)
-    tokens = F.split(clean, SPACE)
     last = F.ceil((F.size(tokens) - words) / F.lit(step)).cast("int")
-    windows = F.transform(
+    return F.when(F.size(tokens) <= words, F.array(clean)).otherwise(F.transform(
         F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
         lambda k: F.array_join(F.slice(tokens, k * step + 1, F.lit(words)), " "),
-    )
-    return F.when(clean == "", F.array().cast("array<string>")).when(
-        F.size(tokens) <= words, F.array(clean)
-    ).otherwise(windows)
+    ))
 
 
 def chunk_rows(df: DataFrame, text: str, keep: list[str], **sizes: int) -> DataFrame:

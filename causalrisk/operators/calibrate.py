@@ -69,18 +69,26 @@ def inversions(df: DataFrame, raw: str, calibrated: str) -> DataFrame:
 
 def halve_by_time(df: DataFrame, time: str, id: str) -> DataFrame:
     """`df` with `half` = early or late; an odd row out goes to the late half."""
-    indexed = with_row_index(df, [F.col(time), F.col(id)])
-    early = F.col("row_index") < F.floor(F.col("rows") / 2)
-    return indexed.withColumn("half", F.when(early, "early").otherwise("late")).drop("row_index", "rows")
+    order = [time, id]
+    cut = with_row_index(df.select(*order), [F.col(c) for c in order]).filter(
+        F.col("row_index") == F.floor(F.col("rows") / 2)
+    ).first()
+    if cut is None:
+        return df.withColumn("half", F.lit("late"))
+    t = F.col(time)
+    early = (t < cut[time]) | ((t == cut[time]) & (F.col(id) < cut[id]))
+    return df.withColumn("half", F.when(early, "early").otherwise("late"))
 
 
 def spread_sample(df: DataFrame, score: str, id: str) -> DataFrame:
     """Rows across the score range: top eight, six from a third down, last four."""
-    indexed = with_row_index(df, [F.col(score).desc(), F.col(id)])
+    indexed = with_row_index(df.select(score, id), [F.col(score).desc(), F.col(id)])
     i, n = F.col("row_index"), F.col("rows")
     start, step = F.floor(n / 3), F.greatest(F.floor(n / 12), F.lit(1))
     middle = (i >= start) & (i < start + 6 * step) & ((i - start) % step == 0)
-    return indexed.filter((i < 8) | middle | (i >= n - 4)).drop("rows")
+    picked = indexed.filter((i < 8) | middle | (i >= n - 4)).select(id, "row_index")
+    # Eighteen rows at most.
+    return df.join(F.broadcast(picked), id)
 
 
 @dataclass

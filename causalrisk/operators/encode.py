@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from causalrisk.operators.ordered import with_row_index
 from causalrisk.operators.unpivot import long_form
 
 BROADCAST_LEVELS = 500_000
@@ -80,8 +81,15 @@ class FrequencyEncoder:
 
 
 def select_recent(df: DataFrame, time: str, id: str, n: int) -> DataFrame:
-    """The latest `n` rows, found by row position instead of one sorted task."""
-    from causalrisk.operators.ordered import with_row_index
-
-    indexed = with_row_index(df, [F.col(time), F.col(id)])
-    return indexed.filter(F.col("row_index") >= F.col("rows") - n).drop("row_index", "rows")
+    """The latest `n` rows.
+
+    Only the order columns are sorted, by range, to find the first row to keep;
+    no task sorts or holds the `n` rows.
+    """
+    first = with_row_index(df.select(time, id), [F.col(time), F.col(id)]).filter(
+        F.col("row_index") == F.greatest(F.col("rows") - n, F.lit(0))
+    ).first()
+    if first is None or n <= 0:
+        return df.limit(0)
+    t = F.col(time)
+    return df.filter((t > first[time]) | ((t == first[time]) & (F.col(id) >= first[id])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from causalrisk.functions.rowwise import MISSING
 from causalrisk.operators.ordered import running_totals
@@ -26,18 +26,22 @@ RANK_BANDS = (
 )
 
 
-def contingency(df: DataFrame, columns: list[str], target: str, min_count: int = 50) -> DataFrame:
-    """(column, level, y, n) after pooling levels below `min_count` rows."""
+def pooled_levels(df: DataFrame, columns: list[str], target: str, min_count: int = 50) -> DataFrame:
+    """(column, level, n0, n1) after pooling levels below `min_count` rows."""
     y = F.col(target)
     levels = (
         long_form(df, columns, "string", (target,))
         .groupBy("column", F.coalesce("value", F.lit(MISSING)).alias("level"))
         .agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"), F.count(F.lit(1)).alias("n"))
     )
-    pooled = levels.groupBy(
+    return levels.groupBy(
         "column", F.when(F.col("n") >= min_count, F.col("level")).otherwise(OTHER).alias("level")
     ).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return pooled.select("column", "level", F.inline(F.array(
+
+
+def contingency(df: DataFrame, columns: list[str], target: str, min_count: int = 50) -> DataFrame:
+    """(column, level, y, n): the table of level counts per class."""
+    return pooled_levels(df, columns, target, min_count).select("column", "level", F.inline(F.array(
         F.struct(F.lit(0).alias("y"), F.col("n0").alias("n")),
         F.struct(F.lit(1).alias("y"), F.col("n1").alias("n")),
     )))
@@ -48,35 +52,28 @@ def chi_square(df: DataFrame, columns: list[str], target: str, min_count: int =
 
     A column with fewer than two levels or classes gives no row.
     """
-    cells = contingency(df, columns, target, min_count)
-    by_level, by_class, by_column = (
-        Window.partitionBy("column", "level"), Window.partitionBy("column", "y"), Window.partitionBy("column"),
+    pooled = pooled_levels(df, columns, target, min_count).filter(F.col("n0") + F.col("n1") > 0)
+    totals = pooled.groupBy("column").agg(
+        F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), F.count(F.lit(1)).alias("levels")
     )
-    # At most rows / min_count + 2 levels per column are left after pooling.
-    expected = F.col("row_sum") * F.col("col_sum") / F.col("all_sum")
-    part = F.pow(F.col("n") - F.col("expected"), F.lit(2)) / F.col("expected")
+    n = F.col("all0") + F.col("all1")
+    here = (F.col("n0") + F.col("n1")) / n
+
+    def part(seen: str, whole: str) -> Column:
+        expected = here * F.col(whole)
+        return F.pow(F.col(seen) - expected, F.lit(2)) / expected
+
     return (
-        cells.withColumn("row_sum", F.sum("n").over(by_level))
-        .withColumn("col_sum", F.sum("n").over(by_class))
-        .withColumn("all_sum", F.sum("n").over(by_column))
-        .filter((F.col("row_sum") > 0) & (F.col("col_sum") > 0))
-        .withColumn("expected", expected)
+        # One row per tested column.
+        pooled.join(F.broadcast(totals), "column")
+        .filter((F.col("levels") >= 2) & (F.col("all0") > 0) & (F.col("all1") > 0))
         .groupBy("column")
         .agg(
-            F.sum(part).alias("statistic"),
-            F.countDistinct("level").alias("n_levels"),
-            F.countDistinct("y").alias("n_classes"),
-            F.max("all_sum").alias("n"),
-        )
-        .filter((F.col("n_levels") >= 2) & (F.col("n_classes") >= 2))
-        .select(
-            "column",
-            "statistic",
-            ((F.col("n_levels") - 1) * (F.col("n_classes") - 1)).alias("dof"),
-            "n",
-            F.sqrt(F.col("statistic") / (F.col("n") * F.least(F.col("n_levels") - 1, F.col("n_classes") - 1)))
-            .alias("effect_size"),
+            F.sum(part("n0", "all0") + part("n1", "all1")).alias("statistic"),
+            (F.max("levels") - 1).alias("dof"),
+            F.max(n).alias("n"),
         )
+        .withColumn("effect_size", F.sqrt(F.col("statistic") / F.col("n")))
     )
 
 

@@ -11,18 +11,29 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table for costly per-row work: few large input splits are spread over all cores.
+
+    A table with at least as many splits as cores is left as it is.
+    """
+    df = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def epoch_seconds(column: str):
     return F.unix_seconds(F.col(column).cast("timestamp"))
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
+def transactions(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """`events` in the roles of `EVENT_STREAM`.
 
     The table has no missing values, so two columns with gaps are derived by
     rule: `k_obs` lacks every multiple of seven, `dist` is known below 60.
     """
     k = F.get_json_object("props", "$.k").cast("long")
-    return read_table(spark, folder, "events").select(
+    events = spread_table(spark, folder, "events", "event_id") if spread else read_table(spark, folder, "events")
+    return events.select(
         F.col("event_id").alias("txn_id"),
         epoch_seconds("ts").alias("t"),
         F.col("value").alias("amount"),
@@ -36,12 +47,12 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
+def scored(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """Transactions with a closed-form score, so any engine can repeat it."""
     hour = F.floor(F.col("t") / 3600) % 24
     z = F.lit(-1.8) + F.col("amount") * 0.006 + (hour - 12) * 0.04
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return transactions(spark, folder).withColumn("score", F.floor(p * 1000000 + 0.5) / 1000000)
+    return transactions(spark, folder, spread).withColumn("score", F.floor(p * 1000000 + 0.5) / 1000000)
 
 
 def planted(spark: SparkSession, folder: str) -> DataFrame:

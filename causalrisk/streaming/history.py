@@ -2,7 +2,8 @@
 
 A row that arrives in a later batch than a newer row of its entity counts as
 seen after it. State per entity is a few numbers and the row counts of the
-seconds in the trailing horizon.
+seconds in the trailing horizon, so it does not grow with the entity's rows; a
+task holds an entity's rows of one micro-batch, whose size the source limits.
 """
 
 from __future__ import annotations
@@ -45,31 +46,41 @@ class HistoryProcessor(StatefulProcessor):
             n, mean, dev, last, seconds, counts = 0, 0.0, 0.0, None, [], []
         t = pdf[self.time].to_numpy(dtype=np.int64)
         a = pdf[self.amount].to_numpy(dtype=float)
-        made = {name: [] for name in self.names}
-        count_prior, mean_prior, std_prior, ratio, gap, recent = (made[name] for name in self.names)
-
-        everything = np.concatenate([np.repeat(np.array(seconds, dtype=np.int64), np.array(counts, dtype=np.int64)), t])
-        arrived = len(everything) - len(t)
-        ordered = np.sort(everything[:arrived])
-        for i, (now, amount) in enumerate(zip(t, a)):
-            count_prior.append(n)
-            mean_prior.append(mean if n else None)
-            std_prior.append((max(dev, 0.0) / n) ** 0.5 if n else None)
-            ratio.append(amount / mean if n and mean else None)
-            gap.append(int(now - last) if n else None)
-            before = np.searchsorted(ordered, now, "left") - np.searchsorted(ordered, now - self.horizon, "left")
-            fresh = np.searchsorted(t[:i], now, "left") - np.searchsorted(t[:i], now - self.horizon, "left")
-            recent.append(int(before + fresh))
-            n += 1
-            step = amount - mean
-            mean += step / n
-            dev += step * (amount - mean)
-            last = int(now)
-        kept, sizes = np.unique(everything[everything >= everything.max() - self.horizon], return_counts=True)
-        self.state.update((n, float(mean), float(dev), last, kept.tolist(), sizes.tolist()))
-        out = pdf.assign(**{name: pd.Series(values, index=pdf.index, dtype="float64") for name, values in made.items()})
+        prior = n + np.arange(len(t))
+        # Sums around the known mean, each without the current row.
+        off = a - (mean if n else a[0])
+        centre = mean if n else a[0]
+        sums = np.concatenate([[0.0], np.cumsum(off)])
+        squares = dev + np.concatenate([[0.0], np.cumsum(off * off)])
+        known = np.where(prior > 0, prior, np.nan)
+        mean_prior = centre + sums[:-1] / known
+        std_prior = np.sqrt(np.maximum(squares[:-1] / known - (sums[:-1] / known) ** 2, 0.0))
+        previous = np.concatenate([[np.nan if last is None else last], t[:-1]])
+        before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        seconds = np.asarray(seconds, dtype=np.int64)
+
+        def rows_before(limit: np.ndarray) -> np.ndarray:
+            return before[np.searchsorted(seconds, limit, "left")] + np.searchsorted(t, limit, "left")
+
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(mean_prior != 0, a / mean_prior, np.nan)
+        values = [prior, mean_prior, std_prior, ratio, t - previous, rows_before(t) - rows_before(t - self.horizon)]
+        out = pdf.assign(**dict(zip(self.names, values)))
         for name in (self.names[0], self.names[4], self.names[5]):
             out[name] = out[name].astype("Int64")
+
+        total = n + len(t)
+        shift = sums[-1] / total
+        fresh, sizes = np.unique(t, return_counts=True)
+        merged = pd.Series(counts, index=seconds, dtype="int64").add(
+            pd.Series(sizes, index=fresh, dtype="int64"), fill_value=0
+        ).astype("int64").sort_index()
+        latest = max(int(t[-1]), last if last is not None else int(t[-1]))
+        merged = merged[merged.index >= latest - self.horizon]
+        self.state.update((
+            int(total), float(centre + shift), float(max(squares[-1] - total * shift * shift, 0.0)), int(t[-1]),
+            merged.index.tolist(), merged.tolist(),
+        ))
         yield out[[*self.columns, *self.names]]
 
     def close(self) -> None:
