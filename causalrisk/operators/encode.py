@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causalrisk.operators.ordered import with_row_index
-from causalrisk.operators.unpivot import long_form
+from causalrisk.operators.unpivot import as_text, long_form
 
 BROADCAST_LEVELS = 500_000
 
@@ -61,7 +61,7 @@ class FrequencyEncoder:
             if c not in df.columns:
                 out = out.withColumn(name, F.lit(self.unseen))
                 continue
-            value = F.col(c).cast("string")
+            value = as_text(df, c)
             lookup = self.table.filter(F.col("column") == c).select(
                 F.col("value").alias("_value"), F.col("freq").alias(name)
             )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from causalrisk.operators.unpivot import long_form
+
 
 def canonical_names(columns: list[str]) -> dict[str, str]:
     """The headers that change when hyphens become underscores."""
@@ -43,11 +45,8 @@ def column_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     Values are grouped before they are counted, so a frequent value is one row
     after the map-side step and no task holds a column's distinct set.
     """
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
-    ])))
     return (
-        long.filter(F.col("value").isNotNull())
+        long_form(df, columns, "string").filter(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("column").agg(F.count(F.lit(1)).alias("levels"), F.sum("n").alias("present"))
     )
