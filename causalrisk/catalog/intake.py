@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from causalrisk.catalog.common import Catalog, long, q4, r4, rounded, with_tables
@@ -11,7 +13,9 @@ from causalrisk.functions.rowwise import (
 from causalrisk.operators import contracts, enrich as en, split as sp
 from causalrisk.operators.encode import FrequencyEncoder, fit_frequencies, select_recent
 from causalrisk.operators.entity import entity_history
-from causalrisk.sources.files import low_cardinality_columns
+from causalrisk.session import shared_folder
+from causalrisk.sources.files import low_cardinality_columns, read_csv
+from causalrisk.sources.sinks import write_fact, write_section
 from causalrisk.sources.tables import lineitems, read_table, transactions
 from causalrisk.spec import EVENT_STREAM, DatasetSpec, EntityKey
 
@@ -168,6 +172,52 @@ def low_cardinality_unique_name(spark, folder):
     return rounded(low_cardinality_columns(read_table(spark, folder, "customer")))
 
 
+@add("""
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority AS o_order_priority FROM orders
+""")
+def csv_round_trip(spark, folder):
+    """`orders` written as CSV with a hyphenated header and read back by an explicit schema."""
+    orders = read_table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderpriority").alias("o_order-priority"))
+    path = f"{shared_folder(spark).rstrip('/')}/orders-{uuid.uuid4().hex}"
+    orders.write.csv(path, header=True)
+    return read_csv(spark, path, orders.schema)
+
+
+@add(with_tables("SELECT count(*) AS n_rows, min(t) AS t_min, max(t) AS t_max, CAST(0 AS BIGINT) AS overlaps FROM txn", "txn"))
+def time_ordered_fact_table(spark, folder):
+    """The fact table written in time order, and how many of its files overlap in time."""
+    path = f"{shared_folder(spark).rstrip('/')}/fact-{uuid.uuid4().hex}"
+    write_fact(transactions(spark, folder), path, "t", "txn_id", 8)
+    key = F.struct("t", "txn_id")
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    listed = files.agg(F.sort_array(F.collect_list(F.struct("low", "high", "n"))).alias("f"))
+    pairs = F.zip_with(F.slice("f", 1, F.size("f") - 1), F.slice("f", 2, F.size("f") - 1), lambda a, b: (a["high"] >= b["low"]).cast("long"))
+    return listed.select(
+        F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_rows"),
+        F.array_min("f")["low"]["t"].alias("t_min"), F.array_max(F.transform("f", lambda x: x["high"]["t"])).alias("t_max"),
+        F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x).alias("overlaps"),
+    )
+
+
+@add("""
+    SELECT 'lineitem' AS section, l_returnflag AS name, count(*) AS n FROM lineitem GROUP BY l_returnflag
+    UNION ALL SELECT 'orders', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority
+""")
+def section_merge(spark, folder):
+    """Two result sections, the second one written again: the first stays."""
+    path = f"{shared_folder(spark).rstrip('/')}/sections-{uuid.uuid4().hex}"
+
+    def counts(section, table, column):
+        rows = read_table(spark, folder, table).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        return rows.withColumn("section", F.lit(section))
+
+    write_section(counts("lineitem", "lineitem", "l_returnflag").unionByName(counts("orders", "orders", "o_orderstatus")), path)
+    write_section(counts("orders", "orders", "o_orderpriority"), path)
+    return spark.read.schema("name string, n long, section string").parquet(path)
+
+
 # ------------------------------------------------------------ row features ---
 @add(with_tables(f"""
     SELECT txn_id, {q4('ln(1 + amount)')} AS amt_log, {q4('amount - floor(amount)')} AS amt_cents,

@@ -52,7 +52,7 @@ def inversions(df: DataFrame, raw: str, calibrated: str) -> DataFrame:
     """
     pairs = df.select(F.col(raw).alias("_score"), F.col(calibrated).alias("_mapped")).distinct()
     order = [F.col("_score"), F.col("_mapped")]
-    segments = in_segments(pairs, order).withColumn(ALL, F.lit(0))
+    segments = in_segments(pairs.withColumn(ALL, F.lit(0)), order)
     ends = segments.groupBy(ALL, SEGMENT).agg(
         F.max_by("_mapped", F.struct("_score", "_mapped")).alias("end")
     )

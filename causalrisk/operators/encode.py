@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causalrisk.operators.ordered import with_row_index
 from causalrisk.operators.unpivot import as_text, long_form
+from causalrisk.session import materialise
 
 BROADCAST_LEVELS = 500_000
 
@@ -36,7 +37,8 @@ class FrequencyEncoder:
     table: DataFrame | None = None
 
     def fit(self, train: DataFrame) -> FrequencyEncoder:
-        table = fit_frequencies(train, self.columns)
+        # Every encoded column reads the map again.
+        table = materialise(fit_frequencies(train, self.columns), "frequencies")
         kept = [c for c in self.columns if c in train.columns]
         return FrequencyEncoder(kept, self.unseen, table)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from causalrisk.operators.ordered import SEGMENT, in_segments
+from causalrisk.session import materialise
 from causalrisk.spec import EntityKey
 
 DAY = 86400
@@ -50,26 +51,38 @@ def entity_history(
     coarse = [parts[c] for c in keys[0].columns]
     absent = _absent(keys[0])
 
-    large = (
-        work.groupBy(*coarse).agg(F.count(F.lit(1)).alias("_n"), F.max(absent).alias("_absent"))
-        .filter((F.col("_n") > rows_per_task) | (F.col("_absent") == 1))
-        .select(*coarse)
-    )
-    if large.isEmpty():
+    large = _large_keys(work, coarse, rows_per_task, absent)
+    if large is None:
         out = _share_one_exchange(work, keys, parts, order, time, amount, horizon)
     else:
-        # At most rows / rows_per_task keys and the missing ones are in `large`.
         match = [F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}")) for c in coarse]
         facts, listed = work.alias("f"), F.broadcast(large.alias("l"))
         ordinary = facts.join(listed, match, "left_anti")
         rest = facts.join(listed, match, "left_semi")
         for key in keys:
+            # Each key reads its rows several times.
+            rest = materialise(rest, "history")
             rest = _history_of_one_key(rest, key, parts, order, time, amount, horizon, rows_per_task)
         ordinary = _share_one_exchange(ordinary, keys, parts, order, time, amount, horizon)
         out = ordinary.unionByName(rest)
     return out.drop(*parts.values())
 
 
+def _large_keys(rows: DataFrame, by: list[str], limit: int, absent: Column | None = None) -> DataFrame | None:
+    """Key values with more than `limit` rows, and those without an entity; None if there are none.
+
+    There are at most rows / limit of the first kind. The coarse key should be
+    one column, so that a missing value is one row of the second kind.
+    """
+    missing = F.max(absent) if absent is not None else F.lit(0)
+    found = (
+        rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), missing.alias("_absent"))
+        .filter((F.col("_n") > limit) | (F.col("_absent") == 1)).select(*by)
+    )
+    listed = found.collect()
+    return rows.sparkSession.createDataFrame(listed, found.schema) if listed else None
+
+
 def _absent(key: EntityKey) -> Column:
     """1 where the row has no entity under this key."""
     if key.missing is not None:
@@ -113,10 +126,8 @@ def _history_of_one_key(df, key, parts, order, time, amount, horizon, rows_per_t
         for n in history_names(key)
     })
     rows = df.filter(_absent(key) == 0)
-    large = (
-        rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task).select(*by)
-    )
-    if large.isEmpty():
+    large = _large_keys(rows, by, rows_per_task)
+    if large is None:
         return _share_one_exchange(rows, (key,), parts, order, time, amount, horizon).unionByName(without)
     small = _share_one_exchange(rows.join(F.broadcast(large), by, "left_anti").select(*rows.columns),
                                 (key,), parts, order, time, amount, horizon)

@@ -85,7 +85,7 @@ def segment_offsets(segments: DataFrame, keys: list[str], measures: list[str]) -
 
 def with_row_index(df: DataFrame, order: list[Column], index: str = "row_index") -> DataFrame:
     """`df` with a zero-based position in the global `order` and the row count in `rows`."""
-    segments = in_segments(df, order).withColumn(ALL, F.lit(0))
+    segments = in_segments(df.withColumn(ALL, F.lit(0)), order)
     one = segments.withColumn("_n", F.lit(1).cast("long"))
     offsets = segment_offsets(one, [ALL], ["_n"]).drop(ALL)
     inside = Window.partitionBy(SEGMENT).orderBy(*order)
