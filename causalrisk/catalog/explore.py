@@ -117,7 +117,7 @@ def missing_as_signal(spark, folder):
 
 
 def _summary_sql(columns: list[str]) -> str:
-    one = """SELECT '{c}' AS "column", label, count(*) AS n, count(*) - count({c}) AS missing, {mean} AS mean, {top} AS max,
+    one = """SELECT '{c}' AS "column", label::BIGINT AS label, count(*) AS n, count(*) - count({c}) AS missing, {mean} AS mean, {top} AS max,
         {p25} AS p25, {median} AS median, {p75} AS p75, {p99} AS p99 FROM txn GROUP BY label"""
     return " UNION ALL ".join(
         one.format(
@@ -142,7 +142,7 @@ def exact_quantile_table(spark, folder):
 
 
 @add(with_tables(f"""
-    SELECT count_if(label = 0) AS negatives, count_if(label = 1) AS positives, {q4('avg(label)')} AS rate,
+    SELECT count_if(label = 0)::BIGINT AS negatives, count_if(label = 1)::BIGINT AS positives, {q4('avg(label)')} AS rate,
            {q4('count_if(label = 0) / greatest(count_if(label = 1), 1)')} AS imbalance_weight FROM txn
 """, "txn"))
 def class_balance(spark, folder):

@@ -138,7 +138,7 @@ def enrich_row_count(spark, folder):
 
 @add(with_tables(f"""
     WITH i AS (SELECT txn_id FROM txn WHERE k % 4 = 0)
-    SELECT count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives, count_if(label = 0) AS negatives,
+    SELECT count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives, count_if(label = 0)::BIGINT AS negatives,
            {q4('avg(label)')} AS positive_rate, {q4('count_if(label = 0) / greatest(sum(label), 1)')} AS imbalance_ratio,
            min(t) AS t_min, max(t) AS t_max, {q4('(max(t) - min(t)) / 86400')} AS span_days,
            count(i.txn_id) AS matched, {q4('count(i.txn_id) / count(*)')} AS coverage
@@ -342,7 +342,7 @@ LINE_ORDER = ("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_q
     WITH f AS (SELECT *, CAST(epoch(l_shipdate) AS BIGINT) AS t FROM lineitem), h AS (
     SELECT *, {_history_sql('supplier', 'l_suppkey', 't, ' + ', '.join(LINE_ORDER), 't', 'l_extendedprice')},
         {_history_sql('supply', 'l_suppkey, l_partkey', 't, ' + ', '.join(LINE_ORDER), 't', 'l_extendedprice')} FROM f)
-    SELECT l_orderkey, l_linenumber, l_partkey, supplier_count_prior, supplier_amt_mean_prior, supplier_secs_since_last,
+    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, supplier_count_prior, supplier_amt_mean_prior, supplier_secs_since_last,
         supplier_txns_last_day, supply_count_prior, supply_amt_mean_prior, supply_amt_ratio, supply_secs_since_last,
         supply_txns_last_day FROM h
 """)

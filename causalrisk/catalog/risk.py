@@ -212,7 +212,7 @@ def calibration_error(spark, folder):
 
 @add(with_tables("""
     WITH p AS (SELECT DISTINCT score, score + ((score * 1000000)::BIGINT % 7) * 0.001::DOUBLE AS c FROM scored)
-    SELECT count_if(c - prev < -1e-12) AS inversions FROM (SELECT c, lag(c) OVER (ORDER BY score, c) AS prev FROM p)
+    SELECT count_if(c - prev < -1e-12)::BIGINT AS inversions FROM (SELECT c, lag(c) OVER (ORDER BY score, c) AS prev FROM p)
 """, "scored"))
 def inversion_count(spark, folder):
     wiggle = F.round(F.col("score") * 1000000).cast("long") % 7 * 0.001
@@ -257,7 +257,7 @@ def calibration_comparison(spark, folder):
 
 
 @add(with_tables("""
-    SELECT m AS method, (SELECT count_if(part <> 'train') FROM parted) AS n_rows, CAST(0 AS BIGINT) AS inversions, CAST(0 AS BIGINT) AS outside
+    SELECT m AS method, (SELECT count(*) FROM parted WHERE part <> 'train') AS n_rows, CAST(0 AS BIGINT) AS inversions, CAST(0 AS BIGINT) AS outside
     FROM (SELECT unnest(['isotonic', 'sigmoid']) AS m)
 """, "parted"))
 def calibration_is_monotone(spark, folder):

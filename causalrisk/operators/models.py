@@ -78,11 +78,11 @@ def doubles_stage(columns: list[str], absent: float | None = None) -> SQLTransfo
     )
 
 
-def with_balanced_weight(train: DataFrame, target: str) -> DataFrame:
-    """Row weights that give both classes the same total and sum to the row count."""
+def with_balanced_weight(train: DataFrame, target: str) -> tuple[DataFrame, int]:
+    """Row weights that give both classes the same total and sum to the row count, and that count."""
     row = train.agg(F.sum(target).alias("p"), F.count(F.lit(1)).alias("n")).first()
     positive, negative = row.n / (2.0 * max(row.p, 1)), row.n / (2.0 * max(row.n - row.p, 1))
-    return train.withColumn("_weight", F.when(F.col(target) == 1, positive).otherwise(negative))
+    return train.withColumn("_weight", F.when(F.col(target) == 1, positive).otherwise(negative)), row.n
 
 
 def fit_baseline(train: DataFrame, numeric: list[str], categorical: list[str], target: str) -> PipelineModel:
@@ -104,13 +104,13 @@ def fit_baseline(train: DataFrame, numeric: list[str], categorical: list[str], t
         hot = [f"{c}__hot" for c in levels]
         stages += [pooling_stage(levels), indexer, OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=False)]
         inputs += hot
-    weighted = with_balanced_weight(train, target)
+    weighted, n = with_balanced_weight(train, target)
     stages += [
         VectorAssembler(inputCols=inputs, outputCol="features"),
         LogisticRegression(
             labelCol=target, weightCol="_weight", maxIter=1000, standardization=False,
             # One unit of squared penalty against the summed loss.
-            regParam=1.0 / max(weighted.count(), 1),
+            regParam=1.0 / max(n, 1),
         ),
     ]
     return Pipeline(stages=stages).fit(weighted)
