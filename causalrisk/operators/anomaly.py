@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from causalrisk.operators.models import ABSENT_NUMBER
 
@@ -53,6 +53,29 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
     return nodes
 
 
+def _draw(df: DataFrame, id: str, values: Column, trees: int, share: float, seed: int) -> DataFrame:
+    """(tree, _id, x): the sample of every tree.
+
+    Where a row is in at most one tree anyway, it is drawn once and given a
+    tree; else it is drawn for each tree on its own.
+    """
+    span = 1 << 31
+
+    def draw(*salt: Column) -> Column:
+        return F.pmod(F.xxhash64("_id", *salt), F.lit(span))
+
+    chosen = df.select(F.col(id).alias("_id"), values.alias("x"))
+    if share >= 1.0:
+        number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    elif share * trees <= 0.05:
+        chosen = chosen.filter(draw(F.lit(seed)) < int(share * trees * span))
+        number = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit("tree")), F.lit(trees)).cast("int")
+    else:
+        limit = int(share * span)
+        number = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t, F.lit(seed)) < limit))
+    return chosen.select(number.alias("tree"), "_id", "x")
+
+
 @dataclass
 class IsolationForest:
     columns: list[str]
@@ -70,11 +93,7 @@ class IsolationForest:
         total = df.count()
         share = min(1.0, sample / max(total, 1))
         values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(ABSENT_NUMBER)) for c in columns])
-        numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-        if share < 1.0:
-            limit = int(share * (1 << 31))
-            numbers = F.filter(numbers, lambda t: F.pmod(F.xxhash64(F.col(id), t, F.lit(seed)), F.lit(1 << 31)) < limit)
-        drawn = df.select(F.explode(numbers).alias("tree"), F.col(id).alias("_id"), values.alias("x"))
+        drawn = _draw(df, id, values, trees, share, seed)
 
         def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(key[0])

@@ -158,10 +158,11 @@ def direction(contribution: Column) -> Column:
 
 def reason_rows(df: DataFrame, id: str, reasons: str = "reasons") -> DataFrame:
     """(id, position, feature, value, contribution, direction), strongest first."""
-    return df.select(id, F.posexplode(reasons).alias("position", "r")).select(
-        id, (F.col("position") + 1).alias("position"), "r.feature", "r.value", "r.contribution",
-        direction(F.col("r.contribution")).alias("direction"),
-    )
+    numbered = F.transform(reasons, lambda r, i: F.struct(
+        (i + 1).alias("position"), r["feature"].alias("feature"), r["value"].alias("value"),
+        r["contribution"].alias("contribution"), direction(r["contribution"]).alias("direction"),
+    ))
+    return df.select(id, F.inline(numbered))
 
 
 def global_importance(df: DataFrame, reasons: str = "reasons", top: int = 25) -> DataFrame:

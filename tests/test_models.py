@@ -114,6 +114,13 @@ def test_decisions(spark):
     assert [r[0] for r in df.select(md.decision(F.col("p"), 0.94)).collect()] == ["DECLINE", "APPROVE", "APPROVE", "APPROVE"]
 
 
+def test_rare_draws_give_samples_of_the_wanted_size(spark):
+    df = spark.range(200_000).select("id", (F.col("id") % 97).alias("a"))
+    forest = IsolationForest.fit(df, ["a"], "id", trees=20, sample=256)
+    used = [r.used for r in forest.nodes.select("tree", "used").distinct().collect()]
+    assert len(used) == 20 and 180 < min(used) and max(used) < 340
+
+
 @pytest.mark.parametrize("sample, nodes", [(256_000, 8_000_000), (256, 600)])
 def test_isolation_forest_ranks_outliers_first(spark, monkeypatch, sample, nodes, tmp_path):
     from causalrisk.operators import anomaly
