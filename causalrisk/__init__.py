@@ -1,5 +1,9 @@
 """causalrisk: event-level risk analytics as composable Spark DataFrame operators."""
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
 from causalrisk.session import build_session, materialise, prepare
 from causalrisk.spec import CARD_PAYMENTS, EVENT_STREAM, DatasetSpec, EntityKey
 
@@ -12,3 +16,6 @@ __all__ = [
     "materialise",
     "prepare",
 ]
+
+# Functions that run in tasks travel with the job, so executors need no installed copy.
+register_pickle_by_value(sys.modules[__name__])
