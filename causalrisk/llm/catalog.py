@@ -8,6 +8,8 @@ from causalrisk.catalog.common import Catalog, Query
 from causalrisk.llm import sql
 from causalrisk.llm.common import read
 from causalrisk.llm.decontaminate import find_leaks
+from causalrisk.llm.quality import MEASURES, judge_documents
+from causalrisk.llm.url_reputation import judge_urls
 
 CATALOG = Catalog()
 
@@ -16,6 +18,15 @@ def llm_queries() -> dict[str, Query]:
     return dict(CATALOG)
 
 
+@CATALOG.add(sql.OP1)
+def op1_url_reputation(spark, folder):
+    """A page's outcome is the label with its number: bad if toxic or of low quality."""
+    labels = read(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"),
+    )
+    return judge_urls(read(spark, folder, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
 @CATALOG.add(sql.OP2)
 def op2_suffix_automaton_decontamination(spark, folder):
     found = find_leaks(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
@@ -24,3 +35,8 @@ def op2_suffix_automaton_decontamination(spark, folder):
         "row.doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"),
         F.sha2(items, 256).alias("items_sha256"), (F.col("leak.n_hit") > 0).alias("contaminated"),
     )
+
+
+@CATALOG.add(sql.OP8)
+def op8_host_quality_rules(spark, folder):
+    return judge_documents(read(spark, folder, "documents"), keep=["doc_id"]).select("row.doc_id", *MEASURES, "base_failed", "kept")

@@ -6,6 +6,43 @@ LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 NOT_SPACE = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def strength(table: str, mean: str) -> str:
+    """Rows that a beta prior of the groups (n, k) of `table` is worth."""
+    return f"""(SELECT 1.0::DOUBLE / least(0.5::DOUBLE, greatest(0.001::DOUBLE, coalesce(
+        sum((k - n * {mean}) * (k - n * {mean}) - n * {mean} * (1 - {mean})) / nullif(sum(n * (n - 1) * {mean} * (1 - {mean})), 0), 0))) - 1 FROM {table})"""
+
+
+OP1 = f"""
+WITH page AS (
+    SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+lab AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels GROUP BY doc_id),
+seen AS (
+    SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k, string_split(host, '.') AS part
+    FROM page JOIN lab USING (page_id) WHERE host <> '' AND bad IS NOT NULL GROUP BY host),
+named AS (SELECT host, n, k, part[-1] AS suffix, array_to_string(part[-2:], '.') AS domain FROM seen),
+total AS (SELECT coalesce(sum(k) / sum(n), 0) AS mu FROM named),
+dom AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL),
+suf AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT mu FROM total) AS mu FROM dom GROUP BY suffix),
+suf2 AS (SELECT suffix, (k + m * mu) / (n + m) AS mu FROM (SELECT *, {strength("suf", "mu")} AS m FROM suf)),
+dom2 AS (SELECT domain, n, k, mu FROM dom JOIN suf2 USING (suffix)),
+dom3 AS (SELECT domain, (k + m * mu) / (n + m) AS mu FROM (SELECT *, {strength("dom2", "mu")} AS m FROM dom2)),
+host2 AS (SELECT host, named.n, named.k, mu FROM named JOIN dom3 USING (domain)),
+host3 AS (SELECT host, n, m, (k + m * mu) / (n + m) AS rate FROM (SELECT *, {strength("host2", "mu")} AS m FROM host2)),
+bound AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1)) AS low FROM host3),
+rule AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+         ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS r(pattern, rule_host, rule_path, verdict)),
+fit AS (
+    SELECT page_id, url, max_by(pattern, length(pattern)) AS rule, max_by(verdict, length(pattern)) AS verdict
+    FROM (SELECT DISTINCT page_id, url, host, path FROM page) JOIN rule ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY page_id, url)
+SELECT page.page_id, page.host, path, rule, coalesce(verdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM page LEFT JOIN fit ON page.page_id IS NOT DISTINCT FROM fit.page_id AND page.url = fit.url LEFT JOIN bound ON page.host = bound.host
+"""
+
 OP2 = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWERED}, {ALNUM}) AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (
@@ -23,3 +60,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
+
+OP8 = f"""
+WITH doc AS (
+    SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), {NOT_SPACE}) AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, {NOT_SPACE})) AS lines
+    FROM documents),
+place AS (
+    SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM doc WHERE len(w) >= 8)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM place) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
+base AS (
+    SELECT rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    FROM doc LEFT JOIN rep USING (rid)),
+ruled AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM base),
+failed AS (
+    SELECT *, CASE WHEN base_failed OR n_symbols * 10 > word_chars OR n_dup_lines * 5 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 20
+                   THEN 1 ELSE 0 END AS bad FROM ruled),
+host AS (SELECT source, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k FROM failed WHERE source IS NOT NULL GROUP BY source),
+prior AS (SELECT *, (SELECT sum(k) / sum(n) FROM host) AS mu FROM host),
+shrunk AS (SELECT source, n, m, (k + m * mu) / (n + m) AS rate FROM (SELECT *, {strength("prior", "mu")} AS m FROM prior)),
+verdict AS (SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1)) > 0.9 AS rejected FROM shrunk)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM failed LEFT JOIN verdict USING (source)
+"""
