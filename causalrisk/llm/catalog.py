@@ -8,11 +8,21 @@ from causalrisk.catalog.common import Catalog, Query
 from causalrisk.llm import sql
 from causalrisk.llm.common import read
 from causalrisk.llm.decontaminate import find_leaks
+from causalrisk.llm.mixing import mix_documents
 from causalrisk.llm.quality import MEASURES, judge_documents
+from causalrisk.llm.shards import kd_shards
 from causalrisk.llm.url_reputation import judge_urls
 
 CATALOG = Catalog()
 
+#: Production targets of the mix: the hot source is taken back to a tenth of all tokens.
+MIX_TARGETS = {
+    "source": {"src0": 0.10},
+    "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13},
+    "topic": {"prose": 0.80, "table": 0.05, "symbols": 0.05, "capitals": 0.05, "short": 0.05},
+}
+SHARDS = 24
+
 
 def llm_queries() -> dict[str, Query]:
     return dict(CATALOG)
@@ -37,6 +47,19 @@ def op2_suffix_automaton_decontamination(spark, folder):
     )
 
 
+@CATALOG.add()
+def op3_kd_tree_sharding(spark, folder):
+    return kd_shards(read(spark, folder, "documents"), SHARDS).withColumns(
+        {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    )
+
+
 @CATALOG.add(sql.OP8)
 def op8_host_quality_rules(spark, folder):
     return judge_documents(read(spark, folder, "documents"), keep=["doc_id"]).select("row.doc_id", *MEASURES, "base_failed", "kept")
+
+
+@CATALOG.add(sql.op10(MIX_TARGETS))
+def op10_proportional_mixing(spark, folder):
+    mixed = mix_documents(read(spark, folder, "documents"), MIX_TARGETS, keep=["doc_id"])
+    return mixed.select("doc_id", "tokens", "source", "lang", "topic", F.round("probability", 6).alias("probability"), "sampled")

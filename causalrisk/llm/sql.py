@@ -87,3 +87,43 @@ verdict AS (SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM failed LEFT JOIN verdict USING (source)
 """
+
+
+def op10(targets: dict[str, dict[str, float]], sweeps: int = 25) -> str:
+    """Raking written out sweep by sweep; cells are few."""
+    def known(column: str, dimension: str) -> str:
+        names = ", ".join(f"'{n}'" for n in targets[dimension])
+        return f"CASE WHEN {column} IN ({names}) THEN {column} ELSE '(other)' END"
+
+    steps, last = [], "cell"
+    for d in targets:
+        listed = " ".join(f"WHEN '{n}' THEN {v!r}::DOUBLE" for n, v in targets[d].items())
+        rest = max(0.0, 1.0 - sum(targets[d].values()))
+        steps.append(
+            f"goal_{d} AS MATERIALIZED (SELECT {d}, share / sum(share) OVER () AS share FROM "
+            f"(SELECT {d}, CASE {d} {listed} ELSE {rest!r}::DOUBLE END AS share FROM cell GROUP BY {d} HAVING sum(tokens) > 0))"
+        )
+    for i in range(sweeps):
+        for d in targets:
+            steps.append(
+                f"{d}_{i} AS MATERIALIZED (SELECT c.* EXCLUDE (w), CASE WHEN own > 0 THEN w * share * total / own ELSE w END AS w FROM "
+                f"(SELECT *, sum(w) OVER (PARTITION BY {d}) AS own, sum(w) OVER () AS total FROM {last}) c JOIN goal_{d} USING ({d}))".replace("c.* EXCLUDE (w)", "c.* EXCLUDE (w, own, total)")
+            )
+            last = f"{d}_{i}"
+    return f"""
+WITH seen AS (
+    SELECT doc_id, source, lang, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), {NOT_SPACE})) AS BIGINT) AS tokens FROM documents),
+typed AS (
+    SELECT *, CASE
+        WHEN (length(t) - length(replace(t, '|', ''))) * 5 > tokens THEN 'table'
+        WHEN (length(t) - length(regexp_replace(t, '[#*$%&<>]', '', 'g'))) * 20 > length(t) THEN 'symbols'
+        WHEN (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) * 3 > length(t) THEN 'capitals'
+        WHEN tokens < 100 THEN 'short' ELSE 'prose' END AS kind FROM seen),
+doc AS (SELECT doc_id, tokens, {known("source", "source")} AS source, {known("lang", "lang")} AS lang, {known("kind", "topic")} AS topic FROM typed),
+cell AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS w FROM doc GROUP BY ALL HAVING sum(tokens) > 0),
+{", ".join(steps)},
+chance AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM {last})
+SELECT doc_id, tokens, source, lang, topic, round(p, 6) AS probability,
+       ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix')[1:8])::BIGINT / 4294967296.0::DOUBLE < p AS sampled
+FROM doc LEFT JOIN chance USING (source, lang, topic)
+"""
