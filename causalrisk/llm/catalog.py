@@ -8,6 +8,7 @@ from causalrisk.catalog.common import Catalog, Query
 from causalrisk.llm import sql
 from causalrisk.llm.common import read
 from causalrisk.llm.decontaminate import find_leaks
+from causalrisk.llm.licenses import TEMPLATES, find_licenses
 from causalrisk.llm.mixing import mix_documents
 from causalrisk.llm.quality import MEASURES, judge_documents
 from causalrisk.llm.shards import kd_shards
@@ -54,6 +55,11 @@ def op3_kd_tree_sharding(spark, folder):
     )
 
 
+@CATALOG.add(sql.op5(TEMPLATES))
+def op5_diagonal_license_scan(spark, folder):
+    return find_licenses(read(spark, folder, "documents")).drop("spans")
+
+
 @CATALOG.add(sql.OP8)
 def op8_host_quality_rules(spark, folder):
     return judge_documents(read(spark, folder, "documents"), keep=["doc_id"]).select("row.doc_id", *MEASURES, "base_failed", "kept")
