@@ -8,6 +8,7 @@ from causalrisk.catalog.common import Catalog, Query
 from causalrisk.llm import sql
 from causalrisk.llm.common import read
 from causalrisk.llm.decontaminate import find_leaks
+from causalrisk.llm.jaccard import jaccard_components
 from causalrisk.llm.licenses import TEMPLATES, find_licenses
 from causalrisk.llm.mixing import mix_documents
 from causalrisk.llm.quality import MEASURES, judge_documents
@@ -55,6 +56,11 @@ def op3_kd_tree_sharding(spark, folder):
     )
 
 
+@CATALOG.add(sql.OP4)
+def op4_prefix_tree_jaccard(spark, folder):
+    return jaccard_components(read(spark, folder, "documents"))
+
+
 @CATALOG.add(sql.op5(TEMPLATES))
 def op5_diagonal_license_scan(spark, folder):
     return find_licenses(read(spark, folder, "documents")).drop("spans")

@@ -61,6 +61,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
+OP4 = f"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({LOWERED}, {NOT_SPACE}) END AS w FROM documents),
+gram AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+    FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+link AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * k >= 80 * (s.n + t.n - k)),
+walk AS (SELECT doc_id AS node, doc_id AS seen FROM size UNION SELECT walk.node, link.b FROM walk JOIN link ON walk.seen = link.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(seen) AS c FROM walk GROUP BY node) USING (doc_id)
+"""
+
 OP8 = f"""
 WITH doc AS (
     SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
