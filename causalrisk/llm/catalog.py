@@ -11,6 +11,7 @@ from causalrisk.llm.decontaminate import find_leaks
 from causalrisk.llm.jaccard import jaccard_components
 from causalrisk.llm.licenses import TEMPLATES, find_licenses
 from causalrisk.llm.mixing import mix_documents
+from causalrisk.llm.personal_data import KINDS, find_personal_data
 from causalrisk.llm.quality import MEASURES, judge_documents
 from causalrisk.llm.shards import kd_shards
 from causalrisk.llm.url_reputation import judge_urls
@@ -66,6 +67,28 @@ def op5_diagonal_license_scan(spark, folder):
     return find_licenses(read(spark, folder, "documents")).drop("spans")
 
 
+def _digest(spans, order):
+    """kind:start:end of sorted spans, comma-joined."""
+    ranked = F.array_sort(F.transform(spans, lambda s: F.struct(*order(s), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _n_of(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@CATALOG.add()
+def op6_bootstrapped_personal_data(spark, folder):
+    def order(s):
+        return F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("a"), s["start"].alias("b")
+
+    found = find_personal_data(read(spark, folder, "documents"), ["doc_id"])
+    counts = [_n_of("base", k).alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "row.doc_id", *counts, F.sha2(_digest("base", order), 256).alias("base_sha256"), _digest(F.concat("base", "added"), order).alias("spans"),
+    )
+
+
 @CATALOG.add(sql.OP8)
 def op8_host_quality_rules(spark, folder):
     return judge_documents(read(spark, folder, "documents"), keep=["doc_id"]).select("row.doc_id", *MEASURES, "base_failed", "kept")
