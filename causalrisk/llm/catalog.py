@@ -8,11 +8,13 @@ from causalrisk.catalog.common import Catalog, Query
 from causalrisk.llm import sql
 from causalrisk.llm.common import read
 from causalrisk.llm.decontaminate import find_leaks
+from causalrisk.llm.extract import extract_pages
 from causalrisk.llm.jaccard import jaccard_components
 from causalrisk.llm.licenses import TEMPLATES, find_licenses
 from causalrisk.llm.mixing import mix_documents
 from causalrisk.llm.personal_data import KINDS, find_personal_data
 from causalrisk.llm.quality import MEASURES, judge_documents
+from causalrisk.llm.secret_scan import KINDS as SECRET_KINDS, find_secrets
 from causalrisk.llm.shards import kd_shards
 from causalrisk.llm.url_reputation import judge_urls
 
@@ -89,11 +91,29 @@ def op6_bootstrapped_personal_data(spark, folder):
     )
 
 
+@CATALOG.add()
+def op7_guess_cost_secrets(spark, folder):
+    def order(s):
+        return s["start"].alias("a"), F.array_position(F.array(*map(F.lit, SECRET_KINDS)), s["kind"]).alias("b")
+
+    found = find_secrets(read(spark, folder, "documents"), ["doc_id"])
+    counts = [_n_of("base", k).alias(f"n_{k}") for k in SECRET_KINDS[:3]]
+    return found.select(
+        "row.doc_id", *counts, F.sha2(_digest("base", order), 256).alias("base_sha256"), _digest(F.concat("base", "added"), order).alias("spans"),
+    )
+
+
 @CATALOG.add(sql.OP8)
 def op8_host_quality_rules(spark, folder):
     return judge_documents(read(spark, folder, "documents"), keep=["doc_id"]).select("row.doc_id", *MEASURES, "base_failed", "kept")
 
 
+@CATALOG.add()
+def op9_consensus_extraction(spark, folder):
+    found = extract_pages(read(spark, folder, "pages"), ["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @CATALOG.add(sql.op10(MIX_TARGETS))
 def op10_proportional_mixing(spark, folder):
     mixed = mix_documents(read(spark, folder, "documents"), MIX_TARGETS, keep=["doc_id"])
