@@ -4,7 +4,7 @@ import sys
 
 from pyspark.cloudpickle import register_pickle_by_value
 
-from causalrisk.session import build_session, materialise, prepare
+from causalrisk.session import build_session, materialise, prepare, release, scratch
 from causalrisk.spec import CARD_PAYMENTS, EVENT_STREAM, DatasetSpec, EntityKey
 
 __all__ = [
@@ -15,6 +15,8 @@ __all__ = [
     "build_session",
     "materialise",
     "prepare",
+    "release",
+    "scratch",
 ]
 
 # Functions that run in tasks travel with the job, so executors need no installed copy.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,13 +54,54 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of stored tables by the scope that owns them; the first scope lives until `release`.
+_OWNED: list[list[str]] = [[]]
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and return a reader over the files.
 
     Unlike a cached frame the files outlive executors, so values that Spark
     would assign anew on a retry (partition numbers) stay as first written.
+    The table belongs to the innermost `scratch` block, else to the session.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _OWNED[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose stored tables go when it ends, but for those stored by the function it yields.
+
+    What leaves the block may only read tables of the second kind.
+    """
+    own: list[str] = []
+    kept: list[str] = []
+    _OWNED.append(own)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialise(df, label)
+        kept.append(own.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _OWNED.remove(own)
+        _OWNED[-1] += kept
+        _delete(spark, own)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all stored tables outside of open blocks; results not yet written or collected can't be read any more."""
+    _delete(spark, _OWNED[0])
+    _OWNED[0].clear()

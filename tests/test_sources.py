@@ -78,3 +78,21 @@ def test_fingerprints(spark, tmp_path):
     same = table_fingerprint(df.orderBy(F.rand(1)).repartition(7)).first()
     assert table_fingerprint(df).first() == same
     assert table_fingerprint(df.filter("id <> 5")).first() != same
+
+
+def test_stored_tables_go_with_their_block_or_on_release(spark, tmp_path):
+    import os
+
+    from causalrisk import materialise, release, scratch
+    from causalrisk.session import shared_folder
+
+    release(spark)
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with scratch(spark) as keep:
+        inner = materialise(spark.range(3), "inner")
+        kept = keep(inner.selectExpr("id + 1 as id"), "kept")
+    assert {n.split("-")[0] for n in set(os.listdir(folder)) - before} == {"kept"}
+    assert kept.count() == 3
+    release(spark)
+    assert set(os.listdir(folder)) == before
