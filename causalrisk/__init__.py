@@ -4,7 +4,7 @@ import sys
 
 from pyspark.cloudpickle import register_pickle_by_value
 
-from causalrisk.session import build_session, materialise, prepare, release, scratch
+from causalrisk.session import build_session, discard, materialise, owner, prepare, release, scratch
 from causalrisk.spec import CARD_PAYMENTS, EVENT_STREAM, DatasetSpec, EntityKey
 
 __all__ = [
@@ -13,7 +13,9 @@ __all__ = [
     "EVENT_STREAM",
     "EntityKey",
     "build_session",
+    "discard",
     "materialise",
+    "owner",
     "prepare",
     "release",
     "scratch",

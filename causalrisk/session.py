@@ -54,8 +54,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Paths of stored tables by the scope that owns them; the first scope lives until `release`.
-_OWNED: list[list[str]] = [[]]
+#: Paths of stored tables by owner, and the owners of the blocks that are open now.
+_TABLES: dict[str, list[str]] = {"session": []}
+_OPEN: list[list[str]] = [_TABLES["session"]]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -63,13 +64,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Unlike a cached frame the files outlive executors, so values that Spark
     would assign anew on a retry (partition numbers) stay as first written.
-    The table belongs to the innermost `scratch` block, else to the session.
+    The table belongs to the innermost `scratch` or `owner` block, else to the
+    session; `release` deletes what an owner has.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _OWNED[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _OPEN[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
@@ -86,22 +90,42 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     """
     own: list[str] = []
     kept: list[str] = []
-    _OWNED.append(own)
+    _OPEN.append(own)
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         out = materialise(df, label)
-        kept.append(own.pop())
+        own.remove(out._stored_at)
+        kept.append(out._stored_at)
         return out
 
     try:
         yield keep
     finally:
-        _OWNED.remove(own)
-        _OWNED[-1] += kept
+        _OPEN.pop()
+        _OPEN[-1].extend(kept)
         _delete(spark, own)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all stored tables outside of open blocks; results not yet written or collected can't be read any more."""
-    _delete(spark, _OWNED[0])
-    _OWNED[0].clear()
+@contextmanager
+def owner(name: str) -> Iterator[None]:
+    """A block whose stored tables stay until `release(spark, name)`."""
+    _OPEN.append(_TABLES.setdefault(name, []))
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+
+
+def release(spark: SparkSession, name: str = "session") -> None:
+    """Delete the stored tables of an owner; results that read them can't be read any more."""
+    paths = _TABLES.setdefault(name, [])
+    _delete(spark, paths)
+    paths.clear()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete one table that `materialise` returned."""
+    for paths in (*_TABLES.values(), *_OPEN):
+        if df._stored_at in paths:
+            paths.remove(df._stored_at)
+    _delete(df.sparkSession, [df._stored_at])
