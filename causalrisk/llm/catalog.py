@@ -30,7 +30,10 @@ SHARDS = 24
 
 
 def llm_queries() -> dict[str, Query]:
-    return dict(CATALOG)
+    """The queries of the ten operators, and the pipeline made of five of them."""
+    import corpus_pipeline
+
+    return {**CATALOG, "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
 
 
 @CATALOG.add(sql.OP1)
@@ -117,4 +120,4 @@ def op9_consensus_extraction(spark, folder):
 @CATALOG.add(sql.op10(MIX_TARGETS))
 def op10_proportional_mixing(spark, folder):
     mixed = mix_documents(read(spark, folder, "documents"), MIX_TARGETS, keep=["doc_id"])
-    return mixed.select("doc_id", "tokens", "source", "lang", "topic", F.round("probability", 6).alias("probability"), "sampled")
+    return mixed.select("row.doc_id", "tokens", "source", "lang", "topic", F.round("probability", 6).alias("probability"), "sampled")

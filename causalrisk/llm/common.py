@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causalrisk.session import materialise, prepare
+from causalrisk.session import materialise, prepare, scratch  # noqa: F401
 
 #: Fixed value: A-Z and what they become; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,8 +30,3 @@ def ascii_lower(text: Column) -> Column:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: lineage ends, row numbers and hashes stay as written."""
     return materialise(df, label)
-
-
-def fresh(name: str) -> str:
-    """A column name that no input has."""
-    return f"{name}_{uuid.uuid4().hex[:12]}"

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causalrisk.llm.common import stored
+from causalrisk.llm.common import scratch, stored
 from causalrisk.llm.components import components
 from causalrisk.llm.words import NOT_SPACE, gram_hashes, mix, text_chunks
 
@@ -333,48 +333,49 @@ def block_links(stored_sets: DataFrame, probes: DataFrame, sets: DataFrame, full
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`."""
     docs = docs.select("doc_id", "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    sent = frequent_grams(docs, n)
-    described = stored(
-        docs.mapInArrow(_set_scan(n, percent, sent), f"doc_id {id_type}, f1 bigint, f2 bigint, n bigint, prefix array<bigint>, bits binary"), "described"
-    )
-    sets = described.where("prefix is not null").groupBy("f1", "f2").agg(F.first(F.struct("doc_id", "n", "prefix", "bits")).alias("s"))
-    sets = stored(sets.select(F.monotonically_increasing_id().alias("sid"), "f1", "f2", "s.*"), "sets")
-
-    def full(wanted: DataFrame) -> DataFrame:
-        own = sets.join(wanted, "sid").select("sid", "f1", "f2", F.col("doc_id").alias("of"))
-        texts = docs.join(own.select("of").distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
-        read = texts.mapInArrow(_full_scan(n, sent), "f1 bigint, f2 bigint, grams binary")
-        return stored(read.join(own.select("sid", "f1", "f2"), ["f1", "f2"]).dropDuplicates(["sid"]).select("sid", "grams"), "grams")
-
-    entries = sets.select("sid", "n", F.explode("prefix").alias("gram"))
-    centres = entries.groupBy("gram").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).where("centre < last").select("gram", "centre")
-    met = stored(entries.join(centres, "gram"), "met")
-    stars = met.where("sid != centre").select(F.col("centre").alias("key"), "sid").distinct()
-    near = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False)
-    first = stored(components(near), "components")
-
-    placed = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", "n", F.coalesce("component", "sid").alias("component"))
-    placed = stored(placed, "placed")
-    several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    open_ = stored(placed.join(several, "gram"), "open")
-    members = open_.select("component", "sid").distinct()
-    weight = members.groupBy("component").agg(F.count("*").alias("weight"))
-    lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(weight, "component")
-    lengths = lengths.select("gram", F.col("component").alias("key"), "least", "most", F.col("weight").alias("key_weight"))
-    asks = open_.join(weight, "component").join(lengths, "gram").where(
-        (F.struct("key_weight", "key") > F.struct(F.col("weight"), F.col("component")))
-        & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    ).select("key", "sid").distinct()
-    asks = stored(asks, "asks")
-    stored_sets = members.withColumnRenamed("component", "key").join(asks.select("key").distinct(), "key", "left_semi")
-    more = block_links(stored_sets, asks, sets, full, percent, True)
-
-    # components of components: a link found in the second round joins two of the first
-    last = stored(components(near.union(more)), "components")
-    named = described.join(sets.select("f1", "f2", "sid"), ["f1", "f2"], "left").join(last.withColumnRenamed("node", "sid"), "sid", "left")
-    named = stored(named.select("doc_id", "n", F.coalesce("component", "sid").alias("component")), "named")
-    least = stored(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    with scratch(docs.sparkSession) as keep:
+        id_type = docs.schema["doc_id"].dataType.simpleString()
+        sent = frequent_grams(docs, n)
+        described = stored(
+            docs.mapInArrow(_set_scan(n, percent, sent), f"doc_id {id_type}, f1 bigint, f2 bigint, n bigint, prefix array<bigint>, bits binary"), "described"
+        )
+        sets = described.where("prefix is not null").groupBy("f1", "f2").agg(F.first(F.struct("doc_id", "n", "prefix", "bits")).alias("s"))
+        sets = stored(sets.select(F.monotonically_increasing_id().alias("sid"), "f1", "f2", "s.*"), "sets")
+
+        def full(wanted: DataFrame) -> DataFrame:
+            own = sets.join(wanted, "sid").select("sid", "f1", "f2", F.col("doc_id").alias("of"))
+            texts = docs.join(own.select("of").distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+            read = texts.mapInArrow(_full_scan(n, sent), "f1 bigint, f2 bigint, grams binary")
+            return stored(read.join(own.select("sid", "f1", "f2"), ["f1", "f2"]).dropDuplicates(["sid"]).select("sid", "grams"), "grams")
+
+        entries = sets.select("sid", "n", F.explode("prefix").alias("gram"))
+        centres = entries.groupBy("gram").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).where("centre < last").select("gram", "centre")
+        met = stored(entries.join(centres, "gram"), "met")
+        stars = met.where("sid != centre").select(F.col("centre").alias("key"), "sid").distinct()
+        near = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False)
+        first = stored(components(near), "components")
+
+        placed = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", "n", F.coalesce("component", "sid").alias("component"))
+        placed = stored(placed, "placed")
+        several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+        open_ = stored(placed.join(several, "gram"), "open")
+        members = open_.select("component", "sid").distinct()
+        weight = members.groupBy("component").agg(F.count("*").alias("weight"))
+        lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(weight, "component")
+        lengths = lengths.select("gram", F.col("component").alias("key"), "least", "most", F.col("weight").alias("key_weight"))
+        asks = open_.join(weight, "component").join(lengths, "gram").where(
+            (F.struct("key_weight", "key") > F.struct(F.col("weight"), F.col("component")))
+            & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+        ).select("key", "sid").distinct()
+        asks = stored(asks, "asks")
+        stored_sets = members.withColumnRenamed("component", "key").join(asks.select("key").distinct(), "key", "left_semi")
+        more = block_links(stored_sets, asks, sets, full, percent, True)
+
+        # components of components: a link found in the second round joins two of the first
+        last = stored(components(near.union(more)), "components")
+        named = described.join(sets.select("f1", "f2", "sid"), ["f1", "f2"], "left").join(last.withColumnRenamed("node", "sid"), "sid", "left")
+        named = keep(named.select("doc_id", "n", F.coalesce("component", "sid").alias("component")), "named")
+        least = keep(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
     )

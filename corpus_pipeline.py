@@ -1 +1,98 @@
-"""A training-data pipeline over `documents`: STAGES in order, each on all rows that the one before kept."""
+"""A training-data pipeline over `documents`: STAGES in order, each on all rows that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet before the next one reads it. All but the last return the columns of
+`documents`; the last adds the shard. A stage's own stored tables go when the
+next one starts, as its result has been written by then.
+
+Rows without an id are documents of their own to every stage; rows that share
+an id and text are copies, of which the second stage leaves one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from causalrisk import discard, owner, prepare, release
+from causalrisk.llm.catalog import MIX_TARGETS, SHARDS
+from causalrisk.llm.common import read, stored
+from causalrisk.llm.decontaminate import decontaminate
+from causalrisk.llm.jaccard import jaccard_components
+from causalrisk.llm.mixing import mix_documents
+from causalrisk.llm.quality import judge_documents
+from causalrisk.llm.shards import shard_documents
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(work: Stage) -> Stage:
+    """The tables of the stage before go, those of this one stay for its result."""
+
+    @wraps(work)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "corpus_pipeline")
+        with owner("corpus_pipeline"):
+            return work(spark, docs, sf_dir)
+
+    return call
+
+
+@_stage
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, or whose host nearly always fails, go."""
+    return judge_documents(docs).where("kept").select("row.*")
+
+
+@_stage
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays; ids that repeat stay once."""
+    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("kept_id"))
+    once = W.partitionBy("kept_id").orderBy(F.xxhash64("row.text"))
+    kept = rows.join(keep, "kept_id").withColumn("place", F.row_number().over(once)).where("place = 1")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
+
+
+@_stage
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of test items are cut out; documents that consist of them by more than half go."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+@_stage
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn so that sources, languages and topics have their target weights."""
+    return mix_documents(docs, MIX_TARGETS).where("sampled").select("row.*")
+
+
+@_stage
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the number of the document's shard."""
+    return shard_documents(docs, SHARDS)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: Connected components, span removal and the k-d tree have no SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; a stage's result is stored, and goes when the next one's is."""
+    docs, before = read(prepare(spark), sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
+    release(spark, "corpus_pipeline")
+    return docs
