@@ -23,7 +23,7 @@ from causalrisk.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 OTHER = "(other)"
-SWEEPS, EXACT = 60, 1e-12
+SWEEPS, EXACT = 60, 1e-10
 
 Targets = dict[str, dict[str, float]]
 
@@ -32,20 +32,22 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def layout_topic(text: Column, tokens: Column) -> Column:
-    """What kind of text it is, for tables without a topic column: table, symbols, capitals, short or prose."""
-    t = F.coalesce(text, F.lit(""))
-    size = F.length(t)
+def with_layout_topic(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds `tokens` and `topic`, what kind of text it is, for tables without a topic column: table, symbols, capitals, short or prose.
 
-    def without(characters: str) -> Column:
-        return F.length(F.translate(t, characters, ""))
-
-    return (
-        F.when((size - without("|")) * 5 > tokens, "table")
-        .when((size - without("#*$%&<>")) * 20 > size, "symbols")
-        .when((size - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")) * 3 > size, "capitals")
-        .when(tokens < 100, "short").otherwise("prose")
+    The counts are a step of their own, so that each text is searched once for each.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rest = [c for c in df.columns if c != text]
+    counted = df.select(
+        *rest, n_tokens(t).alias("tokens"), F.length(t).alias("_size"), (F.length(t) - F.length(F.replace(t, F.lit("|")))).alias("_bars"),
+        F.regexp_count(t, F.lit("[#*$%&<>]")).alias("_symbols"), F.regexp_count(t, F.lit("[A-Z]")).alias("_capitals"),
+    )
+    topic = (
+        F.when(F.col("_bars") * 5 > F.col("tokens"), "table").when(F.col("_symbols") * 20 > F.col("_size"), "symbols")
+        .when(F.col("_capitals") * 3 > F.col("_size"), "capitals").when(F.col("tokens") < 100, "short").otherwise("prose")
     )
+    return counted.select(*rest, "tokens", topic.alias("topic"))
 
 
 def category(value: Column, targets: dict[str, float]) -> Column:
@@ -130,15 +132,17 @@ def mix(classed: DataFrame, counted: DataFrame, targets: Targets, budget: float
 
 def classes(docs: DataFrame, targets: Targets, keep: list[str] | None = None) -> DataFrame:
     """`row` (the columns `keep`, all by default), doc_id, tokens, and the three dimensions of `documents`."""
-    tokens = n_tokens(F.col("text"))
-    return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), "doc_id", tokens.alias("tokens"),
-        category(F.col("source"), targets["source"]).alias("source"), category(F.col("lang"), targets["lang"]).alias("lang"),
-        category(layout_topic(F.col("text"), tokens), targets["topic"]).alias("topic"),
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), "doc_id", "source", "lang", "text")
+    return with_layout_topic(rows).select("row", "doc_id", "tokens", *[category(F.col(d), targets[d]).alias(d) for d in ("source", "lang", "topic")])
 
 
 def mix_documents(docs: DataFrame, targets: Targets, budget: float | None = None, keep: list[str] | None = None, seed: str = "mix") -> DataFrame:
-    """`row`, tokens, source, lang, topic, probability and sampled of every document."""
+    """`row`, tokens, source, lang, topic, probability and sampled of every document.
+
+    Narrow rows (`keep`) are stored, so the texts are read once; whole documents
+    are read twice rather than written.
+    """
     classed = classes(docs, targets, keep)
+    if keep:
+        classed = stored(classed, "classed")
     return mix(classed, classed.drop("row"), targets, budget, seed)
