@@ -1,7 +1,8 @@
 """N-gram Jaccard join: exact links between sets of word n-grams, by a prefix filter, parity bitmaps and tries.
 
-1. Tasks turn texts into sets of 64-bit n-gram hashes. Equal sets become one
-   (a 128-bit fingerprint), so copies cost nothing from here on.
+1. Tasks turn texts into sets of 64-bit n-gram hashes with a 128-bit
+   fingerprint. A task takes each set on once, so any number of copies becomes
+   one set per task at most; what is left of them links by fingerprint.
 2. All n-grams have one global order: n-grams that are frequent in some task's
    share last, by their count, all others before them by hash. The table of
    frequent ones is bounded by FREQUENT; which ones are in it changes the cost,
@@ -34,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from causalrisk.llm.common import scratch, stored
 from causalrisk.llm.components import components
@@ -45,7 +46,8 @@ N, PERCENT = 5, 80
 FREQUENT, BLOCK, PROBES = 131_072, 256, 512
 #: N-grams counted at once in a task; counts from which one is told on, and from which their sum makes it frequent.
 COUNTED, LOCAL, LEAST_COUNT = 4_000_000, 3, 48
-_SEEN = 1_000_000
+#: Fingerprints that a task keeps; ids that are broadcast at most to pick texts, more go by a shuffle join.
+_SEEN, PICKED = 1_000_000, 1_000_000
 
 
 def need(a, b, percent: int = PERCENT):
@@ -57,6 +59,15 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + percent * -n // 100 + 1
 
 
+def distinct(grams: np.ndarray) -> np.ndarray:
+    """Sorted without repeats."""
+    grams = np.sort(grams)
+    fresh = np.empty(len(grams), dtype=bool)
+    fresh[:1] = True
+    np.not_equal(grams[1:], grams[:-1], out=fresh[1:])
+    return grams[fresh]
+
+
 def text_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted set of n-gram hashes) of every text."""
     for a, b, words in text_chunks(texts, NOT_SPACE):
@@ -65,7 +76,7 @@ def text_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
         for r in range(b - a):
             start, stop = int(words.first[r]), int(words.first[r + 1])
             if stop - start >= n:
-                yield a + r, np.unique(grams[start : stop - n + 1])
+                yield a + r, distinct(grams[start : stop - n + 1])
             elif stop > start:
                 yield a + r, mix(gram_hashes(hashes[start:stop], stop - start) + np.uint64(stop - start))
             else:
@@ -78,13 +89,13 @@ def fingerprint(grams: np.ndarray) -> tuple[int, int]:
     return one - (1 << 63), two - (1 << 63)
 
 
-def ordered(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """In the global order: n-grams that aren't frequent by hash, then frequent ones by rank."""
+def ordered(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """In the global order: n-grams that aren't frequent by hash, then frequent ones by rank; and how many aren't."""
     if not len(frequent) or not len(grams):
-        return grams
+        return grams, len(grams)
     at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
     common = frequent[at] == grams
-    return np.concatenate([grams[~common], grams[common][np.argsort(rank[at[common]], kind="stable")]])
+    return np.concatenate([grams[~common], grams[common][np.argsort(rank[at[common]], kind="stable")]]), len(grams) - int(common.sum())
 
 
 def parity_bits(grams: np.ndarray) -> bytes:
@@ -148,25 +159,35 @@ def frequent_grams(docs: DataFrame, n: int):
 
 
 def _set_scan(n: int, percent: int, sent):
-    """Every document with the fingerprint and size of its set; the first time a task meets a set, also its prefix and bitmap."""
+    """Every document with the fingerprint and size of its set; the first time a task meets a set, also its prefix and bitmap.
+
+    The prefix comes in two parts, `rare` and `often`: hot n-grams are in the second.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         frequent, rank = sent.value
         for batch in batches:
-            ones, twos, sizes, prefixes, bits = [], [], [], [], []
+            ones, twos, sizes, rare, often, bits = [], [], [], [], [], []
             for _, grams in text_sets(batch.column("text"), n):
                 one, two = fingerprint(grams)
-                fresh = len(grams) > 0 and seen.first((one, two))
                 ones.append(one)
                 twos.append(two)
                 sizes.append(len(grams))
-                prefixes.append(ordered(grams, frequent, rank)[: prefix_size(len(grams), percent)].view(np.int64) if fresh else None)
-                bits.append(parity_bits(grams) if fresh else None)
+                if len(grams) and seen.first((one, two)):
+                    grams, light = ordered(grams, frequent, rank)
+                    prefix = grams[: prefix_size(len(grams), percent)].view(np.int64)
+                    rare.append(prefix[:light])
+                    often.append(prefix[light:])
+                    bits.append(parity_bits(grams))
+                else:
+                    rare.append(None)
+                    often.append(None)
+                    bits.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "f1", "f2", "n", "prefix", "bits"],
+                 pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "f1", "f2", "n", "rare", "often", "bits"],
             )
 
     return run
@@ -180,7 +201,7 @@ def _full_scan(n: int, sent):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [(*fingerprint(g), ordered(g, frequent, rank).tobytes()) for _, g in text_sets(part.column("text"), n)]
+                rows = [(*fingerprint(g), ordered(g, frequent, rank)[0].tobytes()) for _, g in text_sets(part.column("text"), n)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
                     names=["f1", "f2", "grams"],
@@ -336,29 +357,38 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     with scratch(docs.sparkSession) as keep:
         id_type = docs.schema["doc_id"].dataType.simpleString()
         sent = frequent_grams(docs, n)
-        described = stored(
-            docs.mapInArrow(_set_scan(n, percent, sent), f"doc_id {id_type}, f1 bigint, f2 bigint, n bigint, prefix array<bigint>, bits binary"), "described"
+        described = docs.mapInArrow(
+            _set_scan(n, percent, sent),
+            f"doc_id {id_type}, f1 bigint, f2 bigint, n bigint, rare array<bigint>, often array<bigint>, bits binary",
         )
-        sets = described.where("prefix is not null").groupBy("f1", "f2").agg(F.first(F.struct("doc_id", "n", "prefix", "bits")).alias("s"))
-        sets = stored(sets.select(F.monotonically_increasing_id().alias("sid"), "f1", "f2", "s.*"), "sets")
+        described = stored(described.withColumn("sid", F.monotonically_increasing_id()), "described")
+        sets = described.where("bits is not null")
 
         def full(wanted: DataFrame) -> DataFrame:
-            own = sets.join(wanted, "sid").select("sid", "f1", "f2", F.col("doc_id").alias("of"))
-            texts = docs.join(own.select("of").distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+            own = stored(sets.join(wanted, "sid").select("sid", "f1", "f2", F.col("doc_id").alias("of")), "wanted")
+            ids = own.select("of").distinct()
+            ids = F.broadcast(ids) if own.count() <= PICKED else ids
+            texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
             read = texts.mapInArrow(_full_scan(n, sent), "f1 bigint, f2 bigint, grams binary")
+            # an id may repeat with the same text: one row per set is enough
             return stored(read.join(own.select("sid", "f1", "f2"), ["f1", "f2"]).dropDuplicates(["sid"]).select("sid", "grams"), "grams")
 
-        entries = sets.select("sid", "n", F.explode("prefix").alias("gram"))
-        centres = entries.groupBy("gram").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).where("centre < last").select("gram", "centre")
-        met = stored(entries.join(centres, "gram"), "met")
+        # rare n-grams have few sets each, frequent ones any number: their centres are partial aggregates
+        in_gram = W.partitionBy("gram")
+        few = sets.select("sid", F.explode("rare").alias("gram")).withColumns({"centre": F.min("sid").over(in_gram), "last": F.max("sid").over(in_gram)})
+        many = sets.select("sid", F.explode("often").alias("gram"))
+        centres = many.groupBy("gram").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).where("centre < last")
+        met = stored(few.where("centre < last").select("sid", "gram", "centre").union(many.join(centres, "gram").select("sid", "gram", "centre")), "met")
         stars = met.where("sid != centre").select(F.col("centre").alias("key"), "sid").distinct()
-        near = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False)
+        first_of = sets.groupBy("f1", "f2").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
+        twins = sets.select("f1", "f2", F.col("sid").alias("b")).join(first_of, ["f1", "f2"]).select("a", "b")
+        near = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False).union(twins)
         first = stored(components(near), "components")
 
-        placed = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", "n", F.coalesce("component", "sid").alias("component"))
+        placed = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", F.coalesce("component", "sid").alias("component"))
         placed = stored(placed, "placed")
         several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-        open_ = stored(placed.join(several, "gram"), "open")
+        open_ = stored(placed.join(several, "gram").join(sets.select("sid", "n"), "sid"), "open")
         members = open_.select("component", "sid").distinct()
         weight = members.groupBy("component").agg(F.count("*").alias("weight"))
         lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(weight, "component")
@@ -373,8 +403,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
         # components of components: a link found in the second round joins two of the first
         last = stored(components(near.union(more)), "components")
-        named = described.join(sets.select("f1", "f2", "sid"), ["f1", "f2"], "left").join(last.withColumnRenamed("node", "sid"), "sid", "left")
-        named = keep(named.select("doc_id", "n", F.coalesce("component", "sid").alias("component")), "named")
+        labels = sets.select("f1", "f2", "sid").join(last.withColumnRenamed("node", "sid"), "sid", "left")
+        labels = stored(labels.groupBy("f1", "f2").agg(F.min(F.coalesce("component", "sid")).alias("component")), "labels")
+        named = described.select("doc_id", "f1", "f2", "n").join(labels, ["f1", "f2"], "left")
+        named = keep(named.select("doc_id", "n", "component"), "named")
         least = keep(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
