@@ -5,6 +5,11 @@ this amount against that mean, seconds since the previous row, and rows in the
 trailing day. Ties in time are ordered by the tie-break columns for all but the
 trailing-day count, which leaves out rows of the same second.
 
+The trailing-day count is a running total: every row is counted from its own
+second on, and a stand-in that carries only its keys takes it off again when
+the horizon has passed. So no window slides, and the cost is linear however many
+rows an entity has in a day.
+
 Keys nest: all windows of the ordinary rows share one exchange on the coarse
 key. Keys with more rows than a task should hold are cut into time segments and
 put together again from per-segment totals.
@@ -14,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from causalrisk.operators.ordered import SEGMENT, in_segments
+from causalrisk.operators.ordered import SEGMENT, in_segments, running_totals
 from causalrisk.session import materialise
 from causalrisk.spec import EntityKey
 
@@ -98,22 +103,30 @@ def _named(key: EntityKey, count: Column, mean: Column, std: Column, amount: Col
 
 
 def _share_one_exchange(df, keys, parts, order, time, amount, horizon) -> DataFrame:
+    here = df.withColumn("_real", F.lit(True))
+    used = {*parts.values(), *[c for k in keys for c in k.columns]}
+    gone = df.select(
+        *[F.col(c) if c in used else (F.col(time) + horizon).cast(df.schema[c].dataType).alias(c) if c == time
+          else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns],
+        F.lit(False).alias("_real"),
+    )
     columns: dict[str, Column] = {}
+    real = F.col("_real")
     for key in keys:
         by = [parts[c] for c in key.columns]
-        rows = Window.partitionBy(*by).orderBy(*order)
+        rows = Window.partitionBy(*by).orderBy(*order, real)
         before = rows.rowsBetween(Window.unboundedPreceding, -1)
-        recent = Window.partitionBy(*by).orderBy(time).rangeBetween(-horizon, -1)
+        seconds_before = Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
         columns |= _named(
             key,
-            count=F.row_number().over(rows) - 1,
+            count=F.coalesce(F.sum(real.cast("int")).over(before), F.lit(0)).cast("int"),
             mean=F.avg(amount).over(before),
             std=F.stddev_pop(amount).over(before),
             amount=F.col(amount),
-            gap=F.col(time) - F.lag(time).over(rows),
-            recent=F.count(F.lit(1)).over(recent),
+            gap=F.col(time) - F.last(F.when(real, F.col(time)), ignorenulls=True).over(before),
+            recent=F.coalesce(F.sum(F.when(real, 1).otherwise(-1)).over(seconds_before), F.lit(0)),
         )
-    return df.withColumns(columns)
+    return here.unionByName(gone).withColumns(columns).where(real).drop("_real")
 
 
 def _history_of_one_key(df, key, parts, order, time, amount, horizon, rows_per_task) -> DataFrame:
@@ -162,12 +175,11 @@ def _segmented_history(cut: DataFrame, key, by, order, time, amount, horizon) ->
     )
     rows = Window.partitionBy(*by, SEGMENT).orderBy(*order)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
-    # One row per key and second: never more rows than seconds in the data.
+    # One row per key and second, and one more where it leaves the horizon.
     seconds = cut.groupBy(*by, time).agg(F.count(F.lit(1)).alias("_here"))
-    recent = seconds.withColumn(
-        "_recent",
-        F.coalesce(F.sum("_here").over(Window.partitionBy(*by).orderBy(time).rangeBetween(-horizon, -1)), F.lit(0)),
-    ).drop("_here")
+    left = seconds.select(*by, (F.col(time) + horizon).cast(cut.schema[time].dataType).alias(time), (-F.col("_here")).alias("_here"))
+    running = running_totals(seconds.unionByName(left), time, {"_here": F.col("_here")}, tuple(by))
+    recent = running.select(*by, time, (F.col("cum__here") - F.col("_here")).alias("_recent"))
 
     full = (
         cut.withColumn("l_rows", F.row_number().over(rows) - 1)
