@@ -1,9 +1,13 @@
 """Entity history as keyed state, equal to the batch windows for rows that arrive in time order.
 
-A row that arrives in a later batch than a newer row of its entity counts as
-seen after it. State per entity is a few numbers and the row counts of the
-seconds in the trailing horizon, so it does not grow with the entity's rows; a
-task holds an entity's rows of one micro-batch, whose size the source limits.
+Rows without the key pass by the state with NULL history. NULL amounts count as
+rows, but not towards mean and spread. A row older than one that its entity
+already had is late: it counts as seen after the rows before it, its gap and
+trailing count are NULL, and the newest time stays. State per entity is a few
+numbers and the row counts of the seconds in the trailing horizon, so it does
+not grow with the entity's rows; with `ttl_ms` it goes when the entity has been
+silent for so long, and the entity starts anew. A task holds an entity's rows of
+one micro-batch to put them in order; `files_per_batch` of the source limits it.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from causalrisk.operators.entity import DAY, history_names
@@ -20,6 +24,7 @@ from causalrisk.spec import EntityKey
 
 STATE = T.StructType([
     T.StructField("n", T.LongType()),
+    T.StructField("known", T.LongType()),
     T.StructField("mean", T.DoubleType()),
     T.StructField("dev", T.DoubleType()),
     T.StructField("last", T.LongType()),
@@ -41,21 +46,25 @@ class HistoryProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values([self.time, self.id], kind="stable")
         if self.state.exists():
-            n, mean, dev, last, seconds, counts = self.state.get()
+            n, known, mean, dev, last, seconds, counts = self.state.get()
         else:
-            n, mean, dev, last, seconds, counts = 0, 0.0, 0.0, None, [], []
+            n, known, mean, dev, last, seconds, counts = 0, 0, 0.0, 0.0, None, [], []
         t = pdf[self.time].to_numpy(dtype=np.int64)
         a = pdf[self.amount].to_numpy(dtype=float)
+        there = ~np.isnan(a)
         prior = n + np.arange(len(t))
         # Sums around the known mean, each without the current row.
-        off = a - (mean if n else a[0])
-        centre = mean if n else a[0]
+        centre = mean if known else (a[there][0] if there.any() else 0.0)
+        off = np.where(there, a - centre, 0.0)
+        seen = known + np.concatenate([[0], np.cumsum(there)])
         sums = np.concatenate([[0.0], np.cumsum(off)])
         squares = dev + np.concatenate([[0.0], np.cumsum(off * off)])
-        known = np.where(prior > 0, prior, np.nan)
-        mean_prior = centre + sums[:-1] / known
-        std_prior = np.sqrt(np.maximum(squares[:-1] / known - (sums[:-1] / known) ** 2, 0.0))
-        previous = np.concatenate([[np.nan if last is None else last], t[:-1]])
+        some = np.where(seen[:-1] > 0, seen[:-1], np.nan)
+        mean_prior = centre + sums[:-1] / some
+        std_prior = np.sqrt(np.maximum(squares[:-1] / some - (sums[:-1] / some) ** 2, 0.0))
+        newest = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if last is None else last], t]))[:-1]
+        late = t < newest
+        previous = np.where(newest == np.iinfo(np.int64).min, np.nan, newest)
         before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         seconds = np.asarray(seconds, dtype=np.int64)
 
@@ -64,13 +73,15 @@ class HistoryProcessor(StatefulProcessor):
 
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(mean_prior != 0, a / mean_prior, np.nan)
-        values = [prior, mean_prior, std_prior, ratio, t - previous, rows_before(t) - rows_before(t - self.horizon)]
+        gap = np.where(late, np.nan, t - previous)
+        recent = np.where(late, np.nan, rows_before(t) - rows_before(t - self.horizon))
+        values = [prior, mean_prior, std_prior, ratio, gap, recent]
         out = pdf.assign(**dict(zip(self.names, values)))
         for name in (self.names[0], self.names[4], self.names[5]):
             out[name] = out[name].astype("Int64")
 
         total = n + len(t)
-        shift = sums[-1] / total
+        shift = sums[-1] / seen[-1] if seen[-1] else 0.0
         fresh, sizes = np.unique(t, return_counts=True)
         merged = pd.Series(counts, index=seconds, dtype="int64").add(
             pd.Series(sizes, index=fresh, dtype="int64"), fill_value=0
@@ -78,7 +89,7 @@ class HistoryProcessor(StatefulProcessor):
         latest = max(int(t[-1]), last if last is not None else int(t[-1]))
         merged = merged[merged.index >= latest - self.horizon]
         self.state.update((
-            int(total), float(centre + shift), float(max(squares[-1] - total * shift * shift, 0.0)), int(t[-1]),
+            int(total), int(seen[-1]), float(centre + shift), float(max(squares[-1] - seen[-1] * shift * shift, 0.0)), latest,
             merged.index.tolist(), merged.tolist(),
         ))
         yield out[[*self.columns, *self.names]]
@@ -91,8 +102,7 @@ def stream_history(stream: DataFrame, key: EntityKey, time: str, amount: str, id
                    ttl_ms: int | None = None) -> DataFrame:
     """Add the six history columns of one key to a stream of rows.
 
-    State is kept in RocksDB, so it may exceed executor memory. Rows without the
-    key have no history and are left out.
+    State is kept in RocksDB, so it may exceed executor memory.
     """
     spark = stream.sparkSession
     spark.conf.set(
@@ -104,10 +114,13 @@ def stream_history(stream: DataFrame, key: EntityKey, time: str, amount: str, id
         *stream.schema.fields, *[T.StructField(n, k) for n, k in zip(history_names(key), kinds)],
     ])
     processor = HistoryProcessor(key, time, amount, id, stream.columns, horizon, ttl_ms)
-    return (
-        stream.dropna(subset=list(key.columns)).groupBy(*key.columns)
+    absent = F.greatest(*[F.col(c).isNull() for c in (*key.columns, key.columns[0])])
+    without = stream.where(absent).select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(history_names(key), kinds)])
+    kept = (
+        stream.where(~absent).groupBy(*key.columns)
         .transformWithStateInPandas(
             statefulProcessor=processor, outputStructType=schema, outputMode="Append",
             timeMode="ProcessingTime" if ttl_ms else "None",
         )
     )
+    return kept.unionByName(without)

@@ -15,7 +15,7 @@ SPEC = DatasetSpec("id", "t", "amount", "y", missing_flags=("gap",), frequency_c
 def rows(spark, n=600):
     rng = np.random.default_rng(8)
     return spark.createDataFrame(
-        [(i, 1000 + int(i // 3 * 2000), float(rng.integers(1, 9999)) / 100, int(i % 4 == 0), [1, int(rng.integers(2, 9)), None][i % 3],
+        [(i, 1000 + int(i // 3 * 2000), float(rng.integers(1, 9999)) / 100 if i % 11 else None, int(i % 4 == 0), [1, int(rng.integers(2, 9)), None][i % 3],
           float(rng.normal()) if i % 5 else None) for i in range(n)],
         "id long, t long, amount double, y int, card int, gap double")
 
@@ -32,8 +32,8 @@ def test_history_over_several_batches_equals_the_batch_windows(spark, tmp_path):
     write_parts(df, folder, 3)
     stream = stream_history(read_files(spark, folder, df.schema, files_per_batch=1), CARD, "t", "amount", "id")
     got = {r.id: r for r in run_available(stream, "history", str(tmp_path / "out")).collect()}
-    want = {r.id: r for r in entity_history(df.dropna(subset=["card"]), (CARD,), "t", "amount", ("id",)).collect()}
-    assert set(got) == set(want) and len(got) == 400
+    want = {r.id: r for r in entity_history(df, (CARD,), "t", "amount", ("id",)).collect()}
+    assert set(got) == set(want) and len(got) == 600
     for i, r in want.items():
         for name in history_names(CARD):
             a, b = got[i][name], r[name]
@@ -41,6 +41,18 @@ def test_history_over_several_batches_equals_the_batch_windows(spark, tmp_path):
             assert b is None or abs(a - b) < 1e-6, (i, name, a, b)
 
 
+def test_a_late_row_has_no_gap_and_leaves_the_newest_time(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for part in ([(1, 100_000, None, 7), (2, 100_050, 10.0, 7)], [(3, 50_000, 20.0, 7)], [(4, 100_060, 30.0, 7), (5, 100_060, None, None)]):
+        spark.createDataFrame(part, "id long, t long, amount double, card int").coalesce(1).write.mode("append").parquet(folder)
+    stream = read_files(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    got = {r.id: r for r in run_available(stream_history(stream, CARD, "t", "amount", "id"), "history", str(tmp_path / "out")).collect()}
+    assert [got[i].card_count_prior for i in (1, 2, 3, 4, 5)] == [0, 1, 2, 3, None]
+    assert [got[i].card_amt_mean_prior for i in (2, 3, 4)] == [None, 10.0, 15.0]
+    assert [got[i].card_secs_since_last for i in (1, 2, 3, 4)] == [None, 50, None, 10]
+    assert [got[i].card_txns_last_day for i in (2, 3, 4)] == [1, None, 3]
+
+
 def test_stream_scores_equal_batch_and_continue(spark, tmp_path):
     df = rows(spark)
     train = add_row_features(df, SPEC)
