@@ -112,7 +112,7 @@ def aligned_request_rows(spark, folder):
 def with_reasons(spark, folder):
     """The closed-form score with the reasons of its linear margin."""
     rows = scored(spark, folder, spread=True).withColumn("hour", F.floor(F.col("t") / 3600) % 24)
-    return rows.withColumn("reasons", ex.scorecard_reasons(WEIGHTS))
+    return rows.withColumn("reasons", ex.scorecard_reasons(WEIGHTS, dict(rows.dtypes)))
 
 
 REASONS = f"""
@@ -148,19 +148,23 @@ def leakage_audit(spark, folder):
     return rounded(ex.leakage_audit(ex.global_importance(with_reasons(spark, folder))))
 
 
+def explained_models(spark, folder):
+    """Name, explained validation rows and base value of both fitted models."""
+    features = build_features(facts(spark, folder), SPEC, with_history=False)
+    models = train_models(features, SPEC.target, maxIter=10, stepSize=0.1, maxDepth=4)
+    raw = [SPEC.id, *features.numeric, *features.categorical]
+    rows = {n: materialise(md.score_rows(m, features.part("val"), "p", raw), "scored") for n, m in models.items()}
+    terms = md.baseline_terms(models["baseline"], features.numeric, features.categorical)
+    means = ex.training_means(models["baseline"], features.part("train"))
+    yield "baseline", *ex.explain_baseline(models["baseline"], rows["baseline"], terms, means)
+    yield "trees", *ex.explain_trees(models["trees"], rows["trees"], [*features.numeric, *features.categorical])
+
+
 @add(with_tables("SELECT m AS model, (SELECT count(*) FROM parted WHERE part = 'val') AS n_rows, CAST(0 AS BIGINT) AS off FROM (SELECT unnest(['baseline', 'trees']) AS m)", "parted"))
 def reasons_add_up(spark, folder):
     """Rows whose base value and reasons do not sum to the model's log-odds."""
-    features = build_features(facts(spark, folder), SPEC, with_history=False)
-    models = train_models(features, SPEC.target, maxIter=10, stepSize=0.1, maxDepth=4)
-    names = {
-        "baseline": md.baseline_terms(models["baseline"], features.numeric, features.categorical),
-        "trees": [*features.numeric, *features.categorical],
-    }
     out = None
-    for name, explain in (("baseline", ex.explain_baseline), ("trees", ex.explain_trees)):
-        rows = materialise(md.score_rows(models[name], features.part("val"), "p", [SPEC.id]), "scored")
-        explained, base = explain(models[name], rows, names[name])
+    for name, explained, base in explained_models(spark, folder):
         total = F.aggregate("reasons", F.lit(base), lambda s, r: s + r["contribution"])
         row = explained.agg(
             F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"),
@@ -170,6 +174,24 @@ def reasons_add_up(spark, folder):
     return out
 
 
+@add(with_tables("""
+    SELECT model, txn_id, feature, shown FROM (SELECT unnest(['baseline', 'trees']) AS model), (
+        SELECT txn_id, 'k_obs' AS feature, coalesce(CAST(k_obs AS VARCHAR), 'not recorded') AS shown FROM parted WHERE part = 'val'
+        UNION ALL SELECT txn_id, 'hour', CAST(CAST(floor(t / 3600) AS BIGINT) % 24 AS VARCHAR) FROM parted WHERE part = 'val'
+        UNION ALL SELECT txn_id, 'channel', channel FROM parted WHERE part = 'val'
+        UNION ALL SELECT txn_id, 'k_obs_isna', CASE WHEN k_obs IS NULL THEN '1' ELSE '0' END FROM parted WHERE part = 'val')
+""", "parted"))
+def reasons_show_own_values(spark, folder):
+    """What the reasons of both models say about whole numbers, missing values, flags and texts."""
+    out = None
+    for name, explained, _ in explained_models(spark, folder):
+        shown = ex.shown_reasons(explained, SPEC.id).withColumn("feature", F.split("feature", "=")[0])
+        shown = shown.where(F.col("feature").isin("k_obs", "hour", "channel", "k_obs_isna")).distinct()
+        shown = shown.select(F.lit(name).alias("model"), SPEC.id, "feature", "shown")
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
 # ------------------------------------------------- anomalies and typologies ---
 ANOMALY_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 

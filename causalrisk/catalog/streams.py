@@ -11,6 +11,7 @@ from causalrisk.catalog.intake import _history_sql, parted
 from causalrisk.catalog.models import SPEC
 from causalrisk.operators import models as md
 from causalrisk.operators.encode import FrequencyEncoder
+from causalrisk.operators.explain import training_means
 from causalrisk.functions.rowwise import add_row_features
 from causalrisk.sources.tables import epoch_seconds, transactions
 from causalrisk.spec import EntityKey
@@ -45,7 +46,7 @@ def fitted_scorer(spark, folder) -> Scorer:
     features = ["amount", "amt_log", "hour", "is_night", "k_obs", "dist", "k_obs_isna", "dist_isna", "client_freq"]
     model = md.fit_baseline(train, features, [], "label")
     return Scorer(spec, md.training_schema(train, features), model, threshold=0.5, encoder=encoder,
-                  term_names=features, term_means=[0.0] * len(features))
+                  term_names=features, term_means=training_means(model, train))
 
 
 @add(with_tables("SELECT count(*) AS n_rows, count(*) AS same FROM txn", "txn"))

@@ -86,6 +86,7 @@ def shown_value(value: Column, kind: str = "double") -> Column:
         text = F.when(value, "yes").otherwise("no")
     elif kind in ("double", "float"):
         text = three_digits(value.cast("double"))
+        return F.when(value.isNull() | F.isnan(value), "not recorded").otherwise(text)
     else:
         text = value.cast("string")
     return F.when(value.isNull(), "not recorded").otherwise(text)

@@ -12,21 +12,38 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from causalrisk.functions.fixed_values import LEAKAGE_HEALTHY, LEAKAGE_LIMIT, LEAKAGE_NOTHING, LEAKAGE_SUSPECT
+from causalrisk.functions.text import shown_value
 from causalrisk.session import shared_folder
 
-REASON = "array<struct<feature:string,value:double,contribution:double>>"
+REASON = "array<struct<feature:string,value:double,shown:string,contribution:double>>"
 
 
-def scorecard_reasons(weights: dict[str, tuple[float, float]]) -> Column:
+def _own_value(df: DataFrame, feature: str) -> tuple[Column, Column]:
+    """The row's own value behind a model input, as a number (else NULL) and for a reader.
+
+    The input of a level, `column=level`, stands for the column.
+    """
+    column = feature if feature in df.columns else feature.partition("=")[0]
+    if column not in df.columns:
+        raise ValueError(f"the rows don't carry `{column}`, which the reasons have to show")
+    kind = dict(df.dtypes)[column]
+    number = F.col(column).cast("double") if kind not in ("string", "date", "timestamp") else F.lit(None).cast("double")
+    return number, shown_value(F.col(column), kind)
+
+
+def scorecard_reasons(weights: dict[str, tuple[float, float]], kinds: dict[str, str] | None = None) -> Column:
     """Reasons of a linear score: weight times distance from the reference value.
 
-    `weights` maps a feature to (weight, reference). A missing value counts as
-    the reference and contributes nothing.
+    `weights` maps a feature to (weight, reference), `kinds` to its type where it
+    is not a double. A missing value counts as the reference and contributes
+    nothing.
     """
+    kinds = kinds or {}
     parts = [
         F.struct(
             F.lit(f).alias("feature"),
             F.col(f).cast("double").alias("value"),
+            shown_value(F.col(f), kinds.get(f, "double")).alias("shown"),
             F.coalesce((F.col(f) - ref) * w, F.lit(0.0)).alias("contribution"),
         )
         for f, (w, ref) in weights.items()
@@ -34,29 +51,42 @@ def scorecard_reasons(weights: dict[str, tuple[float, float]]) -> Column:
     return F.array(*parts)
 
 
-def linear_reasons(vector: str, names: list[str], weights: list[float], means: list[float]) -> Column:
-    """Reasons from an assembled vector; they and the base value add up to the margin."""
+def linear_reasons(df: DataFrame, vector: str, names: list[str], weights: list[float], means: list[float]) -> Column:
+    """Reasons from an assembled vector; they and the base value add up to the margin.
+
+    Contributions come from the vector's slots, shown values from the row's own
+    columns.
+    """
+    own = [_own_value(df, n) for n in names]
     slots = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("w"), F.lit(float(m)).alias("m"))
-        for n, w, m in zip(names, weights, means)
+        F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("w"), F.lit(float(m)).alias("m"), v.alias("value"), t.alias("shown"))
+        for n, w, m, (v, t) in zip(names, weights, means, own)
     ])
     return F.zip_with(
         slots, vector_to_array(vector),
         lambda s, x: F.struct(
-            s["name"].alias("feature"), x.alias("value"), (s["w"] * (x - s["m"])).alias("contribution")
+            s["name"].alias("feature"), s["value"].alias("value"), s["shown"].alias("shown"), (s["w"] * (x - s["m"])).alias("contribution")
         ),
     )
 
 
-def explain_baseline(model: PipelineModel, scored: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
-    """`scored` with all reasons of the logistic model, and the base value of the margin."""
+def training_means(model: PipelineModel, train: DataFrame) -> list[float]:
+    """Means of the model's inputs on the rows it was fitted on; keep them with the model."""
     from pyspark.ml.stat import Summarizer
 
+    return list(model.transform(train).agg(Summarizer.mean(F.col("features")).alias("m")).first().m.toArray())
+
+
+def explain_baseline(model: PipelineModel, scored: DataFrame, names: list[str], means: list[float]) -> tuple[DataFrame, float]:
+    """`scored` with all reasons of the logistic model, and the base value of the margin.
+
+    `means` are the `training_means`, so a row's reasons don't depend on the rows
+    it is explained with. `scored` carries the raw columns behind `names`.
+    """
     regression = model.stages[-1]
     weights = regression.coefficients.toArray()
-    means = scored.agg(Summarizer.mean(F.col("features")).alias("m")).first().m.toArray()
-    base = float(regression.intercept + weights @ means)
-    return scored.withColumn("reasons", linear_reasons("features", names, list(weights), list(means))), base
+    base = float(regression.intercept + weights @ np.asarray(means))
+    return scored.withColumn("reasons", linear_reasons(scored, "features", names, list(weights), means)), base
 
 
 def tree_nodes(model: PipelineModel, spark) -> pd.DataFrame:
@@ -115,7 +145,10 @@ def path_contributions(trees: list[dict[str, np.ndarray]], x: np.ndarray) -> tup
 
 
 def explain_trees(model: PipelineModel, scored: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
-    """`scored` with the path reasons of the boosted trees; base + reasons = log-odds."""
+    """`scored` with the path reasons of the boosted trees; base + reasons = log-odds.
+
+    `scored` carries the raw columns behind `names`.
+    """
     spark = scored.sparkSession
     boosted = model.stages[-1]
     trees = _compact_trees(tree_nodes(model, spark), list(boosted.treeWeights))
@@ -134,9 +167,9 @@ def explain_trees(model: PipelineModel, scored: DataFrame, names: list[str]) ->
                 pdf["_c"] = list(path_contributions(shared.value, x)[0])
                 yield pdf
     rows = scored.select(*keep, vector_to_array("features").alias("_x")).mapInPandas(attribute, schema)
-    labels = F.array(*[F.lit(n) for n in names])
-    reasons = F.transform(F.arrays_zip(labels.alias("n"), F.col("_x").alias("x"), F.col("_c").alias("c")), lambda s: F.struct(
-        s["n"].alias("feature"), s["x"].alias("value"), s["c"].alias("contribution")))
+    own = F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v"), t.alias("t")) for n, (v, t) in zip(names, [_own_value(rows, n) for n in names])])
+    reasons = F.zip_with(own, F.col("_c"), lambda s, c: F.struct(
+        s["n"].alias("feature"), s["v"].alias("value"), s["t"].alias("shown"), c.alias("contribution")))
     base = float(sum(t["value"][0] for t in trees))
     return rows.withColumn("reasons", reasons).drop("_x", "_c"), base
 
@@ -145,10 +178,10 @@ def top_reasons(reasons: Column, k: int = 6) -> Column:
     """The `k` reasons of largest size; equal sizes by feature name."""
     keyed = F.transform(reasons, lambda r: F.struct(
         (-F.abs(r["contribution"])).alias("size"), r["feature"].alias("feature"),
-        r["value"].alias("value"), r["contribution"].alias("contribution"),
+        r["value"].alias("value"), r["shown"].alias("shown"), r["contribution"].alias("contribution"),
     ))
     return F.transform(F.slice(F.sort_array(keyed), 1, k), lambda r: F.struct(
-        r["feature"].alias("feature"), r["value"].alias("value"), r["contribution"].alias("contribution")
+        r["feature"].alias("feature"), r["value"].alias("value"), r["shown"].alias("shown"), r["contribution"].alias("contribution")
     ))
 
 
@@ -165,14 +198,20 @@ def reason_rows(df: DataFrame, id: str, reasons: str = "reasons") -> DataFrame:
     return df.select(id, F.inline(numbered))
 
 
-def global_importance(df: DataFrame, reasons: str = "reasons", top: int = 25) -> DataFrame:
-    """Mean absolute contribution per feature over all rows."""
-    return (
+def shown_reasons(df: DataFrame, id: str, reasons: str = "reasons") -> DataFrame:
+    """(id, feature, shown): what a reader is told of each reason's value."""
+    return df.select(id, F.inline(F.transform(reasons, lambda r: F.struct(r["feature"].alias("feature"), r["shown"].alias("shown")))))
+
+
+def global_importance(df: DataFrame, reasons: str = "reasons", top: int | None = None) -> DataFrame:
+    """Mean absolute contribution per feature over all rows; only the `top` ones if given, for display."""
+    ranked = (
         df.select(F.explode(reasons).alias("r"))
         .groupBy(F.col("r.feature").alias("feature"))
         .agg(F.avg(F.abs(F.col("r.contribution"))).alias("importance"))
-        .orderBy(F.desc("importance"), "feature").limit(top)
+        .orderBy(F.desc("importance"), "feature")
     )
+    return ranked.limit(top) if top else ranked
 
 
 def leakage_audit(importance: DataFrame, limit: float = LEAKAGE_LIMIT) -> DataFrame:

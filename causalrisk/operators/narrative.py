@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from causalrisk.functions.fixed_values import (
     ACTION_PHRASE, BAND_ACTIONS, DISCLAIMER, DRIVER_PHRASE, MITIGATOR_PHRASE, SIMILAR_FALLBACK, SIMILAR_PHRASE,
 )
-from causalrisk.functions.text import fixed_point, joined_list, plain_name, three_digits
+from causalrisk.functions.text import fixed_point, joined_list, plain_name
 from causalrisk.operators.explain import top_reasons
 from causalrisk.operators.models import risk_band
 
@@ -34,10 +34,7 @@ def required_action(df: DataFrame, band: str) -> DataFrame:
 def reason_texts(reasons: Column, k: int, increasing: bool) -> Column:
     """`name = value` of the first `k` reasons that push the score up, or down."""
     chosen = F.filter(reasons, lambda r: r["contribution"] > 0 if increasing else r["contribution"] < 0)
-    return F.transform(F.slice(chosen, 1, k), lambda r: F.concat(
-        plain_name(r["feature"]), F.lit(" = "),
-        F.when(r["value"].isNull() | F.isnan(r["value"]), "not recorded").otherwise(three_digits(r["value"])),
-    ))
+    return F.transform(F.slice(chosen, 1, k), lambda r: F.concat(plain_name(r["feature"]), F.lit(" = "), r["shown"]))
 
 
 def narrate(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from causalrisk.functions.rowwise import add_row_features
 from causalrisk.operators.calibrate import Calibrator
 from causalrisk.operators.encode import FrequencyEncoder
-from causalrisk.operators.explain import linear_reasons, top_reasons
+from causalrisk.operators.explain import explain_baseline, explain_trees, top_reasons
 from causalrisk.operators.models import align_to_schema, decision, risk_band, score_rows, with_serving_defaults
 from causalrisk.operators.narrative import narrate
 from causalrisk.session import shared_folder
@@ -64,12 +64,18 @@ class Scorer:
         )
 
     def explain(self, rows: DataFrame, k: int = 6) -> DataFrame:
-        """The score with its strongest reasons and the narrative; for a logistic model."""
+        """The score with its strongest reasons and the narrative; `term_names` are those of the model's inputs.
+
+        A logistic model also needs `term_means`, its `training_means`.
+        """
         spec = self.spec
         scored = self._scored(rows, [spec.id, spec.amount])
-        regression = self.model.stages[-1]
-        weights = list(regression.coefficients.toArray())
-        reasons = top_reasons(linear_reasons("features", self.term_names, weights, self.term_means), k)
+        if hasattr(self.model.stages[-1], "trees"):
+            explained, _ = explain_trees(self.model, scored, self.term_names)
+        else:
+            explained, _ = explain_baseline(self.model, scored, self.term_names, self.term_means)
+        scored = explained
+        reasons = top_reasons(F.col("reasons"), k)
         slim = scored.select(
             F.col(f"_in_{spec.id}").alias(spec.id), F.col(f"_in_{spec.amount}").alias(spec.amount),
             "probability", "decision", reasons.alias("reasons"),

@@ -64,9 +64,20 @@ def test_models_are_saved_and_loaded(models, features, tmp_path):
 def test_reasons_add_up_to_the_margin(features, models):
     names = {"baseline": md.baseline_terms(models["baseline"], features.numeric, features.categorical),
              "trees": [*features.numeric, *features.categorical]}
-    for name, explain in (("baseline", ex.explain_baseline), ("trees", ex.explain_trees)):
-        rows = md.score_rows(models[name], features.part("val"), "p", ["id"])
+    means = ex.training_means(models["baseline"], features.part("train"))
+    raw = [*features.numeric, *features.categorical]
+    for name, explain in (("baseline", lambda *a: ex.explain_baseline(*a, means)), ("trees", ex.explain_trees)):
+        rows = md.score_rows(models[name], features.part("val"), "p", list(dict.fromkeys(["id", *raw])))
         explained, base = explain(models[name], rows, names[name])
+        for r in explained.limit(50).collect():
+            for x in r.reasons:
+                own = r[x.feature if x.feature in r else x.feature.partition("=")[0]]
+                if own is None:
+                    assert (x.value, x.shown) == (None, "not recorded")
+                elif isinstance(own, (str, int)):
+                    assert x.shown == str(own)
+                else:
+                    assert x.value == own
         for r in explained.select("p", "reasons").limit(200).collect():
             assert len(r.reasons) == len(names[name])
             margin = base + sum(x.contribution for x in r.reasons)
@@ -78,7 +89,7 @@ def test_reasons_add_up_to_the_margin(features, models):
 
 def test_importance_and_audit(spark):
     def audit(values):
-        df = spark.createDataFrame([([(f, 1.0, c) for f, c in values],)], "reasons " + ex.REASON)
+        df = spark.createDataFrame([([(f, 1.0, "1", c) for f, c in values],)], "reasons " + ex.REASON)
         return ex.leakage_audit(ex.global_importance(df)).first()
 
     assert audit([("a", -9.0), ("b", 1.0)]).suspects == "a"
@@ -161,7 +172,7 @@ def test_typologies_separate_planted_groups(spark):
 
 
 def test_case_files(spark):
-    reasons = "array(struct('hour' as feature, 3D as value, 0.5D as contribution), struct('dist1' as feature, 1D as value, -0.1D as contribution))"
+    reasons = "array(struct('hour' as feature, 3D as value, '3' as shown, 0.5D as contribution), struct('dist1' as feature, 1D as value, '1' as shown, -0.1D as contribution))"
     rows = spark.range(30).select(
         "id", (F.col("id") / 30).alias("p"), (F.col("id") * 10.0).alias("amount"), (F.col("id") % 2).alias("y"), F.expr(reasons).alias("reasons"))
     docs = spark.createDataFrame([("review.md", "High risk transaction review requirements and evidence standards"), ("other.md", "Lunch menu")], "source string, text string")

@@ -66,12 +66,12 @@ def test_long_text_is_chunked_to_its_end(spark):
 
 def narrative(spark, reasons, p=0.95, amount=1234.5, context=()):
     df = spark.createDataFrame([(7, p, amount, reasons, None, "visa")],
-                               "id long, p double, amount double, reasons array<struct<feature:string,value:double,contribution:double>>, a string, b string")
+                               "id long, p double, amount double, reasons array<struct<feature:string,value:double,shown:string,contribution:double>>, a string, b string")
     return nr.narrate(df, "id", "p", "amount", "reasons", context).first()
 
 
 def test_narrative_text(spark):
-    reasons = [("hour", 3.0, 0.5), ("D15", None, 0.4), ("dist1", 0.25, -0.3), ("n_missing", 12.0, 0.2)]
+    reasons = [("hour", 3.0, "3", 0.5), ("D15", None, "not recorded", 0.4), ("dist1", 0.25, "0.25", -0.3), ("n_missing", 12.0, "12", 0.2)]
     r = narrative(spark, reasons, context=("a", "b"))
     assert r.narrative == (
         "ALERT 7 | risk CRITICAL (95.0%) | amount 1,234.50 Context: b=visa. "
