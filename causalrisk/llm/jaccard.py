@@ -9,7 +9,7 @@
    never the result, since any fixed order is right.
 3. Two sets that link share an n-gram among the first n - ceil(t n) + 1 of
    each. Sets that share one there meet, but not pair by pair: every n-gram
-   names its least set as centre, and sets are checked against their centres.
+   names its least set as centre, and each set is checked against one centre.
    What links so far makes components. An n-gram whose sets then still lie in
    several components gives the rest: each set is checked against the other
    components that it met. So no group's pairs are written out, and no pair of
@@ -45,8 +45,8 @@ N, PERCENT = 5, 80
 #: Most n-grams in the table of frequent ones; sets in a trie and probes that walk it in one go.
 FREQUENT, BLOCK, PROBES = 131_072, 256, 512
 #: N-grams counted at once in a task; counts from which one is told on, and from which their sum makes it frequent.
-COUNTED, LOCAL, LEAST_COUNT = 4_000_000, 3, 48
-#: Fingerprints that a task keeps; ids that are broadcast at most to pick texts, more go by a shuffle join.
+COUNTED, LOCAL, LEAST_COUNT = 4_000_000, 2, 16
+#: Fingerprints that a task keeps; rows of ids that are broadcast at most to pick sets, more go by a shuffle join.
 _SEEN, PICKED = 1_000_000, 1_000_000
 
 
@@ -194,14 +194,16 @@ def _set_scan(n: int, percent: int, sent):
 
 
 def _full_scan(n: int, sent):
-    """Whole sets in the global order, as bytes."""
+    """Whole sets in the global order, as bytes; each once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = sent.value
+        seen = _Seen()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [(*fingerprint(g), ordered(g, frequent, rank)[0].tobytes()) for _, g in text_sets(part.column("text"), n)]
+                sets = [(fingerprint(g), g) for _, g in text_sets(part.column("text"), n)]
+                rows = [(*f, ordered(g, frequent, rank)[0].tobytes()) for f, g in sets if seen.first(f)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
                     names=["f1", "f2", "grams"],
@@ -312,7 +314,9 @@ def _walk(percent: int, first_only: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, GROUP):
-            rows = [(s, p, np.frombuffer(g, dtype=np.uint64)) for s, p, g in zip(*(table[c].to_pylist() for c in ("sid", "probe", "grams")), strict=True)]
+            # a set that several tasks read is here as often
+            once = {(s, p): g for s, p, g in zip(*(table[c].to_pylist() for c in ("sid", "probe", "grams")), strict=True)}
+            rows = [(s, p, np.frombuffer(g, dtype=np.uint64)) for (s, p), g in once.items()]
             trie = Trie([(s, g) for s, p, g in rows if not p])
             a, b = [], []
             for s, p, g in rows:
@@ -329,6 +333,11 @@ def _in_groups(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
 
 
+def _picked(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it has few enough rows."""
+    return F.broadcast(ids) if ids.count() <= PICKED else ids
+
+
 def block_links(stored_sets: DataFrame, probes: DataFrame, sets: DataFrame, full: Callable[[DataFrame], DataFrame], percent: int, first_only: bool) -> DataFrame:
     """Links (a, b) of every probe with the sets of the same key.
 
@@ -348,7 +357,7 @@ def block_links(stored_sets: DataFrame, probes: DataFrame, sets: DataFrame, full
     asked = dealt(stored_sets, "block", "blocks", "batch", "batches", False).union(dealt(probes, "batch", "batches", "block", "blocks", True))
     sieved = stored(_in_groups(asked.join(sets.select("sid", "n", "bits"), "sid"), _sieve(percent), "key long, block int, batch int, sid long, probe boolean"), "sieved")
     whole = full(sieved.select("sid").distinct())
-    return stored(_in_groups(sieved.join(whole, "sid"), _walk(percent, first_only), "a long, b long"), "links")
+    return stored(_in_groups(whole.join(_picked(sieved), "sid"), _walk(percent, first_only), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -366,12 +375,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
         def full(wanted: DataFrame) -> DataFrame:
             own = stored(sets.join(wanted, "sid").select("sid", "f1", "f2", F.col("doc_id").alias("of")), "wanted")
-            ids = own.select("of").distinct()
-            ids = F.broadcast(ids) if own.count() <= PICKED else ids
-            texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+            texts = docs.join(_picked(own).select("of"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
             read = texts.mapInArrow(_full_scan(n, sent), "f1 bigint, f2 bigint, grams binary")
-            # an id may repeat with the same text: one row per set is enough
-            return stored(read.join(own.select("sid", "f1", "f2"), ["f1", "f2"]).dropDuplicates(["sid"]).select("sid", "grams"), "grams")
+            return read.join(_picked(own).select("sid", "f1", "f2"), ["f1", "f2"]).select("sid", "grams")
 
         # rare n-grams have few sets each, frequent ones any number: their centres are partial aggregates
         in_gram = W.partitionBy("gram")
@@ -379,7 +385,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         many = sets.select("sid", F.explode("often").alias("gram"))
         centres = many.groupBy("gram").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).where("centre < last")
         met = stored(few.where("centre < last").select("sid", "gram", "centre").union(many.join(centres, "gram").select("sid", "gram", "centre")), "met")
-        stars = met.where("sid != centre").select(F.col("centre").alias("key"), "sid").distinct()
+        # a set is held against the centre that it shares most n-grams with; the others are left to the second round
+        shared = met.where("sid != centre").groupBy("sid", "centre").agg(F.count("*").alias("shared"))
+        stars = shared.groupBy("sid").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("key"))
         first_of = sets.groupBy("f1", "f2").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
         twins = sets.select("f1", "f2", F.col("sid").alias("b")).join(first_of, ["f1", "f2"]).select("a", "b")
         near = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False).union(twins)
@@ -390,7 +398,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
         open_ = stored(placed.join(several, "gram").join(sets.select("sid", "n"), "sid"), "open")
         members = open_.select("component", "sid").distinct()
-        weight = members.groupBy("component").agg(F.count("*").alias("weight"))
+        weight = stored(members.groupBy("component").agg(F.count("*").alias("weight")), "weight")
         lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(weight, "component")
         lengths = lengths.select("gram", F.col("component").alias("key"), "least", "most", F.col("weight").alias("key_weight"))
         asks = open_.join(weight, "component").join(lengths, "gram").where(
