@@ -35,14 +35,16 @@ def n_tokens(text: Column) -> Column:
 def with_layout_topic(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `tokens` and `topic`, what kind of text it is, for tables without a topic column: table, symbols, capitals, short or prose.
 
-    The counts are a step of their own, so that each text is searched once for each.
+    The counts of a text are written as a generated row: filters are not moved
+    below a generator, so they are computed once however often the topic is named.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rest = [c for c in df.columns if c != text]
-    counted = df.select(
-        *rest, n_tokens(t).alias("tokens"), F.length(t).alias("_size"), (F.length(t) - F.length(F.replace(t, F.lit("|")))).alias("_bars"),
+    counts = F.struct(
+        n_tokens(t).alias("tokens"), F.length(t).alias("_size"), (F.length(t) - F.length(F.replace(t, F.lit("|")))).alias("_bars"),
         F.regexp_count(t, F.lit("[#*$%&<>]")).alias("_symbols"), F.regexp_count(t, F.lit("[A-Z]")).alias("_capitals"),
     )
+    counted = df.select(*rest, F.inline(F.array(counts)))
     topic = (
         F.when(F.col("_bars") * 5 > F.col("tokens"), "table").when(F.col("_symbols") * 20 > F.col("_size"), "symbols")
         .when(F.col("_capitals") * 3 > F.col("_size"), "capitals").when(F.col("tokens") < 100, "short").otherwise("prose")

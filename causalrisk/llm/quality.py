@@ -101,7 +101,8 @@ def judge_documents(
     judged = stored(
         measured(rows).select("row", "host", *MEASURES, base_failed().alias("base_failed"), rule_failed().alias("failed")), "measured"
     )
-    verdicts = host_verdicts(judged, max_rate, z)
+    # stored, so that its size is known before the join: a small table is broadcast and no text is shuffled
+    verdicts = stored(host_verdicts(judged, max_rate, z), "verdicts")
     return judged.join(verdicts.select("host", "rejected"), "host", "left").select(
         "row", *MEASURES, "base_failed", (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
     )

@@ -116,6 +116,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     reputation = host_reputation(pages.select("page_id", "host").join(outcome, "page_id"), z)
     hosts = pages.select("host").where("host != ''").distinct()
     known = hosts.join(reputation.select("host", "bound"), "host", "left").join(host_rules(hosts, rules), "host", "left")
+    # stored, so that the join may broadcast it if small, or split a hot host's pages if not
+    known = stored(known, "known-hosts")
     fits = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["path"])))
     judged = pages.join(known, "host", "left").withColumn("fit", fits)
     by_host = F.when(F.col("bound") > max_bad_rate, "block").otherwise("allow")

@@ -20,7 +20,7 @@ from causalrisk import discard, owner, prepare, release
 from causalrisk.llm.catalog import MIX_TARGETS, SHARDS
 from causalrisk.llm.common import read, stored
 from causalrisk.llm.decontaminate import decontaminate
-from causalrisk.llm.jaccard import jaccard_components
+from causalrisk.llm.jaccard import PICKED, jaccard_components
 from causalrisk.llm.mixing import mix_documents
 from causalrisk.llm.quality import judge_documents
 from causalrisk.llm.shards import shard_documents
@@ -48,12 +48,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; ids that repeat stay once."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("kept_id"))
-    once = W.partitionBy("kept_id").orderBy(F.xxhash64("row.text"))
-    kept = rows.join(keep, "kept_id").withColumn("place", F.row_number().over(once)).where("place = 1")
-    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates the document with the least id stays; ids that repeat stay once.
+
+    Only ids that go or repeat are joined to the documents, so most texts are
+    not shuffled: up to PICKED of these ids are broadcast.
+    """
+    found = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("component_id").alias("component_id")
+    )
+    touched = stored(found.where("n > 1 or doc_id != component_id").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "touched")
+    ids = F.broadcast(touched) if touched.count() <= PICKED else touched
+    others = docs.join(ids, "doc_id", "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id").join(ids.where("stays"), "doc_id")
+    once = W.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
+    repeated = rows.withColumn("place", F.row_number().over(once)).where("place = 1").select("row.*")
+    return others.select(*docs.columns).unionByName(repeated)
 
 
 @_stage
