@@ -188,7 +188,7 @@ def csv_round_trip(spark, folder):
 def time_ordered_fact_table(spark, folder):
     """The fact table written in time order, and how many of its files overlap in time."""
     path = f"{shared_folder(spark).rstrip('/')}/fact-{uuid.uuid4().hex}"
-    write_fact(transactions(spark, folder), path, "t", "txn_id", 8)
+    write_fact(transactions(spark, folder), path, "t", "txn_id")
     key = F.struct("t", "txn_id")
     files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(
         F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
@@ -285,6 +285,18 @@ def split_boundaries(spark, folder):
     return spark.createDataFrame([vars(cut)], "train_end long, val_start long, val_end long, test_start long, embargo long")
 
 
+@add(with_tables("""
+    SELECT p.part, r.rule, CASE r.rule WHEN 'has rows' THEN n > 0 WHEN 'has positives' THEN y > 0 ELSE coalesce(low > before, true) END AS ok
+    FROM (SELECT *, lag(high) OVER (ORDER BY place) AS before FROM (
+        SELECT q.part, place, count(txn_id) AS n, coalesce(sum(label), 0) AS y, min(t) AS low, max(t) AS high
+        FROM (VALUES (0, 'train'), (1, 'val'), (2, 'test')) q(place, part) LEFT JOIN parted ON parted.part = q.part GROUP BY ALL)) p,
+        (SELECT unnest(['has rows', 'has positives', 'follows the part before']) AS rule) r
+""", "parted"))
+def split_safety(spark, folder):
+    """The rules that every part of the split has to keep."""
+    return sp.split_report(sp.split_summary(parted(spark, folder), "label", "t"))
+
+
 @add(with_tables("SELECT txn_id, part FROM parted", "parted"))
 def split_assignment(spark, folder):
     return parted(spark, folder).select("txn_id", F.col("split").alias("part"))

@@ -223,12 +223,12 @@ _PLACE = "row_number() OVER (PARTITION BY conv_id ORDER BY turn) "
         || 'Cite the source file for each claim. If the context does not contain' || chr(10)
         || 'the answer, say "The provided policy does not cover this."' || chr(10) || chr(10) || 'QUESTION: conversation ' || conv_id || chr(10) AS prompt,
         array_to_string(list_sort(list_distinct(list(role))), ',') AS sources, count(*) AS chunks_used
-    FROM h WHERE rank <= 4 GROUP BY conv_id
+    FROM h GROUP BY conv_id
 """)
 def prompt_layout(spark, folder):
-    """The prompt format, with the first four turns of a conversation as its sources."""
+    """The prompt format, with the turns of a conversation as its sources."""
     ranked = Window.partitionBy("conv_id").orderBy("turn")
-    hits = read_table(spark, folder, "conversations").withColumn("rank", F.row_number().over(ranked)).filter("rank <= 4")
+    hits = read_table(spark, folder, "conversations").withColumn("rank", F.row_number().over(ranked))
     hits = hits.withColumn("question", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")))
     made = rt.prompts(hits, "conv_id", "question", "rank", "role", "text")
     return made.withColumn("sources", F.array_join("sources", ","))

@@ -54,25 +54,15 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
 
 
 def _draw(df: DataFrame, id: str, values: Column, trees: int, share: float, seed: int) -> DataFrame:
-    """(tree, _id, x): the sample of every tree.
-
-    Where a row is in at most one tree anyway, it is drawn once and given a
-    tree; else it is drawn for each tree on its own.
-    """
+    """(tree, _id, x): the sample of every tree, drawn for each tree on its own at any size."""
     span = 1 << 31
 
     def draw(*salt: Column) -> Column:
         return F.pmod(F.xxhash64("_id", *salt), F.lit(span))
 
     chosen = df.select(F.col(id).alias("_id"), values.alias("x"))
-    if share >= 1.0:
-        number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    elif share * trees <= 0.05:
-        chosen = chosen.filter(draw(F.lit(seed)) < int(share * trees * span))
-        number = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit("tree")), F.lit(trees)).cast("int")
-    else:
-        limit = int(share * span)
-        number = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t, F.lit(seed)) < limit))
+    limit = int(share * span)
+    number = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t, F.lit(seed)) < limit))
     return chosen.select(number.alias("tree"), "_id", "x")
 
 

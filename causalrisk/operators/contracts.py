@@ -12,7 +12,7 @@ class DataContractError(ValueError):
 def require_columns(df: DataFrame, required: tuple[str, ...], name: str = "table") -> None:
     absent = [c for c in required if c not in df.columns]
     if absent:
-        raise DataContractError(f"{name}: missing required column(s) {absent}")
+        raise DataContractError(f"{name} lacks {', '.join(absent)}")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

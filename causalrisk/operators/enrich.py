@@ -16,13 +16,10 @@ def enrich(left: DataFrame, right: DataFrame, key: str, check: bool = True) -> D
     one only when its measured size allows it.
     """
     if check:
-        for side, df in (("left", left), ("right", right)):
-            found = key_report(df, key).first()
-            if found.duplicates or found.null_keys > 1:
-                raise DataContractError(
-                    f"{side} key '{key}' is not unique "
-                    f"({found.duplicates} duplicates, {found.null_keys} without key)"
-                )
+        sides = [key_report(df, key).withColumn("side", F.lit(side)) for side, df in (("left", left), ("right", right))]
+        repeated = [r for r in sides[0].unionByName(sides[1]).collect() if r.duplicates or r.null_keys > 1]
+        if repeated:
+            raise DataContractError("; ".join(f"{r.side}: {r.duplicates} rows repeat a {key}, {r.null_keys} have none" for r in repeated))
     marked = right.withColumn(MATCHED, F.lit(1))
     return left.join(marked, key, "left").withColumn(MATCHED, F.coalesce(F.col(MATCHED), F.lit(0)))
 

@@ -87,8 +87,9 @@ def at_thresholds(
     """
     cuts = sorted({float(t) for t in thresholds})
     y = F.col(target)
+    never = F.lit(float("-inf"))  # a row without a score is not flagged, and counts as such
     rows = df.select(
-        *by, F.col(score).cast("double").alias("_p"), y.cast("long").alias("_y"),
+        *by, F.coalesce(F.nanvl(F.col(score).cast("double"), never), never).alias("_p"), y.cast("long").alias("_y"),
         (y * F.col(amount) if amount else F.lit(0.0)).alias("_a"),
     )
     bucketed = Bucketizer(

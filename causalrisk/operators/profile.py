@@ -170,7 +170,7 @@ def log_histogram(df: DataFrame, column: str, target: str, edges: int = 60) -> D
     binned = (
         df.filter(x >= 1).select(x.alias("x"), target, top.alias("top"))
         .withColumn("step", F.log10("top") / bins)
-        .withColumn("bin", F.least(F.floor(F.log10("x") / F.col("step")), F.lit(bins - 1)))
+        .withColumn("bin", F.least(F.floor(F.coalesce(F.try_divide(F.log10("x"), F.col("step")), F.lit(0.0))), F.lit(bins - 1)))
     )
     counts = binned.groupBy(target, "bin").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("step"))
     totals = counts.groupBy(target).agg(F.sum("n").alias("total"))
@@ -178,7 +178,7 @@ def log_histogram(df: DataFrame, column: str, target: str, edges: int = 60) -> D
     high = F.pow(F.lit(10.0), (F.col("bin") + 1) * F.col("step"))
     return counts.join(F.broadcast(totals), target).select(
         target, "bin", "n", low.alias("low"), high.alias("high"),
-        (F.col("n") / F.col("total") / (high - low)).alias("density"),
+        F.try_divide(F.col("n") / F.col("total"), high - low).alias("density"),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,29 +47,56 @@ def text_vectors(model: PipelineModel, df: DataFrame, text: str, output: str = "
     return model.transform(named).select(*keep, vector_to_array("_unit", "float32").alias(output))
 
 
+def _blocks(df: DataFrame, rows: int) -> int:
+    return max(1, -(-df.count() // rows))
+
+
+def _in_pairs(df: DataFrame, id: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Each row in its own block, once for every block of the other side."""
+    others = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+    return df.withColumn(own, F.pmod(F.xxhash64(id), F.lit(n_own)).cast("int")).select("*", others)
+
+
 def cosine_top_k(
     queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, k: int = 5,
     query_vector: str = "vector", corpus_vector: str = "vector", batch: int = QUERY_BATCH,
 ) -> DataFrame:
     """(query_id, corpus_id, similarity, rank): the exact `k` nearest of every query.
 
-    The corpus stays where it is. At most `batch` query vectors are sent to the
-    executors at a time, and each task returns only its best `k` per query.
-    More queries take more passes. Similarities are rounded to ten digits, so
-    equal vectors tie and the smaller id comes first.
+    Both sides are cut in blocks of about `batch` vectors on the executors, every
+    pair of blocks meets in one task for one matrix product, and only the best
+    `k` of a query go on from there. No vector passes the driver; a vector that
+    is NULL is never a hit and has none. Similarities are rounded to ten digits,
+    so equal vectors tie and the smaller id comes first.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_v"))
-    passes = -(-q.count() // batch)
-    found = None
-    for i in range(passes):
-        part = q if passes == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        best = _best_per_task(part, corpus, corpus_id, corpus_vector, k)
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return q.select("query_id", F.lit(None).cast(corpus.schema[corpus_id].dataType).alias("corpus_id"),
-                        F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_v")).where("_v is not null")
+    c = corpus.select(F.col(corpus_id).alias("corpus_id"), F.col(corpus_vector).alias("_v")).where("_v is not null")
+    n_q, n_c = _blocks(q, batch), _blocks(c, batch)
+    pair = ["_q", "_c"]
+    left = _in_pairs(q, "query_id", "_q", n_q, "_c", n_c).groupBy(*pair)
+    right = _in_pairs(c, "corpus_id", "_c", n_c, "_q", n_q).groupBy(*pair)
+    schema = T.StructType([
+        T.StructField("query_id", q.schema["query_id"].dataType),
+        T.StructField("corpus_id", c.schema["corpus_id"].dataType),
+        T.StructField("similarity", T.DoubleType()),
+    ])
+
+    def nearest(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(known):
+            return pd.DataFrame({"query_id": asked["query_id"][:0], "corpus_id": known["corpus_id"][:0], "similarity": np.zeros(0)})
+        known = known.sort_values("corpus_id", kind="stable")
+        similar = np.round(_unit_rows(asked["_v"]) @ _unit_rows(known["_v"]).T, 10)
+        # Stable sort on ordered ids: among equals the smaller id wins.
+        top = np.argsort(-similar, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({
+            "query_id": np.repeat(asked["query_id"].to_numpy(), top.shape[1]),
+            "corpus_id": known["corpus_id"].to_numpy()[top].ravel(),
+            "similarity": np.take_along_axis(similar, top, axis=1).ravel(),
+        })
+
+    found = left.cogroup(right).applyInPandas(nearest, schema)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "corpus_id")
-    # At most k rows per query and corpus task are left here.
+    # At most k rows per query and corpus block are left here.
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
@@ -80,45 +106,6 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best_per_task(part: DataFrame, corpus: DataFrame, corpus_id: str, corpus_vector: str, k: int) -> DataFrame:
-    sent = part.toPandas()
-    matrix = _unit_rows(sent["_v"]) if len(sent) else np.zeros((0, 1))
-    shared = corpus.sparkSession.sparkContext.broadcast((sent["query_id"].to_numpy(), matrix))
-    schema = T.StructType([
-        T.StructField("query_id", part.schema["query_id"].dataType),
-        T.StructField("corpus_id", corpus.schema[corpus_id].dataType),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = shared.value
-        kept: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            names = pdf["corpus_id"].to_numpy()
-            similar = np.round(vectors @ _unit_rows(pdf["_v"]).T, 10)
-            order = np.argsort(names, kind="stable")
-            similar, names = similar[:, order], names[order]
-            # Stable sort on ordered ids: among equals the smaller id wins.
-            top = np.argsort(-similar, axis=1, kind="stable")[:, :k]
-            new = pd.DataFrame({
-                "query_id": np.repeat(ids, top.shape[1]),
-                "corpus_id": names[top].ravel(),
-                "similarity": np.take_along_axis(similar, top, axis=1).ravel(),
-            })
-            kept = new if kept is None else pd.concat([kept, new])
-            kept = (
-                kept.sort_values(["query_id", "similarity", "corpus_id"], ascending=[True, False, True])
-                .groupby("query_id", sort=False).head(k)
-            )
-        if kept is not None:
-            yield kept
-
-    rows = corpus.select(F.col(corpus_id).alias("corpus_id"), F.col(corpus_vector).alias("_v"))
-    return rows.filter(F.col("_v").isNotNull()).mapInPandas(nearest, schema)
-
-
 def prompts(hits: DataFrame, question_id: str, question: str, rank: str, source: str, text: str) -> DataFrame:
     """One prompt per question: its ranked sources as labelled blocks, then the task.
 

@@ -13,9 +13,9 @@ def canonical_names(columns: list[str]) -> dict[str, str]:
 
 
 def propose_schema(
-    spark: SparkSession, path: str, exact: tuple[str, ...] = (), sampling_ratio: float = 0.01
+    spark: SparkSession, path: str, exact: tuple[str, ...] = (), sampling_ratio: float = 1.0
 ) -> T.StructType:
-    """Infer a schema from part of the file: numbers become float unless named in `exact`."""
+    """Infer a schema from the rows, all unless a smaller ratio is asked for: numbers become float unless named in `exact`."""
     inferred = spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling_ratio).schema
     return T.StructType(
         [

@@ -47,7 +47,7 @@ def test_enrich_keeps_rows_and_marks_matches(spark):
     assert sorted((r.id, r.w, r._matched) for r in joined.collect()) == [(1, None, 0), (2, 0.5, 1), (3, None, 0)]
     assert coverage(joined).first().matched == 1
     assert row_count_change(joined, left).first().ok == 1
-    with pytest.raises(ct.DataContractError, match="right key"):
+    with pytest.raises(ct.DataContractError, match="right: 1 rows"):
         enrich(left, right.union(right), "id")
 
 

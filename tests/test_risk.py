@@ -122,3 +122,9 @@ def test_reliability_bins(spark, overconfident):
     flat = spark.createDataFrame([(1, 0.5), (0, 0.5)], "y int, s double")
     assert cal.reliability_table(flat, "y", "s").count() == 0
     assert cal.calibration_error(flat, "y", "s").first().ece == 0.0
+
+
+def test_rows_without_a_score_are_not_flagged(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, None), (0, float("nan")), (0, 0.1)], "y int, p double")
+    r = ev.at_thresholds(df, "y", "p", [0.5]).first()
+    assert (r.tp, r.fp, r.fn, r.tn) == (1, 0, 1, 2)

@@ -107,11 +107,12 @@ def test_cosine_search_is_exact(spark, batch):
     corpus[50] = corpus[20] * 3  # same direction: a tie, won by the smaller id
     queries[0] = corpus[20]
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)] + [(999, None)], "id long, vector array<double>").repartition(5)
-    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)], "id string, vector array<double>")
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)] + [("none", None)], "id string, vector array<double>")
     found = {}
     for r in rt.cosine_top_k(q, c, "id", "id", 4, batch=batch).collect():
         found.setdefault(r.query_id, {})[r.rank] = (r.corpus_id, r.similarity)
     sims = np.round((queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ (corpus / np.linalg.norm(corpus, axis=1, keepdims=True)).T, 10)
+    assert "none" not in found
     for i in range(9):
         want = sorted(range(200), key=lambda j: (-sims[i, j], j))[:4]
         assert [found[f"q{i}"][k][0] for k in (1, 2, 3, 4)] == want
