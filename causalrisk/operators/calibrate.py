@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from causalrisk.operators.ordered import ALL, SEGMENT, count_above, in_segments, quantile_edges, with_row_index
@@ -124,6 +124,11 @@ class Calibrator:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
+    @staticmethod
+    def load(path: str, method: str) -> Calibrator:
+        kind = IsotonicRegressionModel if method == "isotonic" else LogisticRegressionModel
+        return Calibrator(method, kind.load(path))
+
 
 def judge(df: DataFrame, target: str, raw: str, calibrated: str) -> dict[str, float]:
     gap = F.col(calibrated) - F.col(target)

@@ -10,7 +10,8 @@ from causalrisk.operators.ordered import with_row_index
 from causalrisk.operators.unpivot import as_text, long_form
 from causalrisk.session import materialise
 
-BROADCAST_LEVELS = 500_000
+#: A column's map is broadcast up to so many levels and so many bytes of their texts.
+BROADCAST_LEVELS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
 def fit_frequencies(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,7 +57,8 @@ class FrequencyEncoder:
         is joined by shuffle, where missing values are given their own random
         keys first, so they do not all meet in one task.
         """
-        levels = {r["column"]: r["count"] for r in self.table.groupBy("column").count().collect()}
+        size = F.sum(F.octet_length("value") + 16)
+        sizes = {r["column"]: r for r in self.table.groupBy("column").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).collect()}
         out = df
         for c in self.columns:
             name = f"{c}_freq"
@@ -67,7 +69,7 @@ class FrequencyEncoder:
             lookup = self.table.filter(F.col("column") == c).select(
                 F.col("value").alias("_value"), F.col("freq").alias(name)
             )
-            if levels.get(c, 0) <= BROADCAST_LEVELS:
+            if c not in sizes or sizes[c].n <= BROADCAST_LEVELS and sizes[c].bytes <= BROADCAST_BYTES:
                 lookup, on = F.broadcast(lookup), value
             else:
                 lookup = lookup.withColumn("_value", F.concat(F.lit("v"), F.col("_value")))

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+    OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from causalrisk.operators.ordered import exact_quantiles
 from causalrisk.operators.unpivot import long_form
 
 # Model settings.
 RARE_SHARE = 0.01
 INFREQUENT = "__infrequent__"
 ABSENT_NUMBER = -999.0
+ABSENT_LEVEL = "__missing__"
+#: Levels of a column that trees see one by one; a column with more has its levels dealt to so many bins by hash.
+TREE_LEVELS = 1000
 BOOSTING = dict(
     maxIter=600, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8",
     minInstancesPerNode=5, seed=42,
@@ -78,6 +82,40 @@ def doubles_stage(columns: list[str], absent: float | None = None) -> SQLTransfo
     )
 
 
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Median of each column's known values, all columns in one pass; 0 for a column without any."""
+    if not columns:
+        return {}
+    values = long_form(df, columns, "double").where("value is not null and not isnan(value)")
+    found = {r["column"]: r["value"] for r in exact_quantiles(values, "value", [0.5], ("column",)).collect()}
+    return {c: float(found.get(c, 0.0)) for c in columns}
+
+
+def median_stage(medians: dict[str, float]) -> SQLTransformer:
+    """`<c>__num` with the median where it is missing, as `<c>__fill`."""
+    made = [f"COALESCE(NANVL(`{c}__num`, NULL), {m!r}D) AS `{c}__fill`" for c, m in medians.items()]
+    return SQLTransformer(statement="SELECT *, " + ", ".join(made) + " FROM __THIS__")
+
+
+def tree_levels_stage(train: DataFrame, columns: list[str]) -> tuple[SQLTransformer, int]:
+    """Every level as itself and missing as a level of its own, and the most levels of a column.
+
+    Columns of more than TREE_LEVELS levels are dealt to as many bins by hash.
+    """
+    counts = {
+        r["column"]: r["n"]
+        for r in long_form(train, columns, "string").where("value is not null").groupBy("column", "value").count()
+        .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    made, most = [], 2
+    for c in columns:
+        n = counts.get(c, 0)
+        level = f"CAST(`{c}` AS STRING)" if n <= TREE_LEVELS else f"CONCAT('bin ', PMOD(XXHASH64(CAST(`{c}` AS STRING)), {TREE_LEVELS}))"
+        made.append(f"CASE WHEN `{c}` IS NULL THEN {_quoted(ABSENT_LEVEL)} ELSE {level} END AS `{c}__level`")
+        most = max(most, min(n, TREE_LEVELS) + 2)
+    return SQLTransformer(statement="SELECT *, " + ", ".join(made) + " FROM __THIS__"), most
+
+
 def with_balanced_weight(train: DataFrame, target: str) -> tuple[DataFrame, int]:
     """Row weights that give both classes the same total and sum to the row count, and that count."""
     row = train.agg(F.sum(target).alias("p"), F.count(F.lit(1)).alias("n")).first()
@@ -91,7 +129,7 @@ def fit_baseline(train: DataFrame, numeric: list[str], categorical: list[str], t
     filled = [f"{c}__fill" for c in numeric]
     stages = [
         doubles_stage(numeric),
-        Imputer(strategy="median", inputCols=[f"{c}__num" for c in numeric], outputCols=filled),
+        median_stage(exact_medians(train, numeric)),
         VectorAssembler(inputCols=filled, outputCol="_numeric"),
         StandardScaler(inputCol="_numeric", outputCol="_scaled", withMean=True, withStd=True),
     ]
@@ -132,18 +170,19 @@ def fit_boosted_trees(
     """Boosted trees with class weights; stops early when a validation part is given.
 
     A missing number becomes a value below all others, so a split can set it
-    apart; levels are indexed on the training rows and unseen ones share one index.
+    apart. All levels of the training rows are indexed, a missing one too, and
+    unseen ones share one index.
     """
     settings = {**BOOSTING, **overrides}
     stages = [doubles_stage(numeric, ABSENT_NUMBER)]
     inputs = [f"{c}__num" for c in numeric]
     if categorical:
-        levels = frequent_levels(train, categorical)
-        indexed = [f"{c}__index" for c in levels]
-        stages += [pooling_stage(levels), StringIndexer(
-            inputCols=[f"{c}__level" for c in levels], outputCols=indexed, handleInvalid="keep")]
+        levels, most = tree_levels_stage(train, categorical)
+        indexed = [f"{c}__index" for c in categorical]
+        stages += [levels, StringIndexer(
+            inputCols=[f"{c}__level" for c in categorical], outputCols=indexed, handleInvalid="keep")]
         inputs += indexed
-        settings.setdefault("maxBins", max(32, *[len(k) + 2 for k in levels.values()]))
+        settings.setdefault("maxBins", max(32, most + 1))
     weight = imbalance_weight(train, target)
     rows = train.withColumn("_held_out", F.lit(False))
     if validation is not None:
@@ -151,11 +190,9 @@ def fit_boosted_trees(
         settings.setdefault("validationTol", 1e-5)
         settings["validationIndicatorCol"] = "_held_out"
     rows = rows.withColumn("_weight", F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(1.0))
-    stages += [
-        VectorAssembler(inputCols=inputs, outputCol="features"),
-        GBTClassifier(labelCol=target, weightCol="_weight", **settings),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+    prepared = Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(train)
+    trees = GBTClassifier(labelCol=target, weightCol="_weight", **settings).fit(prepared.transform(rows))
+    return PipelineModel(stages=[*prepared.stages, trees])
 
 
 def score_rows(model: PipelineModel, df: DataFrame, output: str = "probability", keep: list[str] | None = None) -> DataFrame:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from causalrisk.operators.models import doubles_stage
+from causalrisk.operators.models import doubles_stage, exact_medians, median_stage
 from causalrisk.operators.unpivot import long_form
 from causalrisk.session import materialise
 
 
 def fit_scaling(rows: DataFrame, columns: list[str]) -> PipelineModel:
     """Median fill and scaling, so no feature dominates the distance."""
-    numbers, filled = [f"{c}__num" for c in columns], [f"{c}__fill" for c in columns]
+    filled = [f"{c}__fill" for c in columns]
     return Pipeline(stages=[
         doubles_stage(columns),
-        Imputer(strategy="median", inputCols=numbers, outputCols=filled),
+        median_stage(exact_medians(rows, columns)),
         VectorAssembler(inputCols=filled, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
     ]).fit(rows)

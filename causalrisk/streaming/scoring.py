@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,7 +16,7 @@ from causalrisk.operators.explain import explain_baseline, explain_trees, top_re
 from causalrisk.operators.models import align_to_schema, decision, risk_band, score_rows, with_serving_defaults
 from causalrisk.operators.narrative import narrate
 from causalrisk.session import shared_folder
-from causalrisk.spec import DatasetSpec
+from causalrisk.spec import DatasetSpec, EntityKey
 
 
 @dataclass
@@ -82,6 +83,34 @@ class Scorer:
         )
         return narrate(slim, spec.id, "probability", spec.amount, "reasons")
 
+    def save(self, path: str) -> None:
+        """Everything under one folder: settings as text, model, encoder map and calibrator beside it."""
+        spark = SparkSession.active()
+        self.model.write().overwrite().save(f"{path}/model")
+        if self.encoder is not None:
+            self.encoder.save(f"{path}/encoder")
+        if self.calibrator is not None:
+            self.calibrator.save(f"{path}/calibrator")
+        settings = {
+            "spec": asdict(self.spec), "schema": self.schema, "threshold": self.threshold, "levels": self.levels,
+            "term_names": self.term_names, "term_means": [float(m) for m in self.term_means],
+            "encoder": None if self.encoder is None else {"columns": self.encoder.columns, "unseen": self.encoder.unseen},
+            "calibrator": None if self.calibrator is None else self.calibrator.method,
+        }
+        spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Scorer:
+        s = json.loads(spark.read.text(f"{path}/settings").first()[0])
+        keys = tuple(EntityKey(k["name"], tuple(k["columns"]), k["missing"]) for k in s["spec"].pop("entity_keys"))
+        spec = DatasetSpec(entity_keys=keys, **{k: tuple(v) if isinstance(v, list) else v for k, v in s["spec"].items()})
+        encoder = s["encoder"] and FrequencyEncoder.load(spark, f"{path}/encoder", s["encoder"]["columns"], s["encoder"]["unseen"])
+        calibrator = s["calibrator"] and Calibrator.load(f"{path}/calibrator", s["calibrator"])
+        return Scorer(
+            spec, s["schema"], PipelineModel.load(f"{path}/model"), s["threshold"], encoder, s["levels"], calibrator,
+            s["term_names"], s["term_means"],
+        )
+
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
                files_per_batch: int = 100) -> DataFrame:

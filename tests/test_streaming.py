@@ -69,6 +69,9 @@ def test_stream_scores_equal_batch_and_continue(spark, tmp_path):
     streamed = run_available(scorer.transform(read_files(spark, folder, requests.schema)), "s", out)
     key = lambda d: sorted((r.id, r.probability, r.risk_band, r.decision) for r in d.collect())
     assert key(streamed) == key(scorer.transform(requests)) and streamed.count() == 600
+    scorer.save(str(tmp_path / "scorer"))
+    again = Scorer.load(spark, str(tmp_path / "scorer"))
+    assert again.spec == SPEC and key(again.transform(requests)) == key(scorer.transform(requests))
     told = run_available(scorer.explain(read_files(spark, folder, requests.schema)), "e", str(tmp_path / "told"))
     assert told.count() == 600 and told.first().narrative.startswith("ALERT ")
     sparse = spark.createDataFrame([(5.0,)], "amount double")
