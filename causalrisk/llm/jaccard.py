@@ -8,12 +8,13 @@
    frequent ones is bounded by FREQUENT; which ones are in it changes the cost,
    never the result, since any fixed order is right.
 3. Two sets that link share an n-gram among the first n - ceil(t n) + 1 of
-   each. Sets that share one there meet, but not pair by pair: every n-gram
-   names its least set as centre, and each set is checked against one centre.
-   What links so far makes components. An n-gram whose sets then still lie in
-   several components gives the rest: each set is checked against the other
-   components that it met. So no group's pairs are written out, and no pair of
-   sets that could join two components is left unchecked.
+   each. Sets that share one there meet, but not pair by pair: an n-gram names
+   the set that meets most others as its centre, and each set is checked against
+   one centre. What links makes components. Where an n-gram's sets still lie in
+   several, each is checked against the heaviest component there, and in a last
+   round against every other component that it met. A component takes a set in
+   with its first link, so the pairs within a group are neither written out nor
+   all checked, yet no pair that could join two components is left unchecked.
 4. A check first compares parity bitmaps, whose distance is a lower bound of
    the sets' distance, and so drops no link. Survivors are joined in blocks of
    at most BLOCK sets: the block's sets, in global order, form a trie; a probing
@@ -48,6 +49,8 @@ FREQUENT, BLOCK, PROBES = 131_072, 256, 512
 COUNTED, LOCAL, LEAST_COUNT = 4_000_000, 2, 16
 #: Fingerprints that a task keeps; rows of ids that are broadcast at most to pick sets, more go by a shuffle join.
 _SEEN, PICKED = 1_000_000, 1_000_000
+#: Rounds in which sets are held against the heaviest component they met, before the rest is.
+ROUNDS = 1
 
 
 def need(a, b, percent: int = PERCENT):
@@ -360,6 +363,31 @@ def block_links(stored_sets: DataFrame, probes: DataFrame, sets: DataFrame, full
     return stored(_in_groups(whole.join(_picked(sieved), "sid"), _walk(percent, first_only), "a long, b long"), "links")
 
 
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (`gram`, `sid`, ...) with their component, of the n-grams whose sets still lie in several components."""
+    placed = rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    placed = stored(placed, "placed")
+    several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return stored(placed.join(several.select("gram"), "gram"), "open")
+
+
+def _heaviest(open_: DataFrame, weight: DataFrame) -> DataFrame:
+    """Every set against the heaviest component of each of its n-grams (`key`, `sid`): as many rows as entries at most."""
+    heaviest = open_.join(weight, "component").groupBy("gram").agg(F.max(F.struct("weight", "component")).alias("top"))
+    heaviest = stored(heaviest.select("gram", F.col("top.component").alias("key")), "heaviest")
+    return open_.join(heaviest, "gram").where("component != key").select("key", "sid").distinct()
+
+
+def _rest(open_: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
+    """Every set against each heavier component that it met and whose sizes allow a link (`key`, `sid`)."""
+    lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(weight, "component")
+    lengths = lengths.select("gram", F.col("component").alias("key"), "least", "most", F.col("weight").alias("key_weight"))
+    return open_.join(weight, "component").join(lengths, "gram").where(
+        (F.struct("key_weight", "key") > F.struct(F.col("weight"), F.col("component")))
+        & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+    ).select("key", "sid").distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`."""
     docs = docs.select("doc_id", "text")
@@ -379,39 +407,36 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             read = texts.mapInArrow(_full_scan(n, sent), "f1 bigint, f2 bigint, grams binary")
             return read.join(_picked(own).select("sid", "f1", "f2"), ["f1", "f2"]).select("sid", "grams")
 
-        # rare n-grams have few sets each, frequent ones any number: their centres are partial aggregates
-        in_gram = W.partitionBy("gram")
-        few = sets.select("sid", F.explode("rare").alias("gram")).withColumns({"centre": F.min("sid").over(in_gram), "last": F.max("sid").over(in_gram)})
+        # rare n-grams have few sets each, frequent ones any number: those are counted by partial aggregates
+        few = sets.select("sid", F.explode("rare").alias("gram")).withColumn("held", F.count("*").over(W.partitionBy("gram")))
         many = sets.select("sid", F.explode("often").alias("gram"))
-        centres = many.groupBy("gram").agg(F.min("sid").alias("centre"), F.max("sid").alias("last")).where("centre < last")
-        met = stored(few.where("centre < last").select("sid", "gram", "centre").union(many.join(centres, "gram").select("sid", "gram", "centre")), "met")
-        # a set is held against the centre that it shares most n-grams with; the others are left to the second round
-        shared = met.where("sid != centre").groupBy("sid", "centre").agg(F.count("*").alias("shared"))
+        held = many.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+        met = stored(few.where("held > 1").select("sid", "gram", "held").union(many.join(held, "gram").select("sid", "gram", "held")), "met")
+
+        # the centre of an n-gram is the set that meets most others: what the rest was copied from, if that is there.
+        # A set is held against the centre that it shares most n-grams with; all others are left to later rounds
+        busy = met.groupBy("sid").agg(F.sum("held").alias("meets"))
+        centres = met.join(busy, "sid").groupBy("gram").agg(F.max_by("sid", F.struct("meets", -F.col("sid"))).alias("centre"))
+        shared = met.select("sid", "gram").join(stored(centres, "centres"), "gram").where("sid != centre")
+        shared = shared.groupBy("sid", "centre").agg(F.count("*").alias("shared"))
         stars = shared.groupBy("sid").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("key"))
         first_of = sets.groupBy("f1", "f2").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
         twins = sets.select("f1", "f2", F.col("sid").alias("b")).join(first_of, ["f1", "f2"]).select("a", "b")
-        near = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False).union(twins)
-        first = stored(components(near), "components")
-
-        placed = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", F.coalesce("component", "sid").alias("component"))
-        placed = stored(placed, "placed")
-        several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-        open_ = stored(placed.join(several, "gram").join(sets.select("sid", "n"), "sid"), "open")
-        members = open_.select("component", "sid").distinct()
-        weight = stored(members.groupBy("component").agg(F.count("*").alias("weight")), "weight")
-        lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(weight, "component")
-        lengths = lengths.select("gram", F.col("component").alias("key"), "least", "most", F.col("weight").alias("key_weight"))
-        asks = open_.join(weight, "component").join(lengths, "gram").where(
-            (F.struct("key_weight", "key") > F.struct(F.col("weight"), F.col("component")))
-            & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-        ).select("key", "sid").distinct()
-        asks = stored(asks, "asks")
-        stored_sets = members.withColumnRenamed("component", "key").join(asks.select("key").distinct(), "key", "left_semi")
-        more = block_links(stored_sets, asks, sets, full, percent, True)
-
-        # components of components: a link found in the second round joins two of the first
-        last = stored(components(near.union(more)), "components")
-        labels = sets.select("f1", "f2", "sid").join(last.withColumnRenamed("node", "sid"), "sid", "left")
+        links = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False).union(twins)
+        labels = stored(components(links), "components")
+        open_ = _open(met.select("gram", "sid"), labels)
+        open_ = stored(open_.join(sets.select("sid", "n"), "sid"), "open")
+        for last_round in (*[False] * ROUNDS, True):
+            members = open_.select("component", "sid").distinct()
+            weight = stored(members.groupBy("component").agg(F.count("*").alias("weight")), "weight")
+            asks = stored(_rest(open_, weight, percent) if last_round else _heaviest(open_, weight), "asks")
+            asked = members.withColumnRenamed("component", "key").join(asks.select("key").distinct(), "key", "left_semi")
+            links = links.union(block_links(asked, asks, sets, full, percent, True))
+            labels = stored(components(links), "components")
+            if not last_round:
+                open_ = _open(open_.drop("component"), labels)
+
+        labels = sets.select("f1", "f2", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
         labels = stored(labels.groupBy("f1", "f2").agg(F.min(F.coalesce("component", "sid")).alias("component")), "labels")
         named = described.select("doc_id", "f1", "f2", "n").join(labels, ["f1", "f2"], "left")
         named = keep(named.select("doc_id", "n", "component"), "named")
