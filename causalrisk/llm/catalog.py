@@ -23,7 +23,7 @@ CATALOG = Catalog()
 #: Production targets of the mix: the hot source is taken back to a quarter of all tokens, small languages come forward.
 MIX_TARGETS = {
     "source": {"src0": 0.25},
-    "lang": {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12},
+    "lang": {"en": 0.57, "de": 0.15, "fr": 0.15, "es": 0.12},
     "topic": {"prose": 0.895, "table": 0.03, "symbols": 0.03, "capitals": 0.03, "short": 0.015},
 }
 SHARDS = 24
