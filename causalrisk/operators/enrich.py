@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from causalrisk.operators.contracts import DataContractError, key_report
@@ -59,6 +61,13 @@ def manifest(joined: DataFrame, target: str, time: str) -> DataFrame:
     )
 
 
+def with_inputs(row: DataFrame, paths: tuple[str, ...]) -> DataFrame:
+    """A manifest row with path, size and SHA-256 of every input file as `inputs`."""
+    files = reduce(DataFrame.unionByName, [file_fingerprints(row.sparkSession, p) for p in paths])
+    listed = files.agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("inputs"))
+    return row.withColumn("inputs", listed.scalar())
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-insensitive 64-bit hash of the whole content."""
     return df.agg(

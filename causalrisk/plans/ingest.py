@@ -12,11 +12,12 @@ from causalrisk.spec import DatasetSpec
 
 def ingest(
     facts: DataFrame, side: DataFrame, spec: DatasetSpec, path: str | None = None,
-    expected_rate: float | None = None, tolerance: float = 0.005,
+    expected_rate: float | None = None, tolerance: float = 0.005, sources: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """The checked, joined and typed table, and its one-row manifest.
 
-    Rules that fail raise before anything is written to `path`.
+    Rules that fail raise before anything is written to `path`. `sources` are the
+    paths that the tables were read from; the manifest lists their files.
     """
     contracts.require_columns(facts, spec.required, "facts")
     side_keys = contracts.key_report(side, spec.id).first()
@@ -40,4 +41,5 @@ def ingest(
         joined = facts.sparkSession.read.parquet(path)
     else:
         joined = materialise(joined, "joined")
-    return joined.drop(en.MATCHED), en.manifest(joined, spec.target, spec.time)
+    provenance = en.manifest(joined, spec.target, spec.time)
+    return joined.drop(en.MATCHED), en.with_inputs(provenance, sources) if sources else provenance

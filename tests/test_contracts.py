@@ -65,6 +65,9 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert (m.n_rows, m.positives, m.negatives, m.matched, m.coverage) == (200, 20, 180, 50, 0.25)
     assert m.imbalance_ratio == 9.0
     assert table.count() == 200 and "browser" in table.columns
+    side.coalesce(1).write.parquet(str(tmp_path / "side"))
+    listed = ingest(facts(spark, rows), side, SPEC, expected_rate=0.1, sources=(str(tmp_path / "side"),))[1].first().inputs
+    assert [len(f.sha256) for f in listed] == [64] and listed[0].bytes > 0 and listed[0].path.endswith(".parquet")
     with pytest.raises(ct.DataContractError, match="positive_rate"):
         ingest(facts(spark, rows), side, SPEC, expected_rate=0.5)
     orphan = side.union(spark.createDataFrame([(5, "ie")], side.schema))

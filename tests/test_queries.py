@@ -9,9 +9,6 @@ from tests.compare import compare, connect
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# The fits are covered on small fixtures in test_models and test_streaming.
-FITS = {"baseline_model_quality", "boosted_trees_quality", "calibrated_test_report", "history_feature_comparison",
-        "number_of_clusters", "typologies", "calibration_comparison"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +20,7 @@ def test_every_query_is_callable_and_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 80
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - FITS))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ok, note = compare(spark, con, FOLDER, QUERIES[name], ORACLES.get(name))
     assert ok, note
