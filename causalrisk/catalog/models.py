@@ -10,6 +10,7 @@ from causalrisk.catalog.common import Catalog, q4, r4, rounded, with_tables
 from causalrisk.catalog.intake import parted
 from causalrisk.operators import evaluate as ev, explain as ex, models as md
 from causalrisk.operators.anomaly import IsolationForest, evaluate_anomalies
+from causalrisk.operators.casefile import find_row
 from causalrisk.operators.typology import choose_k, cluster_cases, describe_clusters
 from causalrisk.plans.train import build_features, calibrate_and_test, train_models
 from causalrisk.session import materialise
@@ -108,6 +109,25 @@ def aligned_request_rows(spark, folder):
     return md.align_to_schema(rows, schema, {"channel": ["click", "view"]})
 
 
+@add(with_tables("""
+    SELECT coalesce(CASE WHEN k % 2 <> 0 THEN txn_id END, 0) AS txn_id, coalesce(CASE WHEN k % 3 <> 0 THEN t END, 86400) AS t, amount FROM txn
+""", "txn"))
+def serving_defaults(spark, folder):
+    """Requests of which some lack the id and some the time."""
+    k = F.col("k")
+    rows = transactions(spark, folder).select(
+        F.when(k % 2 != 0, F.col("txn_id")).alias("txn_id"), F.when(k % 3 != 0, F.col("t")).alias("t"), "amount")
+    return md.with_serving_defaults(rows, "txn_id", "t")
+
+
+@add(with_tables("SELECT txn_id, t, amount, channel FROM txn WHERE txn_id = (SELECT max(txn_id) FROM txn WHERE label = 1)", "txn"))
+def case_lookup(spark, folder):
+    """The newest confirmed case, looked up by its id."""
+    rows = transactions(spark, folder)
+    newest = rows.where("label = 1").agg(F.max("txn_id")).first()[0]
+    return find_row(rows.select("txn_id", "t", "amount", "channel"), "txn_id", newest)
+
+
 # ------------------------------------------------------------------ reasons ---
 def with_reasons(spark, folder):
     """The closed-form score with the reasons of its linear margin."""
