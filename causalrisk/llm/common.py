@@ -9,6 +9,8 @@ from causalrisk.session import materialise, prepare, scratch  # noqa: F401
 #: Fixed value: A-Z and what they become; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+BATCH_BYTES = 8_000_000
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
@@ -23,6 +25,14 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let tasks pass texts to Python in batches of at most BATCH_BYTES, however long the texts are.
+
+    Spark's own limit counts rows; ten thousand long texts would not fit a small executor.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

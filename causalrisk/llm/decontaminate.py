@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causalrisk.llm.common import ascii_lower
+from causalrisk.llm.common import ascii_lower, bounded_batches
 from causalrisk.llm.words import ALNUM, gram_hashes, text_chunks
 
 WINDOW = 10
@@ -234,6 +234,7 @@ def _scan(sent, window: int, cut_from: int | None, max_coverage: float):
 
 def _automaton(items: DataFrame, window: int, item_words: int):
     """Built on the driver from a table of checked size, and sent to all tasks."""
+    bounded_batches(items.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     size = items.agg(F.sum(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)))).first()[0] or 0
     if size > item_words:

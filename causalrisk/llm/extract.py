@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causalrisk.llm.common import stored
+from causalrisk.llm.common import bounded_batches, stored
 from causalrisk.llm.url_reputation import url_host
 
 #: Share of the score that a parent inherits, levels that inherit, steps of a path that are compared, least share of the best container's score.
@@ -293,6 +293,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
     """`row` (the columns `keep`) and `text` of every page (`url`, `html`)."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), url_host(F.col("url")).alias("host"), "html")
     winners = stored(host_paths(rows), "winners")
     kind = rows.schema["row"].dataType.simpleString()

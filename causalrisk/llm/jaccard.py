@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from causalrisk.llm.common import scratch, stored
+from causalrisk.llm.common import bounded_batches, scratch, stored
 from causalrisk.llm.components import components
 from causalrisk.llm.words import NOT_SPACE, gram_hashes, mix, text_chunks
 
@@ -337,7 +337,7 @@ def _in_groups(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def _picked(ids: DataFrame) -> DataFrame:
-    """A stored table of ids, to be broadcast if it has few enough rows."""
+    """A stored table of ids and numbers, to be broadcast if it has few enough rows."""
     return F.broadcast(ids) if ids.count() <= PICKED else ids
 
 
@@ -365,7 +365,7 @@ def block_links(stored_sets: DataFrame, probes: DataFrame, sets: DataFrame, full
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (`gram`, `sid`, ...) with their component, of the n-grams whose sets still lie in several components."""
-    placed = rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    placed = rows.join(_picked(labels.withColumnRenamed("node", "sid")), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = stored(placed, "placed")
     several = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     return stored(placed.join(several.select("gram"), "gram"), "open")
@@ -373,16 +373,16 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _heaviest(open_: DataFrame, weight: DataFrame) -> DataFrame:
     """Every set against the heaviest component of each of its n-grams (`key`, `sid`): as many rows as entries at most."""
-    heaviest = open_.join(weight, "component").groupBy("gram").agg(F.max(F.struct("weight", "component")).alias("top"))
+    heaviest = open_.join(_picked(weight), "component").groupBy("gram").agg(F.max(F.struct("weight", "component")).alias("top"))
     heaviest = stored(heaviest.select("gram", F.col("top.component").alias("key")), "heaviest")
     return open_.join(heaviest, "gram").where("component != key").select("key", "sid").distinct()
 
 
 def _rest(open_: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
     """Every set against each heavier component that it met and whose sizes allow a link (`key`, `sid`)."""
-    lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(weight, "component")
+    lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(_picked(weight), "component")
     lengths = lengths.select("gram", F.col("component").alias("key"), "least", "most", F.col("weight").alias("key_weight"))
-    return open_.join(weight, "component").join(lengths, "gram").where(
+    return open_.join(_picked(weight), "component").join(lengths, "gram").where(
         (F.struct("key_weight", "key") > F.struct(F.col("weight"), F.col("component")))
         & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
     ).select("key", "sid").distinct()
@@ -391,6 +391,7 @@ def _rest(open_: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`."""
     docs = docs.select("doc_id", "text")
+    bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         id_type = docs.schema["doc_id"].dataType.simpleString()
         sent = frequent_grams(docs, n)
@@ -415,8 +416,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
         # the centre of an n-gram is the set that meets most others: what the rest was copied from, if that is there.
         # A set is held against the centre that it shares most n-grams with; all others are left to later rounds
-        busy = met.groupBy("sid").agg(F.sum("held").alias("meets"))
-        centres = met.join(busy, "sid").groupBy("gram").agg(F.max_by("sid", F.struct("meets", -F.col("sid"))).alias("centre"))
+        busy = stored(met.groupBy("sid").agg(F.sum("held").alias("meets")), "busy")
+        centres = met.join(_picked(busy), "sid").groupBy("gram").agg(F.max_by("sid", F.struct("meets", -F.col("sid"))).alias("centre"))
         shared = met.select("sid", "gram").join(stored(centres, "centres"), "gram").where("sid != centre")
         shared = shared.groupBy("sid", "centre").agg(F.count("*").alias("shared"))
         stars = shared.groupBy("sid").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("key"))
@@ -425,7 +426,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         links = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False).union(twins)
         labels = stored(components(links), "components")
         open_ = _open(met.select("gram", "sid"), labels)
-        open_ = stored(open_.join(sets.select("sid", "n"), "sid"), "open")
+        open_ = stored(open_.join(_picked(sets.select("sid", "n")), "sid"), "open")
         for last_round in (*[False] * ROUNDS, True):
             members = open_.select("component", "sid").distinct()
             weight = stored(members.groupBy("component").agg(F.count("*").alias("weight")), "weight")

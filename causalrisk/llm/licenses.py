@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from causalrisk.llm.common import bounded_batches
 from causalrisk.llm.words import ALNUM, gram_hashes, text_chunks
 
 #: Diagonals at most this far apart are merged; share of a template's places that a span needs; longest span for a template's length.
@@ -96,6 +97,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per document (`doc_id`, `text`): n_words, n_base, first_word, last_word, base_labels, labels, score, and the verified `spans`."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     grams = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(

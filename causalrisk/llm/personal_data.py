@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causalrisk.llm.common import stored
+from causalrisk.llm.common import bounded_batches, stored
 from causalrisk.llm.words import NOT_SPACE, gram_hashes, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -246,6 +246,7 @@ def _final_scan(sent):
 def find_personal_data(docs: DataFrame, keep: list[str], sure: float = SURE) -> DataFrame:
     """`row` (the columns `keep`), `base` and `added` spans (kind, start, end) of every document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     patterns = np.sort(seed_patterns(docs).select("pattern").toArrow()["pattern"].to_numpy())
     sent = spark.sparkContext.broadcast(patterns)
     edges = docs.select("text").mapInArrow(_edge_scan(sent), "pattern bigint, kind int, value bigint, n bigint")

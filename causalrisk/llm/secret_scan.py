@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from causalrisk.llm.common import bounded_batches
+
 KINDS = ("assign", "access", "hex", "context")
 #: log10 of the guesses from which a value in context is a secret; longest listed word; starts tried in a run.
 COSTLY, LONGEST_WORD, RUN_STARTS = 9.0, 16, 16
@@ -141,6 +143,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`row` (the columns `keep`), `base` and `added` spans (kind, start, end) of every document."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     return rows.mapInArrow(_scan, f"row {rows.schema['row'].dataType.simpleString()}, base {span}, added {span}")
