@@ -9,8 +9,7 @@
    never the result, since any fixed order is right.
 3. Two sets that link share an n-gram among the first n - ceil(t n) + 1 of
    each. Sets that share one there meet, but not pair by pair: an n-gram names
-   the set that meets most others as its centre, and each set is checked against
-   one centre. What links makes components. Where an n-gram's sets still lie in
+   one of its sets as its centre, and each set is checked against one centre. What links makes components. Where an n-gram's sets still lie in
    several, each is checked against the heaviest component there, and in a last
    round against every other component that it met. A component takes a set in
    with its first link, so the pairs within a group are neither written out nor
@@ -171,7 +170,7 @@ def _set_scan(n: int, percent: int, sent):
         seen = _Seen()
         frequent, rank = sent.value
         for batch in batches:
-            ones, twos, sizes, rare, often, bits = [], [], [], [], [], []
+            ones, twos, sizes, common, rare, often, bits = [], [], [], [], [], [], []
             for _, grams in text_sets(batch.column("text"), n):
                 one, two = fingerprint(grams)
                 ones.append(one)
@@ -179,18 +178,20 @@ def _set_scan(n: int, percent: int, sent):
                 sizes.append(len(grams))
                 if len(grams) and seen.first((one, two)):
                     grams, light = ordered(grams, frequent, rank)
+                    common.append(len(grams) - light)
                     prefix = grams[: prefix_size(len(grams), percent)].view(np.int64)
                     rare.append(prefix[:light])
                     often.append(prefix[light:])
                     bits.append(parity_bits(grams))
                 else:
+                    common.append(None)
                     rare.append(None)
                     often.append(None)
                     bits.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column("doc_id"), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()),
                  pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "f1", "f2", "n", "rare", "often", "bits"],
+                names=["doc_id", "f1", "f2", "n", "common", "rare", "often", "bits"],
             )
 
     return run
@@ -397,7 +398,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         sent = frequent_grams(docs, n)
         described = docs.mapInArrow(
             _set_scan(n, percent, sent),
-            f"doc_id {id_type}, f1 bigint, f2 bigint, n bigint, rare array<bigint>, often array<bigint>, bits binary",
+            f"doc_id {id_type}, f1 bigint, f2 bigint, n bigint, common bigint, rare array<bigint>, often array<bigint>, bits binary",
         )
         described = stored(described.withColumn("sid", F.monotonically_increasing_id()), "described")
         sets = described.where("bits is not null")
@@ -408,18 +409,18 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             read = texts.mapInArrow(_full_scan(n, sent), "f1 bigint, f2 bigint, grams binary")
             return read.join(_picked(own).select("sid", "f1", "f2"), ["f1", "f2"]).select("sid", "grams")
 
-        # rare n-grams have few sets each, frequent ones any number: those are counted by partial aggregates
-        few = sets.select("sid", F.explode("rare").alias("gram")).withColumn("held", F.count("*").over(W.partitionBy("gram")))
-        many = sets.select("sid", F.explode("often").alias("gram"))
-        held = many.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
-        met = stored(few.where("held > 1").select("sid", "gram", "held").union(many.join(held, "gram").select("sid", "gram", "held")), "met")
-
-        # the centre of an n-gram is the set that meets most others: what the rest was copied from, if that is there.
-        # A set is held against the centre that it shares most n-grams with; all others are left to later rounds
-        busy = stored(met.groupBy("sid").agg(F.sum("held").alias("meets")), "busy")
-        centres = met.join(_picked(busy), "sid").groupBy("gram").agg(F.max_by("sid", F.struct("meets", -F.col("sid"))).alias("centre"))
-        shared = met.select("sid", "gram").join(stored(centres, "centres"), "gram").where("sid != centre")
-        shared = shared.groupBy("sid", "centre").agg(F.count("*").alias("shared"))
+        # A rare n-gram has few sets, and the first is its centre. A frequent one has any number, so its centre comes from
+        # partial aggregates: the set with most frequent n-grams, what the rest was copied from if that is there.
+        in_gram = W.partitionBy("gram")
+        few = sets.select("sid", F.explode("rare").alias("gram")).withColumns({"centre": F.min("sid").over(in_gram), "last": F.max("sid").over(in_gram)})
+        many = sets.select("sid", "common", F.explode("often").alias("gram"))
+        centres = many.groupBy("gram").agg(F.max(F.struct("common", (-F.col("sid")).alias("sid"))).alias("top"), F.count("*").alias("held")).where("held > 1")
+        centres = stored(centres.select("gram", (-F.col("top.sid")).alias("centre")), "centres")
+        many = many.join(_picked(centres), "gram").select("sid", "gram", "centre")
+        met = stored(few.where("centre < last").select("sid", "gram", "centre").union(many), "met")
+
+        # a set is held against the centre that it shares most n-grams with; all others are left to later rounds
+        shared = met.where("sid != centre").groupBy("sid", "centre").agg(F.count("*").alias("shared"))
         stars = shared.groupBy("sid").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("key"))
         first_of = sets.groupBy("f1", "f2").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
         twins = sets.select("f1", "f2", F.col("sid").alias("b")).join(first_of, ["f1", "f2"]).select("a", "b")

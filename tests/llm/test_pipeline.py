@@ -125,5 +125,6 @@ def test_every_stage_and_the_whole(spark, folder):
 def test_an_empty_table_passes_all_stages(spark, tmp_path, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, folder[0]).collect(), stage(spark, docs, folder[0]).schema)
+        out = stage(spark, docs, folder[0])
+        docs = spark.createDataFrame(out.collect(), out.schema)
     assert docs.count() == 0
