@@ -26,6 +26,8 @@ MIX_TARGETS = {
     "lang": {"en": 0.57, "de": 0.15, "fr": 0.15, "es": 0.12},
     "topic": {"prose": 0.895, "table": 0.03, "symbols": 0.03, "capitals": 0.03, "short": 0.015},
 }
+#: In the pipeline, cells that together hold at most this share of the tokens are taken whole and do not set the scale.
+MIX_RARE = 0.02
 SHARDS = 24
 
 

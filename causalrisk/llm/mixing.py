@@ -7,7 +7,11 @@ each step sums the weights along one dimension in Spark and multiplies that
 dimension's factors by target / sum, until no marginal is off. A document's
 probability is its cell's factor over the largest factor (all marginals then
 hold in expectation), or such that a token budget is met with probabilities of
-at most one. The draw is a hash of the id, so it repeats.
+at most one. With `rare`, the cells of the largest factors that together hold at
+most that share of the tokens are taken whole and do not set the scale; the
+other cells are raked again to what the targets leave besides them, so that a
+cell of a few documents cannot scale down the whole corpus. The draw is a hash
+of the id, so it repeats.
 
 Defined results: null or unlisted categories belong to the remainder, which
 takes what the listed targets leave. Targets of categories without tokens go to
@@ -17,6 +21,7 @@ like their cell. Repeated rows share their draw. An empty table stays empty.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from causalrisk.llm.common import stored
@@ -108,17 +113,62 @@ def _scale(cells: list, budget: float | None) -> float:
     return high
 
 
+def _rare_cells(cells: list, rare: float) -> int:
+    """How many of the cells, largest factor first, hold together at most `rare` of the tokens."""
+    held, most = 0, rare * sum(r.tokens for r in cells)
+    for n, r in enumerate(cells):
+        held += r.tokens
+        if held > most:
+            return n
+    return 0
+
+
+def _around(cells: list, targets: Targets, whole: int) -> list[float]:
+    """Probabilities of cells, largest factor first, of which the first `whole` are taken whole: the others are raked
+    to what the marginals lack besides those, at the largest scale that leaves every probability at most one."""
+    tokens = np.array([r.tokens for r in cells], dtype=float)
+    factor = np.array([r.factor for r in cells])
+    fixed, free = tokens[:whole], tokens[whole:]
+    sides = []
+    for d, listed in targets.items():
+        wanted = _wanted(listed, {c: sum(r.tokens for r in cells if r[d] == c) for c in {r[d] for r in cells}})
+        names = sorted({r[d] for r in cells[whole:]})
+        place = np.array([names.index(r[d]) for r in cells[whole:]])
+        taken = np.array([sum(r.tokens for r in cells[:whole] if r[d] == c) for c in names], dtype=float)
+        least = np.bincount(place, free * factor[whole:], len(names)) / (tokens @ factor)
+        sides.append((place, np.array([wanted[c] for c in names]), taken, least))
+
+    def fitted(total: float) -> np.ndarray:
+        weight = free * factor[whole:]
+        for _ in range(SWEEPS):
+            for place, wanted, taken, least in sides:
+                goal = np.maximum(wanted * total - taken, least * total)
+                now = np.bincount(place, weight, len(goal))
+                goal = goal / goal.sum() * (total - fixed.sum())
+                weight = weight * np.divide(goal, now, out=np.ones_like(goal), where=now > 0)[place]
+        return weight / free
+
+    low, high = float(fixed.sum()), float(tokens.sum())
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if fitted(middle).max() <= 1.0 else (low, middle)
+    return [1.0] * whole + np.minimum(1.0, fitted(low)).tolist()
+
+
 def draw(doc_id: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the id and the seed only."""
     digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|" + seed)))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(classed: DataFrame, counted: DataFrame, targets: Targets, budget: float | None = None, seed: str = "mix") -> DataFrame:
+def mix(
+    classed: DataFrame, counted: DataFrame, targets: Targets, budget: float | None = None, seed: str = "mix", rare: float = 0.0,
+) -> DataFrame:
     """`classed` (the dimensions, `doc_id`, anything else) with `probability` and `sampled`.
 
     counted: the dimensions and `tokens` of the same rows. Its sums per cell are
-    the only thing that is gathered; `budget` is a share of all tokens.
+    the only thing that is gathered; `budget` is a share of all tokens. `rare`
+    holds where there is no budget.
     """
     dims = list(targets)
     cells = stored(counted.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
@@ -126,9 +176,17 @@ def mix(classed: DataFrame, counted: DataFrame, targets: Targets, budget: float
     factor = F.lit(1.0)
     for d in dims:
         factor = factor * _by_category(d, factors[d])
-    table = cells.select("tokens", factor.alias("factor")).collect()
+    table = cells.select(*dims, "tokens", factor.alias("factor")).collect()
     scale = _scale(table, None if budget is None else budget * sum(r.tokens for r in table))
     probability = F.least(F.lit(1.0), factor * F.lit(scale))
+    if rare and budget is None:
+        ranked = sorted((r for r in table if r.tokens > 0 and r.factor > 0), key=lambda r: (-r.factor, *(r[d] for d in dims)))
+        whole = _rare_cells(ranked, rare)
+        for r, p in zip(ranked, _around(ranked, targets, whole) if whole else [], strict=False):
+            here = F.lit(True)
+            for d in dims:
+                here = here & (F.col(d) == r[d])
+            probability = F.when(here, F.lit(p)).otherwise(probability)
     return classed.withColumn("probability", probability).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
@@ -138,7 +196,9 @@ def classes(docs: DataFrame, targets: Targets, keep: list[str] | None = None) ->
     return with_layout_topic(rows).select("row", "doc_id", "tokens", *[category(F.col(d), targets[d]).alias(d) for d in ("source", "lang", "topic")])
 
 
-def mix_documents(docs: DataFrame, targets: Targets, budget: float | None = None, keep: list[str] | None = None, seed: str = "mix") -> DataFrame:
+def mix_documents(
+    docs: DataFrame, targets: Targets, budget: float | None = None, keep: list[str] | None = None, seed: str = "mix", rare: float = 0.0,
+) -> DataFrame:
     """`row`, tokens, source, lang, topic, probability and sampled of every document.
 
     Narrow rows (`keep`) are stored, so the texts are read once; whole documents
@@ -147,4 +207,4 @@ def mix_documents(docs: DataFrame, targets: Targets, budget: float | None = None
     classed = classes(docs, targets, keep)
     if keep:
         classed = stored(classed, "classed")
-    return mix(classed, classed.drop("row"), targets, budget, seed)
+    return mix(classed, classed.drop("row"), targets, budget, seed, rare)

@@ -17,7 +17,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from causalrisk import discard, owner, prepare, release
-from causalrisk.llm.catalog import MIX_TARGETS, SHARDS
+from causalrisk.llm.catalog import MIX_RARE, MIX_TARGETS, SHARDS
 from causalrisk.llm.common import read, stored
 from causalrisk.llm.decontaminate import decontaminate
 from causalrisk.llm.jaccard import PICKED, jaccard_components
@@ -73,8 +73,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that sources, languages and topics have their target weights."""
-    return mix_documents(docs, MIX_TARGETS).where("sampled").select("row.*")
+    """Documents are drawn so that sources, languages and topics have their target weights; cells of few tokens do not set the scale."""
+    return mix_documents(docs, MIX_TARGETS, rare=MIX_RARE).where("sampled").select("row.*")
 
 
 @_stage
