@@ -4,8 +4,10 @@ Every page scores its containers by the text that stands in them, links
 counted against it, and votes for their generalised paths (tags and classes,
 numbers blotted out). Spark sums the votes per host and path and takes the
 winner of each host. Each page is then read again by the winning path; a page
-that lacks it, or has next to nothing there, falls back on its own best
-container.
+that lacks it, or has next to nothing there, adds its own best container and
+those of the same path. What is chosen grows: the whole article or main element
+around it, else the blocks and containers beside it that are poor in links, up
+to the containers right under the body. Other containers there stay out.
 
 Votes are summed in the tasks first, so a hot host is only many partial sums;
 the winners, one row per host, join back without a hint, so adaptive execution
@@ -100,7 +102,8 @@ class Page:
         scores = self.scores()
         return max(range(len(scores)), key=lambda i: (scores[i], -i))
 
-    def text(self, chosen: set[int]) -> str:
+    def text(self, chosen: set[int], open_: frozenset[int] = frozenset()) -> str:
+        """The blocks under the chosen containers, and those right in the open ones that are poor in links."""
         inside: dict[int, bool] = {-1: False}
 
         def within(c: int) -> bool:
@@ -113,7 +116,32 @@ class Page:
                 inside[w] = known
             return known
 
-        return "\n".join(text for text, c, _ in self.blocks if within(c))
+        return "\n".join(text for text, c, linked in self.blocks if within(c) or c in open_ and 2 * linked <= len(text))
+
+    def grown(self, chosen: set[int]) -> tuple[set[int], frozenset[int]]:
+        """The chosen containers with what belongs to them (see the module), and the containers around them."""
+        tags = [p.rpartition(">")[2].split(".")[0] for p in self.paths]
+        size, linked = [0] * len(tags), [0] * len(tags)
+        for text, c, links in self.blocks:
+            size[c] += len(text)
+            linked[c] += links
+        for c in range(len(tags) - 1, 0, -1):  # parents come before their children
+            size[self.parents[c]] += size[c]
+            linked[self.parents[c]] += linked[c]
+        around: set[int] = set()
+        out = set(chosen)
+        for c in chosen:
+            c = self.parents[c]
+            while c >= 0 and c not in around:
+                around.add(c)
+                if tags[c] in ARTICLE_TAGS:
+                    out.add(c)
+                c = self.parents[c]
+        for c in range(len(tags)):
+            above = self.parents[c]
+            if above in around and tags[above] not in ("", "body") and c not in around and 2 * linked[c] <= size[c]:
+                out.add(c)
+        return out, frozenset(around)
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -253,14 +281,14 @@ def page_votes(source: str) -> dict[str, float]:
 
 
 def page_text(source: str, path: str | None) -> str:
-    """The blocks under the containers of the winning path, or under the page's own best."""
+    """The blocks under the containers of the winning path, under the page's own best where that holds too little, and what belongs to them."""
     page = read_page(source)
     scores = page.scores()
     best = page.best()
     chosen = {i for i, p in enumerate(page.paths) if path is not None and p == path}
     if not chosen or sum(scores[i] for i in chosen) < LEAST * scores[best]:
-        chosen = {best}
-    return page.text(chosen)
+        chosen |= {i for i, p in enumerate(page.paths) if p == page.paths[best]}
+    return page.text(*page.grown(chosen))
 
 
 def _vote_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

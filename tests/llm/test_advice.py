@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from causalrisk.llm.extract import page_text
 from causalrisk.llm.mixing import mix_documents
 from tests.llm.cases import prose
 
@@ -24,3 +25,18 @@ def test_a_cell_of_few_documents_does_not_scale_down_the_others(spark):
         assert sum(r.tokens * r.probability for r in out if r[d] == c) / total == pytest.approx(share, abs=0.002)
     plain = mix_documents(df, targets).collect()
     assert sum(r.tokens * r.probability for r in plain) < 0.1 * sum(r.tokens for r in plain)
+
+
+LONG = prose(1, 200)
+
+
+@pytest.mark.parametrize("source, path, text", [
+    (f"<body><article><h1>Title</h1><p>lead</p><div class=content><p>{LONG}</div></article>", None, f"Title\nlead\n{LONG}"),
+    (f"<body><article><h1>Title</h1><div class=content><p>{LONG}</div></article>", ">body>article>div.content", f"Title\n{LONG}"),
+    (f"<body><div><div><p>{LONG}</div><div><p>second part</div></div>", None, f"{LONG}\nsecond part"),
+    (f"<body><div><h1>T</h1><div class=content><p>{LONG}</div><div><a href=x>a list</a> <a href=y>of links</a></div></div>", None, f"T\n{LONG}"),
+    (f"<body><h1>T</h1><div class=content><p>{LONG}</div>", None, f"T\n{LONG}"),
+    (f"<body><div class=x><p>{LONG}</div><div class=y><p>short</div>", ">body>div.y", f"{LONG}\nshort"),
+])
+def test_text_beside_the_chosen_container_stays(source, path, text):
+    assert page_text(source, path) == text
