@@ -1,10 +1,16 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The automaton of all items is built once on the driver and sent to the tasks;
-its size is bounded by ITEM_WORDS, beyond which the call asks for the items in
-parts. Tasks stream the words of their texts through
-it and follow the longest match that ends at each word. A match of at least a
-window's length makes the window's words hit.
+The automaton of all items is built once on the driver and sent to the tasks.
+Tasks stream the words of their texts through it and follow the longest match
+that ends at each word. A match of at least a window's length makes the window's
+words hit.
+
+The size of an automaton is bounded by ITEM_WORDS. More items are dealt to
+several, an item above the bound to overlapping pieces of it; the texts run
+through one automaton after the other, so that a task holds one at a time. What
+each finds is kept by the text's hash, united, and joined back to the documents;
+cut texts run through all of them again until nothing is left. `longest` is then
+the longest match in one part.
 
 Defined results: a null or empty text has no words and no hits; an item without
 words has no windows; repeated documents are judged row by row; items with the
@@ -21,15 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causalrisk.llm.common import ascii_lower, bounded_batches
+from causalrisk.llm.common import bounded_batches, stored
 from causalrisk.llm.words import ALNUM, gram_hashes, text_chunks
 
 WINDOW = 10
 #: Words of test items in one automaton (a state has about 0.5 KB on the driver).
 ITEM_WORDS = 1_000_000
-#: Fixed value: what a word is, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
+_ITEMS_SPANS = "items array<bigint>, spans array<struct<first:bigint,last:bigint,longest:bigint>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("longest", pa.int64())]))
 LEAK = "struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<first:bigint,last:bigint,longest:bigint>>>"
 
 
@@ -194,11 +199,15 @@ def _cut(text: str, automaton: Automaton, window: int, max_words: int) -> str:
         spans = _removable(matches(word_numbers(words.hashes(), automaton.vocabulary), automaton, window)[0], max_words)
         if not spans:
             return text
-        data, kept, at = text.encode(), [], 0
-        for first, last, _ in spans:
-            kept.append(data[at : words.start[first]])
-            at = int(words.end[last])
-        text = b"".join([*kept, data[at:]]).decode()
+        text = _without(text, words, spans)
+
+
+def _without(text: str, words, spans: list[list[int]]) -> str:
+    data, kept, at = text.encode(), [], 0
+    for first, last, _ in spans:
+        kept.append(data[at : words.start[first]])
+        at = int(words.end[last])
+    return b"".join([*kept, data[at:]]).decode()
 
 
 def _scan(sent, window: int, cut_from: int | None, max_coverage: float):
@@ -219,9 +228,8 @@ def _scan(sent, window: int, cut_from: int | None, max_coverage: float):
                     if cut_from is not None:
                         removable = _removable(hit, cut_from) and n_hit[-1] <= max_coverage * len(own)
                         cut.append(_cut(texts[a + r].as_py(), automaton, window, cut_from) if removable else None)
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("longest", pa.int64())]))
             leak = pa.StructArray.from_arrays(
-                [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, kind)],
+                [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, _SPANS)],
                 names=["n_words", "n_hit", "items", "spans"],
             )
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
@@ -232,15 +240,143 @@ def _scan(sent, window: int, cut_from: int | None, max_coverage: float):
     return run
 
 
-def _automaton(items: DataFrame, window: int, item_words: int):
-    """Built on the driver from a table of checked size, and sent to all tasks."""
+def _parts(items: DataFrame, item_words: int, least: int) -> list[list[tuple[int, np.ndarray]]]:
+    """The items' words in parts of at most `item_words`; longer items are cut in pieces that share all but one of `least` words."""
     bounded_batches(items.sparkSession)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    size = items.agg(F.sum(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)))).first()[0] or 0
-    if size > item_words:
-        raise ValueError(f"{size} words of test items are more than {item_words}; give them in parts, one call for each")
-    table = items.toArrow()
-    return items.sparkSession.sparkContext.broadcast(build(_item_words(table["item_id"].to_pylist(), table["text"]), window))
+    if item_words < least:
+        raise ValueError(f"items cannot be scanned in parts of {item_words} words, as a match has up to {least}")
+    table = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").toArrow()
+    parts: list[list[tuple[int, np.ndarray]]] = [[]]
+    size, step = 0, item_words - least + 1
+    for item, words in _item_words(table["item_id"].to_pylist(), table["text"]):
+        for at in range(0, max(1, len(words) - least + 1), step):
+            piece = words[at : at + item_words]
+            if size + len(piece) > item_words:
+                parts.append([])
+                size = 0
+            parts[-1].append((item, piece))
+            size += len(piece)
+    return parts
+
+
+def _part_scan(sent, window: int):
+    """(text_key, items, spans) of the texts that one part's items hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton: Automaton = sent.value
+        for batch in batches:
+            keys = batch.column("text_key")
+            rows, items, spans = [], [], []
+            for a, b, words in text_chunks(batch.column("text"), ALNUM):
+                number = word_numbers(words.hashes(), automaton.vocabulary)
+                for r in range(b - a):
+                    hit, found = matches(number[words.first[r] : words.first[r + 1]], automaton, window)
+                    if hit:
+                        rows.append(a + r)
+                        items.append(sorted(found))
+                        spans.append([{"first": f, "last": t, "longest": k} for f, t, k in hit])
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(rows, pa.int64())), pa.array(items, pa.list_(pa.int64())), pa.array(spans, _SPANS)], names=["text_key", "items", "spans"],
+            )
+
+    return run
+
+
+def _part_hits(texts: DataFrame, parts: list, window: int) -> DataFrame:
+    """(text_key, items, spans) of the different texts (`text_key`, `text`) with a hit, all parts together."""
+    found = None
+    for part in parts:
+        sent = texts.sparkSession.sparkContext.broadcast(build(part, window))
+        hits = texts.select("text_key", "text").mapInArrow(_part_scan(sent, window), f"text_key string, {_ITEMS_SPANS}")
+        hits = stored(hits.groupBy("text_key").agg(F.first("items").alias("items"), F.first("spans").alias("spans")), "hits")
+        sent.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    both = [F.flatten(F.collect_list(c)).alias(c) for c in ("items", "spans")]
+    return stored(found.groupBy("text_key").agg(*both), "part_hits")
+
+
+def _united(spans: list[dict]) -> list[list[int]]:
+    """Spans of several parts, those that meet as one."""
+    out: list[list[int]] = []
+    for first, last, best in sorted((s["first"], s["last"], s["longest"]) for s in spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = [out[-1][0], max(last, out[-1][1]), max(best, out[-1][2])]
+        else:
+            out.append([first, last, best])
+    return out
+
+
+def _unite_scan(cut_from: int | None, max_coverage: float):
+    """`leak`, and the text after one cut, from the hits of all parts; the other columns but text, items and spans as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            leaks, cut = [], []
+            for a, b, words in text_chunks(texts, ALNUM):
+                for r in range(a, b):
+                    hit = _united(batch.column("spans")[r].as_py() or [])
+                    n_words, n_hit = int(words.first[r - a + 1] - words.first[r - a]), sum(last - first + 1 for first, last, _ in hit)
+                    leaks.append({
+                        "n_words": n_words, "n_hit": n_hit, "items": sorted(set(batch.column("items")[r].as_py() or [])),
+                        "spans": [{"first": f, "last": t, "longest": k} for f, t, k in hit],
+                    })
+                    removable = _removable(hit, cut_from) if cut_from is not None and n_hit <= max_coverage * n_words else []
+                    if removable:
+                        text = texts[r].as_py()
+                        (_, _, own), = text_chunks(pa.array([text]), ALNUM)
+                        cut.append(_without(text, own, removable))
+                    else:
+                        cut.append(None)
+            rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "items", "spans")]
+            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", _SPANS)])
+            more = [("cut_text", pa.array(cut, pa.string())), ("leak", pa.array(leaks, kind))]
+            yield pa.RecordBatch.from_arrays([c for _, c in [*rest, *more]], names=[n for n, _ in [*rest, *more]])
+
+    return run
+
+
+def _final_cuts(texts: DataFrame, hits: DataFrame, parts: list, window: int, max_words: int, max_coverage: float) -> DataFrame:
+    """(text_key, cut_text) of the texts with removable spans: cut until no part finds any."""
+    spark = texts.sparkSession
+    now, done = texts.join(hits, "text_key").dropDuplicates(["text_key"]).withColumn("whole", F.col("text_key")), None
+    while True:
+        cut = now.select("whole", "text", "items", "spans").mapInArrow(_unite_scan(max_words, max_coverage), f"whole string, cut_text string, leak {LEAK}")
+        cut = stored(cut.where("cut_text is not null").select("whole", F.col("cut_text").alias("text"), _text_key("cut_text")), "cuts")
+        # what is cut again replaces what it was before
+        again = cut.select("whole", "text")
+        done = again if done is None else stored(done.join(again, "whole", "left_anti").unionByName(again), "cut_texts")
+        if cut.isEmpty():
+            return done.select(F.col("whole").alias("text_key"), F.col("text").alias("cut_text"))
+        max_coverage = 1.0
+        now = cut.join(_part_hits(cut, parts, window), "text_key")
+
+
+def _text_key(name: str):
+    return F.sha2(F.coalesce(F.col(name), F.lit("")), 256).alias("text_key")
+
+
+def _scanned(docs: DataFrame, items: DataFrame, window: int, max_words: int | None, max_coverage: float, item_words: int) -> DataFrame:
+    """`row` (all columns but the text), `text`, `cut_text` (null where nothing is cut; both only with `max_words`) and `leak`."""
+    parts = _parts(items, item_words, max(window, max_words or 0))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    if len(parts) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(build(parts[0], window))
+        texts = "" if max_words is None else "text string, cut_text string, "
+        return rows.mapInArrow(_scan(sent, window, max_words, max_coverage), f"row {kind}, {texts}leak {LEAK}")
+    keyed = rows.select("row", "text", _text_key("text"))
+    hits = _part_hits(keyed, parts, window)
+    counted = keyed.join(hits, "text_key", "left")
+    if max_words is None:
+        counted = counted.select("row", "text", "items", "spans").mapInArrow(_unite_scan(None, 1.0), f"row {kind}, cut_text string, leak {LEAK}")
+        return counted.select("row", "leak")
+    counted = counted.select("row", "text_key", F.col("text").alias("own_text"), "text", "items", "spans").mapInArrow(
+        _unite_scan(None, 1.0), f"row {kind}, text_key string, own_text string, cut_text string, leak {LEAK}"
+    )
+    counted = counted.select("row", F.col("own_text").alias("text"), "text_key", "leak")
+    cuts = _final_cuts(keyed.select("text_key", "text"), hits, parts, window, max_words, max_coverage)
+    return counted.join(cuts, "text_key", "left").select("row", "text", "cut_text", "leak")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_words: int = ITEM_WORDS) -> DataFrame:
@@ -249,9 +385,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_wor
     leak: words of the text, hit words, ids of the items with a window in it, and
     the hit spans (first and last word, longest match that ends in the span).
     """
-    sent = _automaton(items, window, item_words)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text"))
-    return rows.mapInArrow(_scan(sent, window, None, 1.0), f"row {rows.schema['row'].dataType.simpleString()}, leak {LEAK}")
+    return _scanned(docs, items, window, None, 1.0, item_words)
 
 
 def decontaminate(
@@ -262,10 +396,7 @@ def decontaminate(
     A document of whose words more than `max_coverage` are hit goes as a whole.
     `n_chars`, where there is such a column, follows a cut text.
     """
-    sent = _automaton(items, window, item_words)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    found = rows.mapInArrow(_scan(sent, window, max_words, max_coverage), f"row {kind}, text string, cut_text string, leak {LEAK}")
+    found = _scanned(docs, items, window, max_words, max_coverage, item_words)
     kept = found.where(F.col("leak.n_hit") <= F.lit(max_coverage) * F.col("leak.n_words"))
     out = []
     for c in docs.columns:

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from causalrisk.llm.decontaminate import decontaminate, find_leaks
 from causalrisk.llm.extract import page_text
 from causalrisk.llm.mixing import mix_documents
 from tests.llm.cases import prose
@@ -40,3 +41,23 @@ LONG = prose(1, 200)
 ])
 def test_text_beside_the_chosen_container_stays(source, path, text):
     assert page_text(source, path) == text
+
+
+def test_more_items_than_one_automaton_holds_are_scanned_in_parts(spark):
+    draw = random.Random(5)
+    letters = ["a", "b", "c", "d", "é"]
+    items = [(i, " ".join(draw.choice(letters) for _ in range(draw.choice([2, 6, 10, 14, 30, 90])))) for i in range(9)]
+    texts = [" ".join(draw.choice([*letters, "zz"]) for _ in range(draw.randint(0, 40))) for _ in range(12)]
+    for _, t in items:
+        w = t.split()
+        texts += [f"{prose(len(texts), 40)} {' '.join([*w[:7], *w, *w[7:]])} {prose(len(texts) + 90, 40)}"] * 2
+    texts += [items[0][1], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+
+    def leaks(found):
+        return {r.row.doc_id: (r.leak.n_words, r.leak.n_hit, list(r.leak["items"]), [(s.first, s.last) for s in r.leak.spans]) for r in found.collect()}
+
+    assert leaks(find_leaks(docs, table, item_words=60)) == leaks(find_leaks(docs, table))
+    got = {r.doc_id: r.text for r in decontaminate(docs, table, item_words=60).collect()}
+    assert got == {r.doc_id: r.text for r in decontaminate(docs, table).collect()} and sum(got[i] != texts[i] for i in got) > 5
