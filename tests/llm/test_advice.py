@@ -8,6 +8,7 @@ import pytest
 
 from causalrisk.llm.decontaminate import decontaminate, find_leaks
 from causalrisk.llm.extract import page_text
+from causalrisk.llm import personal_data
 from causalrisk.llm.mixing import mix_documents
 from tests.llm.cases import prose
 
@@ -61,3 +62,20 @@ def test_more_items_than_one_automaton_holds_are_scanned_in_parts(spark):
     assert leaks(find_leaks(docs, table, item_words=60)) == leaks(find_leaks(docs, table))
     got = {r.doc_id: r.text for r in decontaminate(docs, table, item_words=60).collect()}
     assert got == {r.doc_id: r.text for r in decontaminate(docs, table).collect()} and sum(got[i] != texts[i] for i in got) > 5
+
+
+def test_bootstrap_takes_all_patterns_short_and_right_hand_ones_and_long_instances(spark, monkeypatch):
+    monkeypatch.setattr(personal_data, "PATTERNS", 1)
+    rows = [(i, f"{prose(i, 20)} odd{prose(i, 2)[:1]}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} tel: +44 20 7946 {1000 + i} {prose(i + 99, 20)}") for i in range(60)]
+    rows += [(100 + i, f"{prose(i + 300, 20)} user{i}@mail.example.org replies promptly {prose(i + 400, 20)}") for i in range(60)]
+    long = "id" + "0123456789" * 7
+    planted = {
+        200: ("tel: {} then", "020 7946 0958"), 201: ("words before tel: {} then", "(555) 123-4567"), 202: ("tel: {}, then", "AB-1234"),
+        203: ("some tel: {} then", long), 204: ("from {} replies promptly", "4471-99-10332x"), 205: ("the number {} alone", ""),
+    }
+    rows += [(i, t.format(v or "4471-99-10333x")) for i, (t, v) in planted.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.row.doc_id: r for r in personal_data.find_personal_data(df, ["doc_id"]).collect()}
+    texts = dict(rows)
+    got = {i: "".join(texts[i][s.start : s.end] for s in out[i].added) for i in planted}
+    assert got == {i: v for i, (_, v) in planted.items()} and not any(out[i].added for i in range(160) if i in out)
