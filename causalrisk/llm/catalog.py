@@ -9,13 +9,16 @@ from causalrisk.llm import sql
 from causalrisk.llm.common import read
 from causalrisk.llm.decontaminate import find_leaks
 from causalrisk.llm.extract import extract_pages
+from causalrisk.llm.hard_negatives import mine_negatives
 from causalrisk.llm.jaccard import jaccard_components
 from causalrisk.llm.licenses import TEMPLATES, find_licenses
 from causalrisk.llm.mixing import mix_documents
 from causalrisk.llm.personal_data import KINDS, find_personal_data
 from causalrisk.llm.quality import MEASURES, judge_documents
+from causalrisk.llm.repeats import remove_repeats
 from causalrisk.llm.secret_scan import KINDS as SECRET_KINDS, find_secrets
 from causalrisk.llm.shards import kd_shards
+from causalrisk.llm.turn_trie import trie_nodes, turn_steps, with_shared_starts
 from causalrisk.llm.url_reputation import judge_urls
 
 CATALOG = Catalog()
@@ -32,7 +35,7 @@ SHARDS = 24
 
 
 def llm_queries() -> dict[str, Query]:
-    """The queries of the ten operators, and the pipeline made of five of them."""
+    """The queries of the operators, and the pipeline made of five of them."""
     import corpus_pipeline
 
     return {**CATALOG, "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
@@ -123,3 +126,21 @@ def op9_consensus_extraction(spark, folder):
 def op10_proportional_mixing(spark, folder):
     mixed = mix_documents(read(spark, folder, "documents"), MIX_TARGETS, keep=["doc_id"])
     return mixed.select("row.doc_id", "tokens", "source", "lang", "topic", F.round("probability", 6).alias("probability"), "sampled")
+
+
+@CATALOG.add(sql.OP11)
+def op11_burst_trie(spark, folder):
+    steps, convs = with_shared_starts(turn_steps(read(spark, folder, "conversations")))
+    return trie_nodes(steps, convs)
+
+
+@CATALOG.add(sql.OP12)
+def op12_difference_cover_dedup(spark, folder):
+    found = remove_repeats(read(spark, folder, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "kept.n_words", "kept.n_removed", F.sha2("kept.text", 256).alias("kept_sha256"))
+
+
+@CATALOG.add(sql.OP13)
+def op13_residue_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(read(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)

@@ -167,3 +167,59 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score
 FROM doc LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
 """
+
+#: The unsigned CRC-32 of the decimal conversation id: eight shifts per character, the character comes in with the first one.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))))"""
+
+OP11 = f"""
+WITH own AS (
+    SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS t, strlen(coalesce(text, '')) AS bytes,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS g, {CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+step AS (
+    SELECT c, 0 AS part, i, t, bytes FROM conv JOIN own ON own.conv_id = g AND i <= h
+    UNION ALL SELECT c, 1, i, t, bytes FROM conv JOIN own ON own.conv_id = c AND i > h),
+path AS (
+    SELECT c, row_number() OVER w AS d, string_agg(t, '') OVER w AS node, bytes FROM step WINDOW w AS (PARTITION BY c ORDER BY part, i)
+    UNION ALL SELECT c, 0, '', 0 FROM conv),
+node AS (SELECT node, d, min(c) AS conv_id, count(*) AS n, max(bytes) AS bytes FROM path GROUP BY node, d),
+kids AS (SELECT left(node, 32 * (d - 1)) AS node, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (node)),
+tree AS (
+    SELECT left(node, 32 * k) AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n - 1) * bytes) AS saved
+    FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM full_node) GROUP BY ALL),
+ends AS (
+    SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+    FROM path JOIN (SELECT c, max(d) AS d FROM path GROUP BY c) USING (c, d) GROUP BY node)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(x.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_node x JOIN tree USING (node) LEFT JOIN node up ON x.d > 0 AND up.node = left(x.node, 32 * (x.d - 1)) LEFT JOIN ends ON ends.node = x.node
+"""
+
+OP12 = f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, {NOT_SPACE}) END AS w FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(w[i : i + 34], ' ')) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35)),
+twice AS (SELECT rid, i FROM win JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) USING (g)),
+hit AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM twice),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM doc),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN hit USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (rid)
+"""
+
+OP13 = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+score AS (
+    SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS s
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id IS DISTINCT FROM b.vec_id)),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s DESC, vec_id NULLS LAST) AS nth FROM score WHERE same) WHERE nth <= 5),
+neg AS (
+    SELECT pos.anchor_id, pos.vec_id AS positive_id, pos.s AS positive_score, n.vec_id AS negative_id, n.s AS negative_score,
+           row_number() OVER (PARTITION BY pos.r, nth ORDER BY n.s DESC, n.vec_id NULLS LAST) AS k
+    FROM pos JOIN score n ON n.r = pos.r AND NOT n.same AND 30 * pos.s <= 100 * n.s AND 100 * n.s <= 90 * pos.s)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE k <= 10
+"""

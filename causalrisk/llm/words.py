@@ -69,7 +69,7 @@ class Words:
     end: np.ndarray
     text: np.ndarray
     first: np.ndarray  # per text: index of its first word; one more entry closes the last text
-    bytes: np.ndarray  # lower-cased
+    bytes: np.ndarray  # lower-cased unless asked otherwise
     offsets: np.ndarray  # per text: its first byte; one more entry closes the last text
 
     def hashes(self) -> np.ndarray:
@@ -83,10 +83,10 @@ class Words:
         return mix(value + (self.end - self.start).astype(np.uint64))
 
 
-def words_of(buffer: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
+def words_of(buffer: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True) -> Words:
     """Words of the texts that `offsets` cuts out of a byte buffer."""
     begin, stop = int(offsets[0]), int(offsets[-1])
-    data = _LOWER[buffer[begin:stop]]
+    data = _LOWER[buffer[begin:stop]] if lower else buffer[begin:stop]
     offsets = offsets.astype(np.int64) - begin
     inside = np.zeros(len(data) + 1, dtype=bool)
     inside[:-1] = table[data]
@@ -104,7 +104,7 @@ def words_of(buffer: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Word
     return Words(start, end, text, first, data, offsets)
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray, table: np.ndarray) -> Iterator[tuple[int, int, Words]]:
+def text_chunks(column: pa.Array | pa.ChunkedArray, table: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of runs of rows of at most CHUNK_BYTES; null texts have no words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -123,7 +123,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, table: np.ndarray) -> Iterat
     while row < n:
         last = int(np.searchsorted(offsets, int(offsets[row]) + CHUNK_BYTES, side="right")) - 1
         last = min(n, max(last, row + 1))
-        yield row, last, words_of(buffer, offsets[row : last + 1], table)
+        yield row, last, words_of(buffer, offsets[row : last + 1], table, lower)
         row = last
 
 
@@ -137,3 +137,14 @@ def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
         total += mix(word_hashes[k : k + size] + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         total *= np.uint64(0xA0761D6478BD642F)
     return mix(total)
+
+
+def rolling_hashes(word_hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """As gram_hashes, but at the same cost for every n; different seeds give independent hashes."""
+    size = len(word_hashes) - n + 1
+    if size <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    value = mix(word_hashes + np.uint64(seed)) if seed else word_hashes
+    total = np.zeros(len(value) + 1, dtype=np.uint64)
+    np.cumsum(value * _powers(_BASE, len(value)), out=total[1:])
+    return mix((total[n:] - total[:-n]) * _powers(_UNBASE, size))
