@@ -11,6 +11,7 @@ from causalrisk.catalog.intake import parted
 from causalrisk.operators import evaluate as ev, explain as ex, models as md
 from causalrisk.operators.anomaly import IsolationForest, evaluate_anomalies
 from causalrisk.operators.casefile import find_row
+from causalrisk.operators.shapley import TreeShapley
 from causalrisk.operators.typology import choose_k, cluster_cases, describe_clusters
 from causalrisk.plans.train import build_features, calibrate_and_test, train_models
 from causalrisk.session import materialise
@@ -194,6 +195,22 @@ def reasons_add_up(spark, folder):
     return out
 
 
+@add(with_tables("SELECT 'trees' AS model, (SELECT count(*) FROM parted WHERE part = 'val') AS n_rows, CAST(0 AS BIGINT) AS off, 1 AS base_is_mean", "parted"))
+def shapley_reasons_add_up(spark, folder):
+    """Rows whose base value and exact Shapley values do not sum to the log-odds; the base is the training rows' mean margin."""
+    features = build_features(facts(spark, folder), SPEC, with_history=False)
+    inputs = [*features.numeric, *features.categorical]
+    train = features.part("train")
+    model = md.fit_boosted_trees(train, features.numeric, features.categorical, SPEC.target, maxIter=10, stepSize=0.1, maxDepth=4)
+    shapley = TreeShapley.fit(model, train)
+    explained = shapley.explain(md.score_rows(model, features.part("val"), "p", [SPEC.id, *inputs]), inputs)
+    total = F.aggregate("reasons", F.lit(shapley.base), lambda s, r: s + r["contribution"])
+    mean = md.score_rows(model, train, "p", [SPEC.id]).agg(F.avg(F.log(F.col("p") / (1 - F.col("p"))))).scalar()
+    return explained.agg(
+        F.lit("trees").alias("model"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(F.lit(1.0) / (1 + F.exp(-total)) - F.col("p")) > 1e-6).alias("off"),
+    ).withColumn("base_is_mean", (F.abs(mean - shapley.base) < 1e-6).cast("int"))
+
+
 @add(with_tables("""
     SELECT model, txn_id, feature, shown FROM (SELECT unnest(['baseline', 'trees']) AS model), (
         SELECT txn_id, 'k_obs' AS feature, coalesce(CAST(k_obs AS VARCHAR), 'not recorded') AS shown FROM parted WHERE part = 'val'

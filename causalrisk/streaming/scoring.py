@@ -15,6 +15,7 @@ from causalrisk.operators.encode import FrequencyEncoder
 from causalrisk.operators.explain import explain_baseline, explain_trees, top_reasons
 from causalrisk.operators.models import align_to_schema, decision, risk_band, score_rows, with_serving_defaults
 from causalrisk.operators.narrative import narrate
+from causalrisk.operators.shapley import TreeShapley
 from causalrisk.session import shared_folder
 from causalrisk.spec import DatasetSpec, EntityKey
 
@@ -36,6 +37,7 @@ class Scorer:
     calibrator: Calibrator | None = None
     term_names: list[str] = field(default_factory=list)
     term_means: list[float] = field(default_factory=list)
+    shapley: TreeShapley | None = None
 
     def _scored(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         spec = self.spec
@@ -67,12 +69,16 @@ class Scorer:
     def explain(self, rows: DataFrame, k: int = 6) -> DataFrame:
         """The score with its strongest reasons and the narrative; `term_names` are those of the model's inputs.
 
-        A logistic model also needs `term_means`, its `training_means`.
+        A logistic model also needs `term_means`, its `training_means`. Trees have
+        exact Shapley reasons where `shapley` is given, else path contributions.
         """
         spec = self.spec
         scored = self._scored(rows, [spec.id, spec.amount])
         if hasattr(self.model.stages[-1], "trees"):
-            explained, _ = explain_trees(self.model, scored, self.term_names)
+            if self.shapley is not None:
+                explained = self.shapley.explain(scored, self.term_names)
+            else:
+                explained, _ = explain_trees(self.model, scored, self.term_names)
         else:
             explained, _ = explain_baseline(self.model, scored, self.term_names, self.term_means)
         scored = explained
@@ -91,11 +97,14 @@ class Scorer:
             self.encoder.save(f"{path}/encoder")
         if self.calibrator is not None:
             self.calibrator.save(f"{path}/calibrator")
+        if self.shapley is not None:
+            self.shapley.save(f"{path}/shapley")
         settings = {
             "spec": asdict(self.spec), "schema": self.schema, "threshold": self.threshold, "levels": self.levels,
             "term_names": self.term_names, "term_means": [float(m) for m in self.term_means],
             "encoder": None if self.encoder is None else {"columns": self.encoder.columns, "unseen": self.encoder.unseen},
             "calibrator": None if self.calibrator is None else self.calibrator.method,
+            "shapley": self.shapley is not None,
         }
         spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
@@ -106,9 +115,10 @@ class Scorer:
         spec = DatasetSpec(entity_keys=keys, **{k: tuple(v) if isinstance(v, list) else v for k, v in s["spec"].items()})
         encoder = s["encoder"] and FrequencyEncoder.load(spark, f"{path}/encoder", s["encoder"]["columns"], s["encoder"]["unseen"])
         calibrator = s["calibrator"] and Calibrator.load(f"{path}/calibrator", s["calibrator"])
+        model = PipelineModel.load(f"{path}/model")
+        shapley = TreeShapley.load(spark, f"{path}/shapley", model) if s.get("shapley") else None
         return Scorer(
-            spec, s["schema"], PipelineModel.load(f"{path}/model"), s["threshold"], encoder, s["levels"], calibrator,
-            s["term_names"], s["term_means"],
+            spec, s["schema"], model, s["threshold"], encoder, s["levels"], calibrator, s["term_names"], s["term_means"], shapley,
         )
 
 
