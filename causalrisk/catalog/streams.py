@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from causalrisk.operators.explain import training_means
 from causalrisk.functions.rowwise import add_row_features
 from causalrisk.sources.tables import epoch_seconds, transactions
 from causalrisk.spec import EntityKey
-from causalrisk.streaming import Scorer, read_files, run_available, stream_history
+from causalrisk.session import shared_folder
+from causalrisk.streaming import Scorer, event_history, read_files, run_available, stream_history
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -37,6 +39,30 @@ def stream_entity_history(spark, folder):
     return rounded(rows.select("txn_id", *[c for c in rows.columns if c.startswith("client_")]))
 
 
+DELAY = 2 * 86_400
+
+
+@add(with_tables(f"""
+    SELECT h.*, false AS late FROM (SELECT txn_id, {_history_sql('client', 'client', 't, txn_id', 't', 'amount')} FROM txn) h JOIN txn USING (txn_id)
+    WHERE t < (SELECT max(t) FROM txn) - {DELAY} OR client IS NULL
+""", "txn"))
+def stream_event_history(spark, folder):
+    """History of transactions that arrive up to two days out of order, in four batches, for those that the watermark has passed."""
+    rows = transactions(spark, folder).select("txn_id", "t", "amount", "client")
+    arrival = F.col("t") + F.pmod(F.xxhash64("txn_id"), F.lit(DELAY))
+    rows = rows.withColumn("at", arrival)
+    span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    quarter = F.least(F.floor((F.col("at") - span.low) * 4 / (span.high - span.low + 1)), F.lit(3))
+    target = f"{shared_folder(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    for i in range(4):
+        rows.where(quarter == i).drop("at").coalesce(1).write.mode("append").parquet(target)
+    stream = event_history(
+        read_files(spark, target, rows.drop("at").schema, files_per_batch=1), EntityKey("client", ("client",)), "t", "amount", "txn_id", DELAY
+    )
+    out = run_available(stream, "event_history")
+    return rounded(out.select("txn_id", *[c for c in out.columns if c.startswith("client_")], "late"))
+
+
 def fitted_scorer(spark, folder) -> Scorer:
     spec = replace(SPEC, frequency_columns=("client",), entity_keys=())
     train = add_row_features(

@@ -8,6 +8,16 @@ numbers and the row counts of the seconds in the trailing horizon, so it does
 not grow with the entity's rows; with `ttl_ms` it goes when the entity has been
 silent for so long, and the entity starts anew. A task holds an entity's rows of
 one micro-batch to put them in order; `files_per_batch` of the source limits it.
+
+`event_history` follows event time instead. Rows wait in a buffer, in keyed
+state, until the watermark (the newest time seen before the batch, less
+`delay` seconds) has passed them; a timer then releases them in the order of
+time and id, so that rows which arrive in any order within the delay get the
+history that a batch gives them. A row older than the watermark comes too late:
+it goes to a side output, flagged and without history, and changes no state.
+Rows of the last `delay` seconds wait for later ones. With `ttl` an entity whose
+last released row is more than that many seconds older than the watermark is
+forgotten, at the next timer of the key, and starts anew.
 """
 
 from __future__ import annotations
@@ -33,6 +43,58 @@ STATE = T.StructType([
 ])
 
 
+State = tuple[int, int, float, float, int | None, list[int], list[int]]
+NEW: State = (0, 0, 0.0, 0.0, None, [], [])
+
+
+def history_step(state: State, pdf: pd.DataFrame, names: list[str], time: str, amount: str, horizon: int) -> tuple[pd.DataFrame, State]:
+    """Rows of one entity in time order with their history, and the state after them."""
+    n, known, mean, dev, last, seconds, counts = state
+    t = pdf[time].to_numpy(dtype=np.int64)
+    a = pdf[amount].to_numpy(dtype=float)
+    there = ~np.isnan(a)
+    prior = n + np.arange(len(t))
+    # Sums around the known mean, each without the current row.
+    centre = mean if known else (a[there][0] if there.any() else 0.0)
+    off = np.where(there, a - centre, 0.0)
+    seen = known + np.concatenate([[0], np.cumsum(there)])
+    sums = np.concatenate([[0.0], np.cumsum(off)])
+    squares = dev + np.concatenate([[0.0], np.cumsum(off * off)])
+    some = np.where(seen[:-1] > 0, seen[:-1], np.nan)
+    mean_prior = centre + sums[:-1] / some
+    std_prior = np.sqrt(np.maximum(squares[:-1] / some - (sums[:-1] / some) ** 2, 0.0))
+    newest = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if last is None else last], t]))[:-1]
+    late = t < newest
+    previous = np.where(newest == np.iinfo(np.int64).min, np.nan, newest)
+    before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    seconds = np.asarray(seconds, dtype=np.int64)
+
+    def rows_before(limit: np.ndarray) -> np.ndarray:
+        return before[np.searchsorted(seconds, limit, "left")] + np.searchsorted(t, limit, "left")
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(mean_prior != 0, a / mean_prior, np.nan)
+    gap = np.where(late, np.nan, t - previous)
+    recent = np.where(late, np.nan, rows_before(t) - rows_before(t - horizon))
+    values = [prior, mean_prior, std_prior, ratio, gap, recent]
+    out = pdf.assign(**dict(zip(names, values)))
+    for name in (names[0], names[4], names[5]):
+        out[name] = out[name].astype("Int64")
+
+    total = n + len(t)
+    shift = sums[-1] / seen[-1] if seen[-1] else 0.0
+    fresh, sizes = np.unique(t, return_counts=True)
+    merged = pd.Series(counts, index=seconds, dtype="int64").add(
+        pd.Series(sizes, index=fresh, dtype="int64"), fill_value=0
+    ).astype("int64").sort_index()
+    latest = max(int(t[-1]), last if last is not None else int(t[-1]))
+    merged = merged[merged.index >= latest - horizon]
+    return out, (
+        int(total), int(seen[-1]), float(centre + shift), float(max(squares[-1] - seen[-1] * shift * shift, 0.0)), latest,
+        merged.index.tolist(), merged.tolist(),
+    )
+
+
 class HistoryProcessor(StatefulProcessor):
     def __init__(self, key: EntityKey, time: str, amount: str, id: str, columns: list[str], horizon: int,
                  ttl_ms: int | None) -> None:
@@ -45,53 +107,9 @@ class HistoryProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values([self.time, self.id], kind="stable")
-        if self.state.exists():
-            n, known, mean, dev, last, seconds, counts = self.state.get()
-        else:
-            n, known, mean, dev, last, seconds, counts = 0, 0, 0.0, 0.0, None, [], []
-        t = pdf[self.time].to_numpy(dtype=np.int64)
-        a = pdf[self.amount].to_numpy(dtype=float)
-        there = ~np.isnan(a)
-        prior = n + np.arange(len(t))
-        # Sums around the known mean, each without the current row.
-        centre = mean if known else (a[there][0] if there.any() else 0.0)
-        off = np.where(there, a - centre, 0.0)
-        seen = known + np.concatenate([[0], np.cumsum(there)])
-        sums = np.concatenate([[0.0], np.cumsum(off)])
-        squares = dev + np.concatenate([[0.0], np.cumsum(off * off)])
-        some = np.where(seen[:-1] > 0, seen[:-1], np.nan)
-        mean_prior = centre + sums[:-1] / some
-        std_prior = np.sqrt(np.maximum(squares[:-1] / some - (sums[:-1] / some) ** 2, 0.0))
-        newest = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if last is None else last], t]))[:-1]
-        late = t < newest
-        previous = np.where(newest == np.iinfo(np.int64).min, np.nan, newest)
-        before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        seconds = np.asarray(seconds, dtype=np.int64)
-
-        def rows_before(limit: np.ndarray) -> np.ndarray:
-            return before[np.searchsorted(seconds, limit, "left")] + np.searchsorted(t, limit, "left")
-
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(mean_prior != 0, a / mean_prior, np.nan)
-        gap = np.where(late, np.nan, t - previous)
-        recent = np.where(late, np.nan, rows_before(t) - rows_before(t - self.horizon))
-        values = [prior, mean_prior, std_prior, ratio, gap, recent]
-        out = pdf.assign(**dict(zip(self.names, values)))
-        for name in (self.names[0], self.names[4], self.names[5]):
-            out[name] = out[name].astype("Int64")
-
-        total = n + len(t)
-        shift = sums[-1] / seen[-1] if seen[-1] else 0.0
-        fresh, sizes = np.unique(t, return_counts=True)
-        merged = pd.Series(counts, index=seconds, dtype="int64").add(
-            pd.Series(sizes, index=fresh, dtype="int64"), fill_value=0
-        ).astype("int64").sort_index()
-        latest = max(int(t[-1]), last if last is not None else int(t[-1]))
-        merged = merged[merged.index >= latest - self.horizon]
-        self.state.update((
-            int(total), int(seen[-1]), float(centre + shift), float(max(squares[-1] - seen[-1] * shift * shift, 0.0)), latest,
-            merged.index.tolist(), merged.tolist(),
-        ))
+        before = self.state.get() if self.state.exists() else NEW
+        out, after = history_step(before, pdf, self.names, self.time, self.amount, self.horizon)
+        self.state.update(after)
         yield out[[*self.columns, *self.names]]
 
     def close(self) -> None:
@@ -124,3 +142,111 @@ def stream_history(stream: DataFrame, key: EntityKey, time: str, amount: str, id
         )
     )
     return kept.unionByName(without)
+
+
+#: Seconds (158 years) by which event times are moved for the engine, so that it drops no row before the operator sees how late it is.
+SHIFT = 5 * 10**9
+LATE = "late"
+
+
+class EventTimeProcessor(StatefulProcessor):
+    def __init__(self, key: EntityKey, time: str, amount: str, id: str, buffer: T.StructType, horizon: int, ttl: int | None) -> None:
+        self.names = history_names(key)
+        self.time, self.amount, self.id = time, amount, id
+        self.buffer, self.horizon, self.ttl = buffer, horizon, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("history", STATE)
+        self.waiting = handle.getListState("waiting", self.buffer)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _ring(self, at: int) -> None:
+        """One timer a key: at the first waiting row, or when a silent entity is to be forgotten."""
+        if self.timer.exists():
+            (now,) = self.timer.get()
+            if now <= at:
+                return
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _columns(self, out: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return out.assign(**{LATE: late})[[*self.buffer.names, *self.names, LATE]]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            pdf = pdf[self.buffer.names]
+            late = pdf[self.time].to_numpy(dtype=np.int64) * 1000 < watermark
+            if late.any():
+                yield self._columns(pdf[late].assign(**{n: None for n in self.names}), True)
+            fresh = pdf[~late]
+            if len(fresh):
+                plain = fresh.astype(object).where(fresh.notna(), None)
+                self.waiting.appendList(list(plain.itertuples(index=False, name=None)))
+                self._ring(int(fresh[self.time].min()) * 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        pdf = pd.DataFrame([tuple(r) for r in self.waiting.get()] if self.waiting.exists() else [], columns=self.buffer.names)
+        ready = pdf[self.time].to_numpy(dtype=np.int64) * 1000 < watermark
+        state = self.state.get() if self.state.exists() else NEW
+        if ready.any():
+            rows = pdf[ready].sort_values([self.time, self.id], kind="stable")
+            cut = [0, len(rows)]
+            if self.ttl is not None:
+                t = rows[self.time].to_numpy(dtype=np.int64)
+                gap = np.diff(t, prepend=t[0] if state[4] is None else state[4])
+                cut = [0, *np.flatnonzero(gap > self.ttl).tolist(), len(rows)]
+            for a, b in zip(cut, cut[1:]):
+                if a or (b == 0):
+                    state = NEW
+                if b > a:
+                    out, state = history_step(state, rows.iloc[a:b], self.names, self.time, self.amount, self.horizon)
+                    yield self._columns(out, False)
+            rest = pdf[~ready]
+            if len(rest):
+                plain = rest.astype(object).where(rest.notna(), None)
+                self.waiting.put(list(plain.itertuples(index=False, name=None)))
+            else:
+                self.waiting.clear()
+            self.state.update(state)
+            pdf = rest
+        last = state[4]
+        if self.ttl is not None and last is not None and (last + self.ttl) * 1000 < watermark and not len(pdf):
+            self.state.clear()
+        elif len(pdf):
+            self._ring(int(pdf[self.time].min()) * 1000 + 1)
+        elif self.ttl is not None and last is not None:
+            self._ring((last + self.ttl) * 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def event_history(stream: DataFrame, key: EntityKey, time: str, amount: str, id: str, delay: int, horizon: int = DAY,
+                  ttl: int | None = None) -> DataFrame:
+    """Add the six history columns of one key by event time, and `late`; `time` and `delay` are in whole seconds.
+
+    Rows without key or time pass by with NULL history, as no others come before them.
+    """
+    spark = stream.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    kinds = [T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.LongType()]
+    added = [T.StructField(n, k) for n, k in zip(history_names(key), kinds)]
+    schema = T.StructType([*stream.schema.fields, *added, T.StructField(LATE, T.BooleanType())])
+    processor = EventTimeProcessor(key, time, amount, id, stream.schema, horizon, ttl)
+    absent = F.greatest(*[F.col(c).isNull() for c in (*key.columns, time)])
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in added]
+    without = stream.where(absent).select("*", *nothing, F.lit(False).alias(LATE))
+    timed = stream.where(~absent).withColumn("_event_time", F.timestamp_seconds(F.col(time) + SHIFT))
+    kept = (
+        timed.withWatermark("_event_time", f"{delay + SHIFT} seconds").groupBy(*key.columns)
+        .transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    )
+    return kept.unionByName(without)
