@@ -35,3 +35,6 @@ def documents() -> list[tuple]:
     rows = [(i, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     rows += [rows[6], rows[6], (None, base, None, None, None), (None, None, None, None, None), (17, "other text with the same id", "fr", "src0", 5)]
     return [(*r, "x", 7, "no", 1, "c", 3) for r in rows]
+
+
+ROWS_AWKWARD = documents()
