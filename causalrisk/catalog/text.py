@@ -10,6 +10,7 @@ from causalrisk.functions.fixed_values import BAND_ACTIONS, GLOSSARY, GROUNDED_V
 from causalrisk.functions.text import chunk_rows, plain_name, three_digits
 from causalrisk.operators import narrative as nr, retrieve as rt
 from causalrisk.operators.explain import top_reasons
+from causalrisk.operators.vector_index import VectorIndex
 from causalrisk.plans.investigate import build_cases, investigate
 from causalrisk.session import materialise
 from causalrisk.sources.corpus import title_of
@@ -156,17 +157,44 @@ def unit_vectors(spark, folder):
         "vec_id", F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"), F.col("u")[0].alias("first")))
 
 
-@add(f"""
+_NEAREST = f"""
     WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim FROM embeddings q, embeddings c),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(sim * 1e10 + 0.5) DESC, corpus_id) AS rank FROM s)
     SELECT query_id, corpus_id, {q4('sim')} AS similarity, rank FROM r WHERE rank <= 5
-""")
+"""
+
+
+@add(_NEAREST)
 def cosine_top_k(spark, folder):
     """The five nearest vectors of every vector."""
     rows = read_table(spark, folder, "embeddings")
     return rounded(rt.cosine_top_k(rows, rows, "vec_id", "vec_id", 5, "embedding", "embedding"))
 
 
+@add(_NEAREST)
+def indexed_top_k_of_all_cells(spark, folder):
+    """The five nearest vectors of every vector by the inverted file with all cells probed, which is exact."""
+    rows = read_table(spark, folder, "embeddings")
+    index = VectorIndex.fit(rows, "vec_id", "embedding")
+    return rounded(index.search(rows, "vec_id", "embedding", 5, index.cells))
+
+
+@add("SELECT count(*) AS n_queries, 10 * count(*) AS n_exact, 1 AS reached, 1 AS reads_less FROM embeddings WHERE vec_id % 100 = 0")
+def index_recall(spark, folder):
+    """Whether the fewest probes chosen on the asked queries find nine of ten neighbours of every hundredth vector, reading less than all rows."""
+    rows = read_table(spark, folder, "embeddings")
+    asked = rows.where(F.col("vec_id") % 100 == 0)
+    index = VectorIndex.fit(rows, "vec_id", "embedding")
+    probes = index.probes_for(rows, "vec_id", "embedding", asked, "vec_id", "embedding", 10)
+    exact = rt.cosine_top_k(asked, rows, "vec_id", "vec_id", 10, "embedding", "embedding")
+    recall = index.recall(exact, asked, "vec_id", "embedding", 10, probes)
+    read = index.rows_read(asked, "vec_id", "embedding", probes)
+    return rounded(read.crossJoin(rows.agg(F.count("*").alias("all"))).select(
+        F.col("queries").alias("n_queries"), exact.agg(F.count("*")).scalar().alias("n_exact"), F.lit(recall >= 0.9).cast("int").alias("reached"),
+        (F.col("mean_rows") < F.col("all")).cast("int").alias("reads_less"),
+    ))
+
+
 @add(f"""
     WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
     q AS (SELECT label::BIGINT AS label, list(x ORDER BY i) AS v FROM m GROUP BY label),
