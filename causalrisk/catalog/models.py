@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from causalrisk.catalog.common import Catalog, q4, r4, rounded, with_tables
 from causalrisk.catalog.intake import parted
-from causalrisk.operators import evaluate as ev, explain as ex, models as md
+from causalrisk.operators import boosting as bo, evaluate as ev, explain as ex, models as md
 from causalrisk.operators.anomaly import IsolationForest, evaluate_anomalies
 from causalrisk.operators.casefile import find_row
 from causalrisk.operators.shapley import TreeShapley
@@ -195,6 +195,20 @@ def reasons_add_up(spark, folder):
     return out
 
 
+@add(with_tables(f"""
+    WITH st AS (SELECT unnest([1, 2, 3, 4]) AS stage),
+    x AS (SELECT stage, label, CAST(floor(score * power(4, stage)) AS BIGINT) AS m FROM scored CROSS JOIN st),
+    g AS (SELECT stage, m, count(*) AS n, sum(label) AS pos FROM x GROUP BY ALL),
+    c AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, sum(pos) OVER (PARTITION BY stage) AS tp FROM g WINDOW w AS (PARTITION BY stage ORDER BY m DESC))
+    SELECT CAST(stage AS BIGINT) AS stage, {q4('sum(pos / tp * cp / cn)')} AS pr_auc FROM c GROUP BY stage
+""", "scored"))
+def precision_by_stage(spark, folder):
+    """Average precision of each stage of a score that gets finer from stage to stage, as early stopping reads it."""
+    stages = F.explode(F.array(*map(F.lit, range(1, 5)))).alias("stage")
+    staged = scored(spark, folder).select("label", "score", stages).withColumn("margin", F.floor(F.col("score") * F.pow(F.lit(4.0), "stage")))
+    return rounded(bo.precision_by_stage(staged, "label").select("stage", "pr_auc"))
+
+
 @add(with_tables("SELECT 'trees' AS model, (SELECT count(*) FROM parted WHERE part = 'val') AS n_rows, CAST(0 AS BIGINT) AS off, 1 AS base_is_mean", "parted"))
 def shapley_reasons_add_up(spark, folder):
     """Rows whose base value and exact Shapley values do not sum to the log-odds; the base is the training rows' mean margin."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from causalrisk.functions.fixed_values import LEAKAGE_HEALTHY, LEAKAGE_LIMIT, LEAKAGE_NOTHING, LEAKAGE_SUSPECT
 from causalrisk.functions.text import shown_value
-from causalrisk.session import shared_folder
+from causalrisk.operators.trees import compact_trees, tree_nodes
 
 REASON = "array<struct<feature:string,value:double,shown:string,contribution:double>>"
 
@@ -89,37 +88,6 @@ def explain_baseline(model: PipelineModel, scored: DataFrame, names: list[str],
     return scored.withColumn("reasons", linear_reasons(scored, "features", names, list(weights), means)), base
 
 
-def tree_nodes(model: PipelineModel, spark) -> pd.DataFrame:
-    """The nodes of a fitted boosted-trees model, read from its saved form."""
-    boosted = model.stages[-1]
-    path = f"{shared_folder(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
-    boosted.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("left"),
-        F.col("nodeData.split.numCategories").alias("categories"),
-    )
-    # A model has maxIter * 2^(maxDepth + 1) nodes at most, whatever the data size.
-    return nodes.orderBy("treeID", "id").toPandas()
-
-
-def _compact_trees(nodes: pd.DataFrame, weights: list[float]) -> list[dict[str, np.ndarray]]:
-    trees = []
-    for tree, part in nodes.groupby("treeID", sort=True):
-        part = part.set_index("id").sort_index()
-        trees.append({
-            # In log-odds the margin counts twice.
-            "value": part.prediction.to_numpy() * weights[tree] * 2.0,
-            "left": part.leftChild.to_numpy(),
-            "right": part.rightChild.to_numpy(),
-            "feature": part.feature.to_numpy(),
-            "number": np.array([v[0] if len(v) else np.nan for v in part.left]),
-            "sets": {i: np.asarray(v) for i, (v, c) in enumerate(zip(part.left, part.categories)) if c >= 0 and len(v)},
-        })
-    return trees
-
-
 def path_contributions(trees: list[dict[str, np.ndarray]], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Per row and feature the change of the node value along each tree's path, and the base."""
     out = np.zeros(x.shape)
@@ -151,7 +119,7 @@ def explain_trees(model: PipelineModel, scored: DataFrame, names: list[str]) ->
     """
     spark = scored.sparkSession
     boosted = model.stages[-1]
-    trees = _compact_trees(tree_nodes(model, spark), list(boosted.treeWeights))
+    trees = compact_trees(tree_nodes(model, spark), list(boosted.treeWeights))
     shared = spark.sparkContext.broadcast(trees)
     keep = [c for c in scored.columns if c != "features"]
     schema = T.StructType([

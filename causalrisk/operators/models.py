@@ -10,16 +10,17 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from causalrisk.operators.boosting import PATIENCE, cut_pipeline, stopping_stage
 from causalrisk.operators.ordered import exact_quantiles
+from causalrisk.operators.stages import TargetStatistics
+from causalrisk.operators.trees import compact_trees, tree_nodes
 from causalrisk.operators.unpivot import long_form
+from causalrisk.session import materialise
 
 # Model settings.
 RARE_SHARE = 0.01
 INFREQUENT = "__infrequent__"
 ABSENT_NUMBER = -999.0
-ABSENT_LEVEL = "__missing__"
-#: Levels of a column that trees see one by one; a column with more has its levels dealt to so many bins by hash.
-TREE_LEVELS = 1000
 BOOSTING = dict(
     maxIter=600, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8",
     minInstancesPerNode=5, seed=42,
@@ -97,25 +98,6 @@ def median_stage(medians: dict[str, float]) -> SQLTransformer:
     return SQLTransformer(statement="SELECT *, " + ", ".join(made) + " FROM __THIS__")
 
 
-def tree_levels_stage(train: DataFrame, columns: list[str]) -> tuple[SQLTransformer, int]:
-    """Every level as itself and missing as a level of its own, and the most levels of a column.
-
-    Columns of more than TREE_LEVELS levels are dealt to as many bins by hash.
-    """
-    counts = {
-        r["column"]: r["n"]
-        for r in long_form(train, columns, "string").where("value is not null").groupBy("column", "value").count()
-        .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    made, most = [], 2
-    for c in columns:
-        n = counts.get(c, 0)
-        level = f"CAST(`{c}` AS STRING)" if n <= TREE_LEVELS else f"CONCAT('bin ', PMOD(XXHASH64(CAST(`{c}` AS STRING)), {TREE_LEVELS}))"
-        made.append(f"CASE WHEN `{c}` IS NULL THEN {_quoted(ABSENT_LEVEL)} ELSE {level} END AS `{c}__level`")
-        most = max(most, min(n, TREE_LEVELS) + 2)
-    return SQLTransformer(statement="SELECT *, " + ", ".join(made) + " FROM __THIS__"), most
-
-
 def with_balanced_weight(train: DataFrame, target: str) -> tuple[DataFrame, int]:
     """Row weights that give both classes the same total and sum to the row count, and that count."""
     row = train.agg(F.sum(target).alias("p"), F.count(F.lit(1)).alias("n")).first()
@@ -165,34 +147,44 @@ def baseline_terms(model: PipelineModel, numeric: list[str], categorical: list[s
 
 def fit_boosted_trees(
     train: DataFrame, numeric: list[str], categorical: list[str], target: str, validation: DataFrame | None = None,
-    **overrides,
+    patience: int = PATIENCE, **overrides,
 ) -> PipelineModel:
-    """Boosted trees with class weights; stops early when a validation part is given.
+    """Boosted trees with class weights; with a validation part they stop early by its average precision.
 
     A missing number becomes a value below all others, so a split can set it
-    apart. All levels of the training rows are indexed, a missing one too, and
-    unseen ones share one index.
+    apart. A level of a text column becomes its smoothed positive rate, so trees
+    order any number of levels; training rows get the rates of other folds.
+
+    An ensemble of 2 * `patience` trees is fitted, and one twice as large as long
+    as the last `patience` trees still raised the best average precision; the
+    trees after the best prefix are cut off.
     """
     settings = {**BOOSTING, **overrides}
-    stages = [doubles_stage(numeric, ABSENT_NUMBER)]
-    inputs = [f"{c}__num" for c in numeric]
+    stages = [doubles_stage(numeric, ABSENT_NUMBER)] if numeric else []
+    inputs, rows = [f"{c}__num" for c in numeric], train
     if categorical:
-        levels, most = tree_levels_stage(train, categorical)
-        indexed = [f"{c}__index" for c in categorical]
-        stages += [levels, StringIndexer(
-            inputCols=[f"{c}__level" for c in categorical], outputCols=indexed, handleInvalid="keep")]
-        inputs += indexed
-        settings.setdefault("maxBins", max(32, most + 1))
+        rates = [f"{c}__rate" for c in categorical]
+        levels, rows = TargetStatistics(inputCols=categorical, outputCols=rates, labelCol=target).fit_out_of_fold(train)
+        stages.append(levels)
+        inputs += rates
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     weight = imbalance_weight(train, target)
-    rows = train.withColumn("_held_out", F.lit(False))
-    if validation is not None:
-        rows = rows.unionByName(validation.withColumn("_held_out", F.lit(True)))
-        settings.setdefault("validationTol", 1e-5)
-        settings["validationIndicatorCol"] = "_held_out"
     rows = rows.withColumn("_weight", F.when(F.col(target) == 1, F.lit(float(weight))).otherwise(1.0))
-    prepared = Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(train)
-    trees = GBTClassifier(labelCol=target, weightCol="_weight", **settings).fit(prepared.transform(rows))
-    return PipelineModel(stages=[*prepared.stages, trees])
+    rows = assembler.transform(stages[0].transform(rows) if numeric else rows)
+    rows = materialise(rows.select("features", target, "_weight"), "boosting")
+    prepared = PipelineModel(stages=[*stages, assembler])
+    most = settings.pop("maxIter")
+    if validation is None:
+        return PipelineModel(stages=[*prepared.stages, GBTClassifier(labelCol=target, weightCol="_weight", maxIter=most, **settings).fit(rows)])
+    held_out = materialise(prepared.transform(validation).select("features", target), "held-out")
+    size = min(most, 2 * patience)
+    while True:
+        model = PipelineModel(stages=[*prepared.stages, GBTClassifier(labelCol=target, weightCol="_weight", maxIter=size, **settings).fit(rows)])
+        trees = compact_trees(tree_nodes(model, train.sparkSession), list(model.stages[-1].treeWeights))
+        stage, known = stopping_stage(trees, held_out, target, patience)
+        if known or size >= most:
+            return cut_pipeline(model, stage)
+        size = min(most, 2 * size)
 
 
 def score_rows(model: PipelineModel, df: DataFrame, output: str = "probability", keep: list[str] | None = None) -> DataFrame:

@@ -30,7 +30,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from causalrisk.operators.explain import _compact_trees, _own_value, tree_nodes
+from causalrisk.operators.explain import _own_value
+from causalrisk.operators.trees import compact_trees, tree_nodes
 
 #: Features on a path up to which the contributions of all patterns of a leaf are held as a table.
 TABLE_FEATURES = 8
@@ -139,7 +140,7 @@ class TreeShapley:
     def __init__(self, model: PipelineModel, counts: DataFrame) -> None:
         self.spark = counts.sparkSession
         self.counts = counts
-        self.trees = _compact_trees(tree_nodes(model, self.spark), list(model.stages[-1].treeWeights))
+        self.trees = compact_trees(tree_nodes(model, self.spark), list(model.stages[-1].treeWeights))
         # As many rows as leaves times patterns of their few features, whatever the background's size.
         local = counts.toPandas()
         n = int(local[local.leaf == 0].n.sum()) if len(local) else 0
@@ -152,7 +153,7 @@ class TreeShapley:
     def fit(model: PipelineModel, background: DataFrame) -> TreeShapley:
         """Count the patterns of all rows of `background`, raw rows as the model was fitted on."""
         spark = background.sparkSession
-        trees = spark.sparkContext.broadcast(_compact_trees(tree_nodes(model, spark), list(model.stages[-1].treeWeights)))
+        trees = spark.sparkContext.broadcast(compact_trees(tree_nodes(model, spark), list(model.stages[-1].treeWeights)))
         vectors = model.transform(background).select(vector_to_array("features").alias("x"))
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
