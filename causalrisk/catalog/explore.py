@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from causalrisk.catalog.common import Catalog, q4, r4, rounded, with_tables
 from causalrisk.catalog.intake import parted
-from causalrisk.operators import drift, profile, stats
+from causalrisk.operators import drift, profile, sketches, stats
 from causalrisk.operators.ordered import exact_quantiles
+from causalrisk.session import materialise
+from causalrisk.sources.files import column_levels
 from causalrisk.sources.tables import lineitems, read_table, transactions
 
 CATALOG = Catalog()
@@ -36,6 +38,26 @@ def missingness_report(spark, folder):
     return rounded(profile.missingness_report(labelled_documents(spark, folder)))
 
 
+@add("""
+    SELECT 'user_id' AS "column", count(*) AS n_rows, count(*) - count(user_id) AS n_missing, 1 AS within, 1 AS near_by_any_cut FROM events
+    UNION ALL SELECT 'event_type', count(*), count(*) - count(event_type), 1, 1 FROM events
+    UNION ALL SELECT 'value', count(*), count(*) - count(value), 1, 1 FROM events
+""")
+def merged_distinct_sketches(spark, folder):
+    """Distinct values per column from stored sketches of each day: within the stated error of the exact count, and as near to each other however the rows are cut."""
+    events = read_table(spark, folder, "events")
+    columns = ["user_id", "event_type", "value"]
+    days = materialise(sketches.column_sketches(events, columns, F.to_date("ts")), "sketches")
+    whole = sketches.merged(sketches.column_sketches(events, columns, F.pmod(F.xxhash64("event_id"), F.lit(3)))).select("column", F.col("n_unique").alias("other_cut"))
+    exact = column_levels(events, columns).select("column", "levels")
+    out = sketches.merged(days).join(whole, "column").join(exact, "column")
+    return rounded(out.select(
+        "column", "n_rows", "n_missing", (F.abs(F.col("n_unique") - F.col("levels")) <= F.greatest(F.col("levels") * sketches.ERROR, F.lit(1.0))).cast("int").alias("within"),
+        (F.abs(F.col("n_unique") - F.col("other_cut")) <= F.greatest(F.col("levels") * sketches.ERROR, F.lit(1.0))).cast("int").alias("near_by_any_cut"),
+    ))
+
+
+
 @add(f"""
     WITH d AS (SELECT d.doc_id, lang, source, quality, toxic, CASE WHEN doc_id % 3 = 0 THEN lang END AS third,
                       CASE WHEN doc_id % 3 = 1 THEN lang END AS other FROM documents d LEFT JOIN labels USING (doc_id))

@@ -14,6 +14,7 @@ from causalrisk.operators import contracts, enrich as en, split as sp
 from causalrisk.operators.encode import FrequencyEncoder, fit_frequencies, select_recent
 from causalrisk.operators.entity import entity_history
 from causalrisk.session import shared_folder
+from causalrisk.sources.bucketed import exchanges, write_bucketed
 from causalrisk.sources.files import low_cardinality_columns, read_csv
 from causalrisk.sources.sinks import write_fact, write_section
 from causalrisk.sources.tables import lineitems, read_table, transactions
@@ -336,6 +337,22 @@ def entity_history_events(spark, folder):
     return rounded(made.select("txn_id", *names))
 
 
+@add(with_tables(f"""
+    SELECT txn_id, {_history_sql('client', 'client', 't, txn_id', 't', 'amount')},
+           {_history_sql('pair', 'client, channel', 't, txn_id', 't', 'amount')}, CAST(0 AS BIGINT) AS exchanges
+    FROM txn
+""", "txn"))
+def entity_history_of_buckets(spark, folder):
+    """Entity history over the transactions laid out by client, and how many exchanges its plan has."""
+    path = f"{shared_folder(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}"
+    facts = transactions(spark, folder).select("txn_id", "t", "amount", "client", "channel")
+    facts = write_bucketed(facts, f"facts_{uuid.uuid4().hex}", path, "client", ("t", "txn_id"), buckets=8)
+    made = entity_history(facts, EVENT_STREAM.entity_keys, "t", "amount", ("txn_id",))
+    names = [c for c in made.columns if c.startswith(("client_", "pair_"))]
+    return rounded(made.select("txn_id", *names).withColumn("exchanges", F.lit(exchanges(made)).cast("long")))
+
+
+
 @add(with_tables(f"""
     SELECT txn_id, {_history_sql('client', 'client', 't, txn_id', 't', 'amount')} FROM txn
 """, "txn"))

@@ -103,15 +103,15 @@ def _named(key: EntityKey, count: Column, mean: Column, std: Column, amount: Col
 
 
 def _share_one_exchange(df, keys, parts, order, time, amount, horizon) -> DataFrame:
-    here = df.withColumn("_real", F.lit(True))
     used = {*parts.values(), *[c for k in keys for c in k.columns]}
-    gone = df.select(
-        *[F.col(c) if c in used else (F.col(time) + horizon).cast(df.schema[c].dataType).alias(c) if c == time
-          else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns],
-        F.lit(False).alias("_real"),
+    real = F.col("_real")
+    # Both kinds of rows come from one read, so a layout by key is kept.
+    both = df.withColumn("_real", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+        *[F.col(c) if c in used else (F.col(time) + F.when(real, 0).otherwise(horizon)).cast(df.schema[c].dataType).alias(c) if c == time
+          else F.when(real, F.col(c)).alias(c) for c in df.columns],
+        "_real",
     )
     columns: dict[str, Column] = {}
-    real = F.col("_real")
     for key in keys:
         by = [parts[c] for c in key.columns]
         rows = Window.partitionBy(*by).orderBy(*order, real)
@@ -126,7 +126,7 @@ def _share_one_exchange(df, keys, parts, order, time, amount, horizon) -> DataFr
             gap=F.col(time) - F.last(F.when(real, F.col(time)), ignorenulls=True).over(before),
             recent=F.coalesce(F.sum(F.when(real, 1).otherwise(-1)).over(seconds_before), F.lit(0)),
         )
-    return here.unionByName(gone).withColumns(columns).where(real).drop("_real")
+    return both.withColumns(columns).where(real).drop("_real")
 
 
 def _history_of_one_key(df, key, parts, order, time, amount, horizon, rows_per_task) -> DataFrame:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from causalrisk.operators.models import doubles_stage, exact_medians, median_stage
 from causalrisk.operators.unpivot import long_form
 from causalrisk.session import materialise
 
+#: Rows of the plain silhouette's sample, and rows of a block of its distances.
+SILHOUETTE_ROWS, BLOCK = 4000, 250
+
 
 def fit_scaling(rows: DataFrame, columns: list[str]) -> PipelineModel:
     """Median fill and scaling, so no feature dominates the distance."""
@@ -69,16 +77,58 @@ def describe_clusters(rows: DataFrame, cluster: str, columns: list[str], amount:
     )
 
 
+def euclidean_silhouette(rows: DataFrame, features: str = "features", cluster: str = "prediction", sample: int = SILHOUETTE_ROWS, seed: int = 42) -> float | None:
+    """Mean silhouette by plain Euclidean distance over at most `sample` rows, all pairs of them.
+
+    The sample (rows of least hash, at most 4,000 by default) is what every task
+    gets; tasks take blocks of it, so no task holds the whole matrix of distances.
+    A row alone in its cluster counts 0, as does a row with all distances 0; fewer
+    than two clusters have no silhouette.
+    """
+    spark = rows.sparkSession
+    x = vector_to_array(F.col(features))
+    kept = rows.select(x.alias("x"), F.col(cluster).alias("c")).orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(sample)
+    kept = materialise(kept.withColumn("block", F.floor(F.rand(seed) * -(-sample // BLOCK)).cast("int")), "silhouette")
+    local = kept.select("x", "c").toPandas()
+    if local.c.nunique() < 2:
+        return None
+    points = spark.sparkContext.broadcast((np.stack(local.x.to_numpy()), local.c.to_numpy()))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        others, named = points.value
+        names, place = np.unique(named, return_inverse=True)
+        size = np.bincount(place)
+        members = np.zeros((len(named), len(names)))
+        members[np.arange(len(named)), place] = 1.0
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                near = np.stack(part.x.to_numpy())
+                apart = np.sqrt(np.maximum(((near[:, None, :] - others[None, :, :]) ** 2).sum(axis=2), 0.0))
+                own = np.searchsorted(names, part.c.to_numpy())
+                sums, here = apart @ members, np.arange(len(part))
+                inside = sums[here, own] / np.maximum(size[own] - 1, 1)
+                means = sums / size
+                means[here, own] = np.inf
+                outside = means.min(axis=1)
+                top = np.maximum(inside, outside)
+                value = np.where((size[own] > 1) & (top > 0), (outside - inside) / np.where(top > 0, top, 1.0), 0.0)
+                yield pd.DataFrame({"value": value})
+
+    return kept.repartition("block").select("x", "c").mapInPandas(score, "value double").agg(F.avg("value")).first()[0]
+
+
 def choose_k(positives: DataFrame, columns: list[str], ks: range = range(2, 9), seed: int = 42, restarts: int = 10) -> DataFrame:
-    """(k, silhouette, inertia) over all rows.
+    """(k, silhouette, silhouette_euclidean, inertia).
 
-    Spark's silhouette uses squared Euclidean distance and takes linear time,
-    so no sample is drawn.
+    `silhouette` is Spark's, by squared Euclidean distance over all rows in linear
+    time; `silhouette_euclidean` is by plain distance over a sample.
     """
     scaled = materialise(fit_scaling(positives, columns).transform(positives).select("features"), "scaled")
     rows = []
     for k in ks:
         model = best_kmeans(scaled, k, seed, restarts)
-        found = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(model.transform(scaled))
-        rows.append((k, float(found), float(model.summary.trainingCost)))
-    return positives.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
+        placed = model.transform(scaled)
+        found = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(placed)
+        rows.append((k, float(found), euclidean_silhouette(placed, seed=seed), float(model.summary.trainingCost)))
+    return positives.sparkSession.createDataFrame(rows, "k int, silhouette double, silhouette_euclidean double, inertia double")
