@@ -14,8 +14,11 @@ the longest match in one part.
 
 Defined results: a null or empty text has no words and no hits; an item without
 words has no windows; repeated documents are judged row by row; items with the
-same id count as one; an empty benchmark hits nothing; columns of the input
-with any name are kept as they are.
+same id count as one; ids of any type are carried as text; the windows of an item
+without id hit words, but it is not listed; an empty benchmark hits nothing, an
+empty table of documents gives no rows; a very long text runs through the
+automaton word by word, at the cost of its length; columns of the input with any
+name are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ from causalrisk.llm.words import ALNUM, gram_hashes, text_chunks
 WINDOW = 10
 #: Words of test items in one automaton (a state has about 0.5 KB on the driver).
 ITEM_WORDS = 1_000_000
-_ITEMS_SPANS = "items array<bigint>, spans array<struct<first:bigint,last:bigint,longest:bigint>>"
+_ITEMS_SPANS = "items array<string>, spans array<struct<first:bigint,last:bigint,longest:bigint>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("longest", pa.int64())]))
-LEAK = "struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<first:bigint,last:bigint,longest:bigint>>>"
+LEAK = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<first:bigint,last:bigint,longest:bigint>>>"
 
 
 @dataclass
@@ -51,10 +54,17 @@ class Automaton:
     vocabulary: np.ndarray  # sorted word hashes; a word's place is its number
     pairs: np.ndarray  # sorted numbers of neighbouring words, first * len(vocabulary) + second
     least: int  # words of the shortest window
+    names: list[str | None]  # per item number: its id
 
+    def listed(self, found: set[int]) -> list[str]:
+        """Ids of items, in order; an item without id is not listed."""
+        return sorted(self.names[i] for i in found if self.names[i] is not None)
 
-def build(items: list[tuple[int, np.ndarray]], window: int = WINDOW) -> Automaton:
-    """items: (item id, hashes of its words)."""
+
+def build(items: list[tuple[str | None, np.ndarray]], window: int = WINDOW) -> Automaton:
+    """items: (item id, hashes of its words); items are numbers inside, equal ids the same one."""
+    numbers: dict[str | None, int] = {}
+    items = [(numbers.setdefault(i, len(numbers)), h) for i, h in items]
     known = [h for _, h in items if len(h)]
     vocabulary = np.unique(np.concatenate(known)) if known else np.zeros(0, dtype=np.uint64)
     moves: list[dict[int, int]] = [{}]
@@ -119,7 +129,7 @@ def build(items: list[tuple[int, np.ndarray]], window: int = WINDOW) -> Automato
     width = max(1, len(vocabulary))
     pairs = np.unique(np.concatenate([w[:-1] * width + w[1:] for _, w in numbered])) if numbered else np.zeros(0, dtype=np.int64)
     least = min([min(len(w), window) for _, w in numbered], default=window)
-    return Automaton(moves, link, longest, {s: sorted(i) for s, i in window_items.items()}, window_state, short_items, vocabulary, pairs, least)
+    return Automaton(moves, link, longest, {s: sorted(i) for s, i in window_items.items()}, window_state, short_items, vocabulary, pairs, least, list(numbers))
 
 
 def _runs(words: np.ndarray, automaton: Automaton) -> list[tuple[int, int]]:
@@ -180,7 +190,7 @@ def word_numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at, -1).astype(np.int64)
 
 
-def _item_words(ids: list, texts: pa.Array) -> list[tuple[int, np.ndarray]]:
+def _item_words(ids: list, texts: pa.Array) -> list[tuple[str | None, np.ndarray]]:
     out = []
     for a, b, words in text_chunks(texts, ALNUM):
         h = words.hashes()
@@ -223,13 +233,13 @@ def _scan(sent, window: int, cut_from: int | None, max_coverage: float):
                     hit, found = matches(own, automaton, window) if len(own) else ([], set())
                     n_words.append(len(own))
                     n_hit.append(sum(last - first + 1 for first, last, _ in hit))
-                    items.append(sorted(found))
+                    items.append(automaton.listed(found))
                     spans.append([{"first": f, "last": t, "longest": k} for f, t, k in hit])
                     if cut_from is not None:
                         removable = _removable(hit, cut_from) and n_hit[-1] <= max_coverage * len(own)
                         cut.append(_cut(texts[a + r].as_py(), automaton, window, cut_from) if removable else None)
             leak = pa.StructArray.from_arrays(
-                [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, _SPANS)],
+                [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)],
                 names=["n_words", "n_hit", "items", "spans"],
             )
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
@@ -240,13 +250,13 @@ def _scan(sent, window: int, cut_from: int | None, max_coverage: float):
     return run
 
 
-def _parts(items: DataFrame, item_words: int, least: int) -> list[list[tuple[int, np.ndarray]]]:
+def _parts(items: DataFrame, item_words: int, least: int) -> list[list[tuple[str | None, np.ndarray]]]:
     """The items' words in parts of at most `item_words`; longer items are cut in pieces that share all but one of `least` words."""
     bounded_batches(items.sparkSession)
     if item_words < least:
         raise ValueError(f"items cannot be scanned in parts of {item_words} words, as a match has up to {least}")
-    table = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").toArrow()
-    parts: list[list[tuple[int, np.ndarray]]] = [[]]
+    table = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toArrow()
+    parts: list[list[tuple[str | None, np.ndarray]]] = [[]]
     size, step = 0, item_words - least + 1
     for item, words in _item_words(table["item_id"].to_pylist(), table["text"]):
         for at in range(0, max(1, len(words) - least + 1), step):
@@ -273,10 +283,10 @@ def _part_scan(sent, window: int):
                     hit, found = matches(number[words.first[r] : words.first[r + 1]], automaton, window)
                     if hit:
                         rows.append(a + r)
-                        items.append(sorted(found))
+                        items.append(automaton.listed(found))
                         spans.append([{"first": f, "last": t, "longest": k} for f, t, k in hit])
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(rows, pa.int64())), pa.array(items, pa.list_(pa.int64())), pa.array(spans, _SPANS)], names=["text_key", "items", "spans"],
+                [keys.take(pa.array(rows, pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], names=["text_key", "items", "spans"],
             )
 
     return run
@@ -329,7 +339,7 @@ def _unite_scan(cut_from: int | None, max_coverage: float):
                     else:
                         cut.append(None)
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "items", "spans")]
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", _SPANS)])
+            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS)])
             more = [("cut_text", pa.array(cut, pa.string())), ("leak", pa.array(leaks, kind))]
             yield pa.RecordBatch.from_arrays([c for _, c in [*rest, *more]], names=[n for n, _ in [*rest, *more]])
 

@@ -55,7 +55,7 @@ place AS (
     FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
 found AS (SELECT rid, i, win.m AS m, item_id FROM place JOIN win ON place.m = win.m AND place.g = win.g),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM found) GROUP BY rid),
-named AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+named AS (SELECT rid, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
@@ -145,20 +145,21 @@ FROM doc LEFT JOIN chance USING (source, lang, topic)
 
 
 def op5(templates) -> str:
-    listed = ", ".join(f"({i}, '{t.label}', {t.base}, '{t.text}')" for i, t in enumerate(templates))
+    listed = ", ".join(f"({i}, '{t.label}', {t.base}, '{t.text}', '{t.need}')" for i, t in enumerate(templates))
     return f"""
-WITH template AS (SELECT id, label, base, string_split(wording, ' ') AS w FROM (VALUES {listed}) AS t(id, label, base, wording)),
-part AS (SELECT id, label, base, len(w) - 1 AS places, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM template)),
+WITH template AS (SELECT id, label, base, string_split(wording, ' ') AS w, need FROM (VALUES {listed}) AS t(id, label, base, wording, need)),
+part AS (SELECT id, label, base, len(w) - 1 AS places, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g, need IN ('', w[i] || ' ' || w[i + 1]) AS decides
+         FROM (SELECT *, unnest(range(1, len(w))) AS i FROM template)),
 doc AS (
     SELECT row_number() OVER () AS rid, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({LOWERED}, {ALNUM}) END AS w FROM documents),
 pair AS (SELECT rid, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM doc)),
-vote AS (SELECT DISTINCT rid, id, label, base, places, place, pos - place AS diagonal FROM pair JOIN part USING (g)),
+vote AS (SELECT DISTINCT rid, id, label, base, places, place, decides, pos - place AS diagonal FROM pair JOIN part USING (g)),
 diag AS (SELECT rid, id, label, base, places, diagonal, count(*) AS seen, min(place) AS low, max(place) AS high FROM vote GROUP BY ALL),
 cut AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS apart FROM diag),
 grp AS (SELECT *, sum(apart) OVER (PARTITION BY rid, id ORDER BY diagonal) AS span FROM cut),
 reach AS (SELECT rid, id, span, min(diagonal + low) AS a, max(diagonal + high) + 1 AS z FROM grp GROUP BY ALL),
-cov AS (SELECT rid, id, label, places, span, count(DISTINCT place) AS covered FROM vote JOIN grp USING (rid, id, label, base, places, diagonal) WHERE NOT base GROUP BY ALL),
-more AS (SELECT rid, label, covered / places AS cover FROM cov JOIN reach USING (rid, id, span) WHERE covered >= places * 0.6::DOUBLE AND z - a < (places + 1) * 1.5::DOUBLE),
+cov AS (SELECT rid, id, label, places, span, count(DISTINCT place) AS covered, max(CASE WHEN decides THEN 1 ELSE 0 END) AS has FROM vote JOIN grp USING (rid, id, label, base, places, diagonal) WHERE NOT base GROUP BY ALL),
+more AS (SELECT rid, label, covered / places AS cover FROM cov JOIN reach USING (rid, id, span) WHERE has = 1 AND covered >= places * 0.6::DOUBLE AND z - a < (places + 1) * 1.5::DOUBLE),
 exact AS (SELECT rid, label, diagonal FROM diag WHERE base AND seen = places),
 b AS (SELECT rid, count(*) AS n_base, min(diagonal) AS f, max(diagonal) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM exact GROUP BY rid),
 a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score

@@ -9,6 +9,7 @@ import pytest
 from causalrisk.llm.decontaminate import decontaminate, find_leaks
 from causalrisk.llm.extract import page_text
 from causalrisk.llm import personal_data
+from causalrisk.llm.licenses import find_licenses
 from causalrisk.llm.mixing import mix_documents
 from tests.llm.cases import prose
 
@@ -79,3 +80,15 @@ def test_bootstrap_takes_all_patterns_short_and_right_hand_ones_and_long_instanc
     texts = dict(rows)
     got = {i: "".join(texts[i][s.start : s.end] for s in out[i].added) for i in planted}
     assert got == {i: v for i, (_, v) in planted.items()} and not any(out[i].added for i in range(160) if i in out)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("This work is licensed under the GNU General Public License version 3.", "gpl"),
+    ("licensed under the GNU Lesser General Public License", "gpl,lgpl"),
+    ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"), ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"), ("licensed under CC BY 4.0", "cc-by"),
+    ("licensed under the MIT license", "mit"), ("Mozilla Public License 2.0", "mpl"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl"), ("a general public notice on licenses", ""),
+])
+def test_labels_are_those_that_the_text_carries(spark, text, labels):
+    df = spark.createDataFrame([(1, f"{prose(3, 30)} {text} {prose(4, 30)}")], "doc_id long, text string")
+    assert find_licenses(df).first().labels == labels

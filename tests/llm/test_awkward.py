@@ -51,8 +51,9 @@ def leaks(text, items: dict[int, str]):
             for i in range(len(own) - len(w) + 1):
                 if tuple(own[i : i + len(w)]) == w:
                     hit |= set(range(i, i + len(w)))
-                    found.add(item)
-    return len(own), len(hit), sorted(found)
+                    if item is not None:
+                        found.add(item)
+    return len(own), len(hit), sorted(map(str, found))
 
 
 def test_leaks_equal_a_plain_search(spark):
@@ -61,7 +62,8 @@ def test_leaks_equal_a_plain_search(spark):
     items = {i: " ".join(draw.choice(vocabulary) for _ in range(draw.choice([1, 3, 6, 10, 12, 30]))) for i in range(2, 9)}
     texts = [" ".join(draw.choice([*vocabulary, "zz"]) for _ in range(draw.randint(0, 200))) for _ in range(40)]
     texts += [f"start {items[3].upper()}, {items[4]} end", "", None]
-    table = spark.createDataFrame([*items.items(), (2, items[2]), (90, None), (91, ""), (None, "a b")], "item_id long, text string")
+    items |= {None: "a zz b", 90: None, 91: ""}
+    table = spark.createDataFrame([*items.items(), (2, items[2])], "item_id long, text string")
     got = find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()
     assert {r.row.doc_id: (r.leak.n_words, r.leak.n_hit, list(r.leak["items"])) for r in got} == {i: leaks(t, items) for i, t in enumerate(texts)}
     for r in got:
@@ -79,6 +81,9 @@ def test_decontaminate_cuts_until_nothing_is_left(spark, docs):
     assert set(out) == {1, 2, 4} and out[4].text == rows[3][1] and out[1].text.startswith("Before it. ! After it") and out[1].leak == "k"
     assert all(leaks(r.text, {1: passage})[1] == 0 and r.n_chars == len(r.text) for r in out.values())
     assert by_row(decontaminate(docs, items).collect(), *docs.columns) == Counter(ROWS)
+    names = spark.createDataFrame([("a-1", passage), ("1.7", passage + " more"), (None, prose(13, 12))], "item_id string, text string")
+    got = {r.row.doc_id: list(r.leak["items"]) for r in find_leaks(df, names).collect()}
+    assert got[3] == ["1.7", "a-1"] and got[4] == [] and {r.row.doc_id: r.leak.n_hit for r in find_leaks(df, names).collect()}[4] == 12
     with pytest.raises(ValueError, match="in parts"):
         find_leaks(df, items, item_words=5)
 
