@@ -10,6 +10,7 @@ from causalrisk.functions.fixed_values import BAND_ACTIONS, GLOSSARY, GROUNDED_V
 from causalrisk.functions.text import chunk_rows, plain_name, three_digits
 from causalrisk.operators import narrative as nr, retrieve as rt
 from causalrisk.operators.explain import top_reasons
+from causalrisk.operators.latent import LatentVectors
 from causalrisk.operators.vector_index import VectorIndex
 from causalrisk.plans.investigate import build_cases, investigate
 from causalrisk.session import materialise
@@ -235,6 +236,28 @@ def passage_retrieval(spark, folder):
     return retrieved(spark, folder).select("item_id", "rank", "source", "chunk", "similarity")
 
 
+@add()
+def retrieval_hit_rates(spark, folder):
+    """Per kind of vector: benchmark texts, and those with a passage among the four nearest that holds their first eight words."""
+    passages = materialise(_passages(spark, folder), "passages")
+    questions = read_table(spark, folder, "benchmark").select("item_id", F.col("text").alias("question"))
+    lexical, latent = rt.fit_text_vectors(passages, "text"), LatentVectors.fit(passages, "text")
+    made = {
+        "lexical": (rt.text_vectors(lexical, questions, "question"), rt.text_vectors(lexical, passages, "text")),
+        "latent": (latent.transform(questions, "question"), latent.transform(passages, "text")),
+    }
+    plain = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)), " ")
+    out = None
+    for kind, (asked, known) in made.items():
+        hits = rt.cosine_top_k(asked, known, "item_id", "passage_id", 4)
+        hits = hits.join(passages, F.col("corpus_id") == F.col("passage_id")).join(questions, F.col("query_id") == F.col("item_id"))
+        start = F.array_join(F.slice(F.split(plain(F.col("question")), " "), 1, 8), " ")
+        found = hits.where(F.contains(plain(F.col("text")), start)).select("item_id").distinct()
+        row = questions.agg(F.count("*").alias("n_items")).select(F.lit(kind).alias("kind"), "n_items", found.agg(F.count("*")).scalar().alias("n_found"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @add()
 def retrieval_prompts(spark, folder):
     return rt.prompts(retrieved(spark, folder), "item_id", "question", "rank", "source", "text")
