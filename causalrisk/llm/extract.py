@@ -16,7 +16,10 @@ broadcasts them where they are few and splits a hot host where they are not.
 Defined results: null or empty html has an empty text; html without tags is one
 block. Pages without a host vote together. Repeated pages are returned one by
 one. An element that is never closed ends with its parent; text after an
-unclosed comment, script or style belongs to that.
+unclosed comment, script or style belongs to that. Of containers with equal
+scores the first one is chosen, of paths with equal votes the last by name. Pages
+of any length are read whole. An empty table gives no rows. Kept columns lie
+inside `row` and may have any name.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ of the id, so it repeats.
 Defined results: null or unlisted categories belong to the remainder, which
 takes what the listed targets leave. Targets of categories without tokens go to
 the others in proportion. Texts without tokens weigh nothing, but are drawn
-like their cell. Repeated rows share their draw. An empty table stays empty.
+like their cell. Repeated rows share their draw. Texts of any length count with
+all their tokens. An empty table stays empty. Columns of any name are kept in
+`row`.
 """
 
 from __future__ import annotations

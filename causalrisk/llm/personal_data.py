@@ -13,7 +13,9 @@ first. All patterns are scored, PATTERNS of them in one reading of the texts; th
 sure ones go to the tasks as nine bytes each.
 
 Defined results: a null or empty text has no entities. Repeated rows are
-returned one by one. Places are code points, ends are exclusive.
+returned one by one. Places are code points, ends are exclusive. Of kinds with equal
+scores the later name wins. Texts of any length are read whole. An empty table
+gives no rows. Kept columns lie inside `row` and may have any name.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ are sorted to find the places of the repeats.
 
 Defined results: a null or empty text has no words, and fails as too short. A
 null host has no verdict, so its documents stand for themselves. Repeated rows
-are judged one by one, each counting for its host. An empty table stays empty.
+are judged one by one, each counting for its host. Texts of any length are
+measured whole. An empty table stays empty. Columns of any name are kept in `row`.
 """
 
 from __future__ import annotations

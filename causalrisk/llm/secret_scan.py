@@ -8,8 +8,9 @@ are cheap however long they are, random ones are not.
 Each text is judged on its own row, so nothing is shuffled.
 
 Defined results: a null or empty text has no secrets. Repeated rows are returned
-one by one. Places are code points, ends are exclusive. A value of any length
-is judged whole.
+one by one. Places are code points, ends are exclusive. A text or value of any
+length is judged whole. Cuts of equal cost have the same verdict. An empty table
+gives no rows. Kept columns lie inside `row` and may have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ Defined results: a null url or one without `://` has an empty host and path, no
 rule and no reputation, and is allowed. A page without a label, or with a null
 one, counts for nothing. A label that repeats counts once, as bad if any of its
 rows is bad. Repeated pages are all returned. With no labels at all nothing is
-blocked but by rules.
+blocked but by rules. Of rules that fit the longest wins; rules are different, so
+there are no ties. An empty table of pages gives no rows. Urls of any length are
+read whole. Only the named columns are read and returned, so others may have any
+name.
 """
 
 from __future__ import annotations
