@@ -13,7 +13,10 @@ therefore no obstacle to even shards.
 Defined results: null texts have no bytes; null metadata have coordinate 0.
 Rows that agree in text, metadata and id can't be told apart and share a
 shard. An empty table has no shards. Shards may be empty only if there are
-fewer distinct rows than shards.
+fewer distinct rows than shards. Dimensions of equal width: the first one is cut.
+A text of any length counts with all its bytes; one that outweighs a shard makes
+its shard as heavy as itself. `kd_shards` reads the named columns only;
+`shard_documents` keeps columns of any name but that of its label.
 """
 
 from __future__ import annotations
@@ -74,14 +77,19 @@ def _key(dim: str = "_dim") -> Column:
     return F.shiftleft(F.get(F.col("_c"), F.col(dim)), 47).bitwiseOR(F.col("_h"))
 
 
+def one_step(rows: DataFrame, nodes: list[Node]) -> DataFrame:
+    """`_node` one level further down, unless it is a leaf."""
+    down = (_key() > F.col("_cut1")) | ((_key() == F.col("_cut1")) & (F.col("_id") > F.col("_cut2")))
+    rows = rows.join(_params(rows.sparkSession, nodes), "_node")
+    rows = rows.withColumn("_node", F.when(F.col("_leaf"), F.col("_node")).otherwise(F.col("_node") * 2 + down.cast("long")))
+    return rows.drop("_leaf", "_dim", "_cut1", "_cut2", "_shard")
+
+
 def assigned(rows: DataFrame, levels: list[list[Node]]) -> DataFrame:
     """Adds `_node`: each level sends a row down one step, until it is in a leaf."""
     rows = rows.withColumn("_node", F.lit(1).cast("long"))
     for nodes in levels:
-        down = (_key() > F.col("_cut1")) | ((_key() == F.col("_cut1")) & (F.col("_id") > F.col("_cut2")))
-        rows = rows.join(_params(rows.sparkSession, nodes), "_node")
-        rows = rows.withColumn("_node", F.when(F.col("_leaf"), F.col("_node")).otherwise(F.col("_node") * 2 + down.cast("long")))
-        rows = rows.drop("_leaf", "_dim", "_cut1", "_cut2", "_shard")
+        rows = one_step(rows, nodes)
     return rows
 
 
@@ -153,8 +161,11 @@ def tree(rows: DataFrame, shards: int | None = None, target_bytes: int | None =
         raise ValueError(f"{shards} shards are more than {MAX_SHARDS}")
     levels: list[list[Node]] = []
     nodes = [Node(1, shards, 0)] if total else []
+    now = rows.withColumn("_node", F.lit(1).cast("long"))
     while any(n.leaves > 1 for n in nodes):
-        now = assigned(rows, levels)
+        if levels:
+            # each level is read by several searches; written, it doesn't repeat the steps that lead to it
+            now = stored(one_step(now, levels[-1]), "level")
         ends = _widths(now, dims)
         open_nodes = [n for n in nodes if n.leaves > 1 and n.number in ends]
         goals = {}
