@@ -15,7 +15,7 @@ HEADLINE = [
     "row_features", "entity_history_events", "entity_history_lineitem", "split_history_summary", "frequency_encoding",
     "enrich_documents", "missingness_report", "category_rates", "numeric_summary", "chi_square_test", "rank_test",
     "psi_lineitem", "ranking_metrics", "cost_sweep", "reliability_table", "top_reasons", "narratives",
-    "document_chunks", "groundedness", "cosine_top_k",
+    "document_chunks", "groundedness", "cosine_top_k", "csv_round_trip", "time_ordered_fact_table",
 ]
 
 
