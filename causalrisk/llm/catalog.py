@@ -69,7 +69,7 @@ def op3_kd_tree_sharding(spark, folder):
 
 @CATALOG.add(sql.OP4)
 def op4_prefix_tree_jaccard(spark, folder):
-    return jaccard_components(read(spark, folder, "documents"))
+    return jaccard_components(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @CATALOG.add(sql.op5(TEMPLATES))

@@ -26,7 +26,9 @@
 Defined results: a null, empty or blank text has an empty set, which links to
 nothing. A text of fewer than n words has one entry, all its words. Repeated
 documents are in one component. Rows without an id take part, but never name a
-component. An empty table stays empty.
+component. Sets of equal rank are taken by number, which changes no link. Texts
+of any length have all their n-grams. An empty table stays empty. Only the two
+named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from causalrisk.llm.common import bounded_batches, scratch, stored
 from causalrisk.llm.components import components
@@ -189,9 +191,9 @@ def _set_scan(n: int, percent: int, sent):
                     often.append(None)
                     bits.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()),
                  pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "f1", "f2", "n", "common", "rare", "often", "bits"],
+                names=["doc_id", "text_key", "f1", "f2", "n", "common", "rare", "often", "bits"],
             )
 
     return run
@@ -380,25 +382,47 @@ def _heaviest(open_: DataFrame, weight: DataFrame) -> DataFrame:
 
 
 def _rest(open_: DataFrame, weight: DataFrame, percent: int) -> DataFrame:
-    """Every set against each heavier component that it met and whose sizes allow a link (`key`, `sid`)."""
-    lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(_picked(weight), "component")
-    lengths = lengths.select("gram", F.col("component").alias("key"), "least", "most", F.col("weight").alias("key_weight"))
-    return open_.join(_picked(weight), "component").join(lengths, "gram").where(
+    """Every set against each heavier component that it met and that its place in the n-gram's lists leaves possible (`key`, `sid`).
+
+    Two sets that link have, at the first n-gram they share, at least as many
+    n-grams left as they need in common. So what is left of both from an n-gram
+    on bounds their sizes there, and a pair is dropped inside the join: sets that
+    share a template in the last part of their prefix are compared by two numbers
+    and never written.
+    """
+    size, left = F.col("n"), F.col("left")
+    least = F.ceil(size * percent / 100)
+    most = F.least(F.floor(size * 100 / percent), F.floor(left * (100 + percent) / percent) - size)
+    lengths = open_.groupBy("gram", "component").agg(F.min("n").alias("key_least"), F.max("n").alias("key_most"), F.max("left").alias("key_left"))
+    lengths = lengths.join(_picked(weight), "component").select(
+        "gram", F.col("component").alias("key"), "key_least", "key_most", "key_left", F.col("weight").alias("key_weight")
+    )
+    wanted = F.ceil((size + F.greatest(least, F.col("key_least"))) * percent / (100 + percent))
+    return open_.join(_picked(weight), "component").where(least <= most).join(lengths, "gram").where(
         (F.struct("key_weight", "key") > F.struct(F.col("weight"), F.col("component")))
-        & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+        & (F.col("key_most") >= least) & (F.col("key_least") <= most) & (F.col("key_left") >= wanted)
     ).select("key", "sid").distinct()
 
 
+def text_key(text: Column) -> Column:
+    """64 bits of the text, null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`."""
+    """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`; also its `text_key` and the `component` as a number (null without words).
+
+    `component_id` is the least id in the component, so where ids repeat, only
+    `component` tells two components apart.
+    """
     docs = docs.select("doc_id", "text")
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         id_type = docs.schema["doc_id"].dataType.simpleString()
         sent = frequent_grams(docs, n)
-        described = docs.mapInArrow(
+        described = docs.withColumn("text_key", text_key(F.col("text"))).mapInArrow(
             _set_scan(n, percent, sent),
-            f"doc_id {id_type}, f1 bigint, f2 bigint, n bigint, common bigint, rare array<bigint>, often array<bigint>, bits binary",
+            f"doc_id {id_type}, text_key bigint, f1 bigint, f2 bigint, n bigint, common bigint, rare array<bigint>, often array<bigint>, bits binary",
         )
         described = stored(described.withColumn("sid", F.monotonically_increasing_id()), "described")
         sets = described.where("bits is not null")
@@ -412,12 +436,14 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         # A rare n-gram has few sets, and the first is its centre. A frequent one has any number, so its centre comes from
         # partial aggregates: the set with most frequent n-grams, what the rest was copied from if that is there.
         in_gram = W.partitionBy("gram")
-        few = sets.select("sid", F.explode("rare").alias("gram")).withColumns({"centre": F.min("sid").over(in_gram), "last": F.max("sid").over(in_gram)})
-        many = sets.select("sid", "common", F.explode("often").alias("gram"))
+        few = sets.select("sid", "n", F.posexplode("rare").alias("place", "gram")).select("sid", "gram", (F.col("n") - F.col("place")).cast("int").alias("left"))
+        few = few.withColumns({"centre": F.min("sid").over(in_gram), "last": F.max("sid").over(in_gram)})
+        many = sets.select("sid", "common", (F.col("n") - F.size("rare")).alias("n"), F.posexplode("often").alias("place", "gram"))
+        many = many.select("sid", "common", "gram", (F.col("n") - F.col("place")).cast("int").alias("left"))
         centres = many.groupBy("gram").agg(F.max(F.struct("common", (-F.col("sid")).alias("sid"))).alias("top"), F.count("*").alias("held")).where("held > 1")
         centres = stored(centres.select("gram", (-F.col("top.sid")).alias("centre")), "centres")
-        many = many.join(_picked(centres), "gram").select("sid", "gram", "centre")
-        met = stored(few.where("centre < last").select("sid", "gram", "centre").union(many), "met")
+        many = many.join(_picked(centres), "gram").select("sid", "gram", "centre", "left")
+        met = stored(few.where("centre < last").select("sid", "gram", "centre", "left").union(many), "met")
 
         # a set is held against the centre that it shares most n-grams with; all others are left to later rounds
         shared = met.where("sid != centre").groupBy("sid", "centre").agg(F.count("*").alias("shared"))
@@ -425,24 +451,32 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         first_of = sets.groupBy("f1", "f2").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
         twins = sets.select("f1", "f2", F.col("sid").alias("b")).join(first_of, ["f1", "f2"]).select("a", "b")
         links = block_links(stars, stars.select("key", F.col("key").alias("sid")).distinct(), sets, full, percent, False).union(twins)
-        labels = stored(components(links), "components")
-        open_ = _open(met.select("gram", "sid"), labels)
+        labels, fresh = stored(components(links), "components"), True
+        open_ = _open(met.select("gram", "sid", "left"), labels)
         open_ = stored(open_.join(_picked(sets.select("sid", "n")), "sid"), "open")
+        # a round without a new link would only be repeated, so the last one follows
         for last_round in (*[False] * ROUNDS, True):
+            if not (last_round or fresh):
+                continue
             members = open_.select("component", "sid").distinct()
             weight = stored(members.groupBy("component").agg(F.count("*").alias("weight")), "weight")
             asks = stored(_rest(open_, weight, percent) if last_round else _heaviest(open_, weight), "asks")
-            asked = members.withColumnRenamed("component", "key").join(asks.select("key").distinct(), "key", "left_semi")
-            links = links.union(block_links(asked, asks, sets, full, percent, True))
-            labels = stored(components(links), "components")
-            if not last_round:
-                open_ = _open(open_.drop("component"), labels)
+            fresh = False
+            if not asks.isEmpty():
+                asked = members.withColumnRenamed("component", "key").join(asks.select("key").distinct(), "key", "left_semi")
+                links = block_links(asked, asks, sets, full, percent, True)
+                fresh = not links.isEmpty()
+            if fresh:
+                # stars stand for all links before
+                labels = stored(components(links.union(labels)), "components")
+                if not last_round:
+                    open_ = _open(open_.drop("component"), labels)
 
         labels = sets.select("f1", "f2", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
         labels = stored(labels.groupBy("f1", "f2").agg(F.min(F.coalesce("component", "sid")).alias("component")), "labels")
-        named = described.select("doc_id", "f1", "f2", "n").join(labels, ["f1", "f2"], "left")
-        named = keep(named.select("doc_id", "n", "component"), "named")
+        named = described.select("doc_id", "text_key", "f1", "f2", "n").join(labels, ["f1", "f2"], "left")
+        named = keep(named.select("doc_id", "text_key", "n", "component"), "named")
         least = keep(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key", "component",
     )

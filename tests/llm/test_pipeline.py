@@ -6,10 +6,11 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.cases import prose
-from tests.llm.test_awkward import leaks, measures, plain_components
+from tests.llm.test_awkward import leaks, measures, shingles
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,7 @@ def folder(spark, tmp_path_factory):
         if i % 40 == 11:
             text = passage
         rows.append((i, text, ["en", "en", "de", "fr", None][i % 5], f"src{i % 4}", len(text)))
-    rows += [rows[12], rows[12], (None, prose(5, 50), "en", "src1", 3), (500, None, "en", "src0", 0), (501, "", None, None, 0)]
+    rows += [rows[12], rows[12], (12, prose(9000, 50), "en", "src1", 9), (2, rows[13][1], "en", "src1", 9), (None, prose(5, 50), "en", "src1", 3), (None, prose(5, 50), "en", "src1", 3), (500, None, "en", "src0", 0), (501, "", None, None, 0)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     documents.repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
@@ -45,13 +46,23 @@ def plain_quality(rows):
 
 
 def plain_dedup(rows):
-    name = {d: c for d, _, c in plain_components([r[:2] for r in rows])}
-    seen, kept = set(), []
-    for r in rows:
-        if r[0] is None or (name[r[0]] == r[0] and r[0] not in seen):
-            kept.append(r)
-            seen.add(r[0])
-    return kept
+    """Of each linked group the row with the least (id, text) stays once, whatever other rows share its id."""
+    sets = [shingles(r[1]) for r in rows]
+    name = list(range(len(rows)))
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                name[root(i)] = root(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(root(i) if sets[i] else ("none", i), []).append(r)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
 
 
 def topic_of(text):
@@ -122,6 +133,19 @@ def test_every_stage_and_the_whole(spark, folder):
     assert Counter(tuple(r) for r in whole_run.collect()) == Counter(tuple(r) for r in last)
 
 
+def test_clashing_columns_pass_all_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    plain = [n for n in docs.columns]
+    for c in ("shard", "row", "kept", "_key", "of", "cut_text"):
+        docs = docs.withColumn(c, F.lit(c))
+    columns = docs.columns
+    for _, stage in cp.STAGES:
+        out = stage(spark, docs, folder[0])
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert docs.columns == [*columns, "_shard"] and docs.count() == cp.run(spark, folder[0]).select(*plain).count() > 0
+    assert docs.where("shard != 'shard' or row != 'row' or _key != '_key'").isEmpty()
+
+
 def test_an_empty_table_passes_all_stages(spark, tmp_path, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
