@@ -5,8 +5,11 @@ as Parquet before the next one reads it. All but the last return the columns of
 `documents`; the last adds the shard. A stage's own stored tables go when the
 next one starts, as its result has been written by then.
 
-Rows without an id are documents of their own to every stage; rows that share
-an id and text are copies, of which the second stage leaves one.
+Rows without an id are documents like others; rows that share id and text are
+copies, of which the second stage leaves one. Null and empty texts have no words,
+so the first stage drops them. Texts of any length are judged and cut as a whole.
+An empty table passes all stages and stays empty. Columns of any name are kept;
+the last stage gives its own a free one.
 """
 
 from __future__ import annotations
@@ -14,13 +17,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causalrisk import discard, owner, prepare, release
 from causalrisk.llm.catalog import MIX_RARE, MIX_TARGETS, SHARDS
 from causalrisk.llm.common import read, stored
 from causalrisk.llm.decontaminate import decontaminate
-from causalrisk.llm.jaccard import PICKED, jaccard_components
+from causalrisk.llm.jaccard import PICKED, jaccard_components, text_key
 from causalrisk.llm.mixing import mix_documents
 from causalrisk.llm.quality import judge_documents
 from causalrisk.llm.shards import shard_documents
@@ -48,21 +51,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; ids that repeat stay once.
+    """Of each group of near duplicates the document with the least id stays, and of its copies one.
 
-    Only ids that go or repeat are joined to the documents, so most texts are
-    not shuffled: up to PICKED of these ids are broadcast.
+    Documents are told apart by id and text, so rows that share an id, or have
+    none, are thinned like others and lost like none. Only what goes or repeats
+    is joined to the documents, so most texts are not shuffled: up to PICKED of
+    these keys are broadcast.
     """
-    found = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.min("component_id").alias("component_id")
-    )
-    touched = stored(found.where("n > 1 or doc_id != component_id").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "touched")
-    ids = F.broadcast(touched) if touched.count() <= PICKED else touched
-    others = docs.join(ids, "doc_id", "left_anti")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id").join(ids.where("stays"), "doc_id")
-    once = W.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
-    repeated = rows.withColumn("place", F.row_number().over(once)).where("place = 1").select("row.*")
-    return others.select(*docs.columns).unionByName(repeated)
+    found = jaccard_components(docs).where("component is not null").groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    found = stored(found, "found")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    touched = found.join(least, "component").select("doc_id", "text_key", "n", first.alias("stays")).where("n > 1 or not stays")
+    touched = stored(touched.select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_text"), "stays"), "touched")
+    keys = F.broadcast(touched) if touched.count() <= PICKED else touched
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_text"))
+    others = rows.join(keys, same, "left_anti").select("row")
+    repeated = rows.join(keys.where("stays"), same).groupBy("_id", "_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return others.unionByName(repeated).select("row.*")
 
 
 @_stage
@@ -79,8 +86,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the number of the document's shard."""
-    return shard_documents(docs, SHARDS)
+    """Adds the number of the document's shard as `shard`, with lines before the name where the input has such a column."""
+    label = "shard"
+    while label in map(str.lower, docs.columns):
+        label = "_" + label
+    return shard_documents(docs, SHARDS, label=label)
 
 
 STAGES = [
